@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, mixing, quality_classifier, quality_rules, simhash
+from . import decontaminate, language_id, line_dedup, mixing, pii, quality_classifier, quality_rules, simhash, url_filter
 from .base import fold, table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = {k.name: F.col(f"pii.{k.name}") for k in pii.BASE + pii.FURTHER}
+    base = [spans[k.name] for k in pii.BASE]
+    counts = [F.size(spans[k]).cast("long").alias(f"n_{k}") for k in spans]
+    return out.select("doc_id", *counts, F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed(list(spans.values())).alias("spans"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     w = quality_classifier.fit(docs, labels, fold("_id", 3) != 1)
@@ -38,6 +46,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("_c0").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = line_dedup.dedup(docs, line_dedup.LineIndex.build(docs), ["doc_id"])
@@ -51,11 +63,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
+    "op8_url_filter": op8_url_filter,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
 }

@@ -1,0 +1,59 @@
+import re
+
+from barloom.llm import pii
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(d):
+    v = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(d))]
+    return sum(x - 9 * (x > 9) for x in v) % 10 == 0
+
+
+def base(text):
+    text, only = text or "", lambda m: re.sub("[^0-9]", "", m)
+    out = [("email", m) for m in EMAIL.finditer(text)]
+    out += [("ip", m) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", m) for m in CARD.finditer(text) if 16 <= len(only(m[0])) <= 19 and luhn(only(m[0]))]
+    out += [("phone", m) for m in PHONE.finditer(text) if 8 <= len(only(m[0])) <= 15]
+    return [f"{k}:{m.start()}:{m.end()}" for k, m in out]
+
+
+CASES = [
+    None, "", "a@b.cd_e@f.g x@y", "é😀 me@host.org, you@sub.host.co.uk.", "@@a@b.c", "1.2.3.4.5.6.7.8 999.1.1.1 0001.2.3.255 256.1.1.1",
+    "4111 1111 1111 1111 and 4111-1111-1111-1112 and 41111111111111111111", "+1 (555) 123-4567 +49.30.1234 +1 23", "+" * 50 + "1 2345678 9", "7" * 200_000,
+    "a" * 200_000 + "@", "x@" + "a." * 50_000 + "b", "1-" * 50_000 + "1", "5500 0055 5555 5559😀5500005555555559", "a.b@c.d@e.f@g.h",
+]
+
+
+def found(df):
+    return {r["doc_id"]: r["s"] for r in pii.find(df).select("doc_id", pii.listed([pii.F.col(f"pii.{k.name}") for k in pii.BASE]).alias("s")).collect()}
+
+
+def test_base_spans_equal_plain_regular_expressions(spark):
+    df = spark.createDataFrame(list(enumerate(CASES)), "doc_id long, text string")
+    got = found(df)
+    for i, text in enumerate(CASES):
+        assert got[i] == ",".join(base(text)), text and text[:80]
+
+
+def test_whole_table(spark, small):
+    df = spark.read.parquet(f"{small}/documents.parquet")
+    got, texts = found(df), {r["doc_id"]: r["text"] for r in df.collect()}
+    assert any(got.values())
+    assert {i: ",".join(base(t)) for i, t in texts.items()} == got
+
+
+def test_further_kinds(spark):
+    texts = ["IBAN DE89 3704 0044 0532 0130 00 ok", "DE88370400440532013000", "my SSN is 123-45-6789", "part 123-45-6789", "visa card 378282246310005", "378282246310005", "my ssn 000-12-3456"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in pii.find(df).select("doc_id", pii.listed([pii.F.col(f"pii.{k.name}") for k in pii.FURTHER]).alias("s")).collect()}
+    assert got == {0: "iban:5:32", 1: "", 2: "ssn:10:21", 3: "", 4: "short_card:10:25", 5: "", 6: ""}
+
+
+def test_odd_tables(odd, empty):
+    assert pii.find(odd.drop("pii")).count() == odd.count()
+    assert pii.find(empty).count() == 0
