@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import as_text, chunks
+from .base import as_text, chunks, map_arrow
 
 #: Lower-cases A-Z and blanks every other ASCII character that isn't part of a word.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -207,45 +207,68 @@ def spans(text: bytes) -> tuple[list[bytes], np.ndarray]:
     return own, np.flatnonzero(raw & ~np.concatenate([[False], raw[:-1]]))
 
 
+def without(text: pa.StringScalar, hit: list[int]) -> str:
+    """The text without the spans of hit words and what stands between the words of a span."""
+    raw = text.as_py().encode()
+    own, starts = spans(raw)
+    keep, at = [], 0
+    for run in np.split(np.array(hit), np.flatnonzero(np.diff(hit) > 1) + 1):
+        keep.append(raw[at : int(starts[run[0]])])
+        at = int(starts[run[-1]]) + len(own[run[-1]])
+    return b"".join([*keep, raw[at:]]).decode()
+
+
 def search(documents: DataFrame, benchmark: DataFrame, carry: list[str], p: Params = Params(), text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cut: bool = False) -> DataFrame:
     """The carried columns as _c0, _c1, ..., then n_words, n_hit, items (sorted ids), and _text (without the hit words if cut).
 
     cut removes each maximal span of hit words, with what stands between them, from the text.
     """
     sc = documents.sparkSession.sparkContext
-    parts = [sc.broadcast(b) for b in blocks(benchmark, p, item_col, item_text)]  # each bounded by block_bytes
-    df = documents.select(*[documents[c].alias(f"_c{i}") for i, c in enumerate(carry)], as_text(documents, text_col).alias("_text"), F.lit(None).cast("array<bigint>").alias("_hit"), F.lit(None).cast("array<string>").alias("_items"))
-    schema = df.schema
+    parts = [sc.broadcast(b) for b in blocks(benchmark, p, item_col, item_text)] or [sc.broadcast(Phrases.of([], p))]  # each bounded by block_bytes
+    df = documents.select(*[documents[c].alias(f"_c{i}") for i, c in enumerate(carry)], as_text(documents, text_col).alias("_text"))
+    own = [f"_c{i}" for i in range(len(carry))]
+    kinds = "".join(f"_c{i} {documents.schema[c].dataType.simpleString()}, " for i, c in enumerate(carry))
+    between, final = f"{kinds}_text string, _hit array<bigint>, _items array<string>", f"{kinds}n_words long, n_hit long, items array<string>, _text string"
+
+    def pass_over(part, last: bool):
+        def made(batch: pa.RecordBatch, counts: list[int], masks: list[list[int]], items: list[list[str]]) -> pa.RecordBatch:
+            found = pa.array(items, pa.list_(pa.string()))
+            if not last:
+                return pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), batch.column("_text"), pa.array(masks, pa.list_(pa.int64())), found], names=[*own, "_text", "_hit", "_items"])
+            if cut:
+                texts = pa.array([without(x, m) if m else x.as_py() for x, m in zip(batch.column("_text"), masks)], pa.string())
+            else:
+                texts = pa.array([""] * batch.num_rows, pa.string())
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(counts, pa.int64()), pa.array([len(m) for m in masks], pa.int64()), found, texts], names=[*own, "n_words", "n_hit", "items", "_text"])
 
-    def pass_over(part):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             phrases = part.value
             get = phrases.vocabulary.get
-            held: list[tuple[pa.RecordBatch, int]] = []
+            held: list[pa.RecordBatch] = []
             numbers: list[np.ndarray] = []
             size = 0
 
             def flush() -> Iterator[pa.RecordBatch]:
-                hits, at = iter(shard_hits(numbers, phrases, p)), 0
-                for batch, n in held:
-                    masks, items = [], []
-                    for k in range(n):
-                        mask, own = next(hits)
-                        had = batch.column("_hit")[k].as_py()
-                        masks.append(sorted({*np.flatnonzero(mask).tolist(), *(had or ())}))
-                        items.append(sorted(own.union(batch.column("_items")[k].as_py() or ())))
-                    at += n
-                    kinds = {"_hit": pa.list_(pa.int64()), "_items": pa.list_(pa.string())}
-                    new = {"_hit": masks, "_items": items}
-                    yield pa.RecordBatch.from_arrays([pa.array(new[c], kinds[c]) if c in new else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
+                hits, lengths = iter(shard_hits(numbers, phrases, p)), iter(map(len, numbers))
+                for batch in held:
+                    had = batch.column("_hit").to_pylist() if "_hit" in batch.schema.names else [()] * batch.num_rows
+                    also = batch.column("_items").to_pylist() if "_items" in batch.schema.names else [()] * batch.num_rows
+                    masks, items, counts = [], [], []
+                    for before, more in zip(had, also):
+                        mask, names = next(hits)
+                        mask = np.flatnonzero(mask).tolist() if names else []
+                        masks.append(sorted({*mask, *before}) if before else mask)
+                        items.append(sorted(names.union(more)))
+                        counts.append(next(lengths))
+                    yield made(batch, counts, masks, items)
 
             for batch, t in chunks(batches, "_text", 1 << 21):
                 raw = t.data.tobytes().translate(WORDS)
                 for a, b in zip(t.off[:-1], t.off[1:]):
-                    own = raw[a:b].split()
-                    numbers.append(np.fromiter((get(w, 0) for w in own), np.int32, len(own)))
+                    words = raw[a:b].split()
+                    numbers.append(np.fromiter((get(w, 0) for w in words), np.int32, len(words)))
                     size += int((numbers[-1] > 0).sum())
-                held.append((batch, batch.num_rows))
+                held.append(batch)
                 if size >= p.shard_words:
                     yield from flush()
                     held, numbers, size = [], [], 0
@@ -254,32 +277,7 @@ def search(documents: DataFrame, benchmark: DataFrame, carry: list[str], p: Para
 
         return run
 
-    for part in parts:
-        df = df.mapInArrow(pass_over(part), schema)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_hit, out = [], [], []
-            for text, hit in zip(batch.column("_text"), batch.column("_hit")):
-                raw = text.as_py().encode()
-                found = hit.as_py() or []
-                n_hit.append(len(found))
-                if found and cut:
-                    own, starts = spans(raw)
-                    n_words.append(len(own))
-                    keep, at = [], 0
-                    runs = np.split(np.array(found), np.flatnonzero(np.diff(found) > 1) + 1)
-                    for run in runs:
-                        a, b = int(starts[run[0]]), int(starts[run[-1]]) + len(own[run[-1]])
-                        keep.append(raw[at:a])
-                        at = b
-                    out.append(b"".join([*keep, raw[at:]]))
-                else:
-                    n_words.append(len(raw.translate(WORDS).split()))
-                    out.append(raw if cut else b"")
-            items = batch.column("_items")
-            items = pa.array([x.as_py() or [] for x in items], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), items, pa.array(out, pa.binary()).cast(pa.string())], names=[*(f"_c{i}" for i in range(len(carry))), "n_words", "n_hit", "items", "_text"])
-
-    kinds = "".join(f"_c{i} {documents.schema[c].dataType.simpleString()}, " for i, c in enumerate(carry))
-    return df.mapInArrow(finish, f"{kinds}n_words long, n_hit long, items array<string>, _text string")
+    for k, part in enumerate(parts):
+        last = k == len(parts) - 1
+        df = map_arrow(df, pass_over(part, last), final if last else between)
+    return df
