@@ -60,6 +60,15 @@ def unpark(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow, with smaller Arrow batches than Spark's default, which a session may set otherwise: texts are long,
+    and 10,000 of them would fill tens of MB in the JVM and again in Python, for each running task."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df.mapInArrow(run, schema)
+
+
 def fold(col: str, n: int) -> Column:
     """crc32 of an id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n

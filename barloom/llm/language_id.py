@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import LOWER, SPACE, Texts, as_text, chunks, mix, sums
+from .base import as_text, chunks, LOWER, map_arrow, mix, SPACE, sums, Texts
 
 UND = "und"
 
@@ -157,7 +157,7 @@ def fit(documents: DataFrame, keep: Column | None = None, p: Params = Params(),
             yield flush()
 
     # documents that hold the gram, in each language
-    n = sample.mapInArrow(count, "g long, l int, n long").groupBy("g").pivot("l", list(range(len(languages)))).agg(F.sum("n"))
+    n = map_arrow(sample, count, "g long, l int, n long").groupBy("g").pivot("l", list(range(len(languages)))).agg(F.sum("n"))
     learned = [min(r["count"], p.sample_rows) for r in found]
     n = n.select("g", *[F.coalesce(F.col(str(i)), F.lit(0)).alias(f"n{i}") for i in range(len(languages))])
     total = sum((F.col(f"n{i}") for i in range(len(languages))), F.lit(0))
@@ -181,5 +181,5 @@ def predict(documents: DataFrame, model: Model, carry: list[str], text_col: str
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(lang, pa.string()), pa.array(score)], names=[*(f"_c{i}" for i in range(len(carry))), "_l", "_s"])
 
     kinds = "".join(f"_c{i} {documents.schema[c].dataType.simpleString()}, " for i, c in enumerate(carry))
-    out = typed.mapInArrow(run, f"{kinds}_l string, _s double")
+    out = map_arrow(typed, run, f"{kinds}_l string, _s double")
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], F.col("_l").alias(names[0]), F.col("_s").alias(names[1]))

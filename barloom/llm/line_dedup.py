@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import as_text, chunks, mix, park
+from .base import as_text, chunks, map_arrow, mix, park
 
 LAST = (1 << 63) - 1
 KEY = np.dtype([("k1", "<i8"), ("k2", "<i8")])
@@ -180,7 +180,7 @@ def references(documents: DataFrame, p: Params, id_col: str, text_col: str) -> D
             yield pa.RecordBatch.from_arrays([pa.array(k["k1"].copy()), pa.array(k["k2"].copy()), pa.array(docs, pa.int64())], names=["k1", "k2", "doc"])
 
     src = documents.select(F.coalesce(documents[id_col].cast("long"), F.lit(LAST)).alias("doc"), as_text(documents, text_col).alias("_text"))
-    return src.mapInArrow(run, "k1 long, k2 long, doc long")
+    return map_arrow(src, run, "k1 long, k2 long, doc long")
 
 
 def repeated(refs: DataFrame) -> DataFrame:
@@ -236,4 +236,4 @@ def dedup(documents: DataFrame, index: LineIndex, carry: list[str], id_col: str
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names=[*(f"_c{i}" for i in range(len(carry))), "_text", "_lines", "_dropped"])
 
     kinds = "".join(f"_c{i} {documents.schema[c].dataType.simpleString()}, " for i, c in enumerate(carry))
-    return joined.mapInArrow(run, f"{kinds}_text string, _lines long, _dropped long")
+    return map_arrow(joined, run, f"{kinds}_text string, _lines long, _dropped long")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import as_text, chunks
+from .base import as_text, chunks, map_arrow
 from .running import running_total
 
 PHI = 0.6180339887498949
@@ -48,7 +48,7 @@ def word_counts(documents: DataFrame, carry: list[str], text_col: str = "text")
 
     src = documents.select(*carry, as_text(documents, text_col).alias("_text"))
     kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in carry)
-    return src.mapInArrow(run, f"{kinds}, size long")
+    return map_arrow(src, run, f"{kinds}, size long")
 
 
 def targets(sizes: DataFrame, p: Params = Params()) -> DataFrame:

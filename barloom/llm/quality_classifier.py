@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import Texts, as_text, chunks, labelled_sample, mix, sums
+from .base import as_text, chunks, labelled_sample, map_arrow, mix, sums, Texts
 
 #: What a byte is in a word's shape: upper, lower or other letter, digit, else itself.
 SHAPE = np.arange(256, dtype=np.uint8)
@@ -118,7 +118,7 @@ def fit(documents: DataFrame, labels: DataFrame, keep: Column | None = None, p:
         yield pa.RecordBatch.from_pydict({"w": pa.array([train_weights(examples, p).astype(np.float32).tobytes()], pa.binary())})
 
     sample = labelled_sample(documents, labels, label, F.lit(True) if keep is None else keep, p.sample_rows, id_col, text_col)
-    got = sample.coalesce(1).mapInArrow(train, "w binary").collect()
+    got = map_arrow(sample.coalesce(1), train, "w binary").collect()
     return np.frombuffer(bytes(got[0][0]), np.float32).astype(np.float64) if got else np.zeros((1 << p.bits) + 1)
 
 
@@ -132,4 +132,4 @@ def score(documents: DataFrame, w: np.ndarray, p: Params = Params(), id_col: str
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(got)], names=["_id", "score"])
 
     src = documents.select(documents[id_col].alias("_id"), as_text(documents, text_col).alias("_text"))
-    return src.mapInArrow(run, f"_id {documents.schema[id_col].dataType.simpleString()}, score double").withColumnRenamed("_id", id_col)
+    return map_arrow(src, run, f"_id {documents.schema[id_col].dataType.simpleString()}, score double").withColumnRenamed("_id", id_col)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import SPACE, Texts, as_text, chunks, labelled_sample, mix, sums
+from .base import as_text, chunks, labelled_sample, map_arrow, mix, SPACE, sums, Texts
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -213,7 +213,7 @@ def fit(documents: DataFrame, labels: DataFrame, p: Params = Params(), id_col: s
         yield pa.RecordBatch.from_pydict({"w": pa.array([got.tolist()], pa.list_(pa.float64()))})
 
     sample = labelled_sample(documents, labels, "quality", F.lit(True) if keep is None else keep, p.sample_rows, id_col, text_col)
-    got = sample.coalesce(1).mapInArrow(train, "w array<double>").collect()
+    got = map_arrow(sample.coalesce(1), train, "w array<double>").collect()
     return np.array(got[0][0]) if got else np.zeros(N_FEATURES + 4)
 
 
@@ -229,7 +229,7 @@ def label_lines(documents: DataFrame, weights: np.ndarray, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(owner)), pa.array(np.arange(len(owner)) - off[owner]), pa.array(label == 1)], names=["_id", "line", "is_content"])
 
     src = documents.select(documents[id_col].alias("_id"), as_text(documents, text_col).alias("_text"))
-    return src.mapInArrow(run, f"_id {documents.schema[id_col].dataType.simpleString()}, line long, is_content boolean").withColumnRenamed("_id", id_col)
+    return map_arrow(src, run, f"_id {documents.schema[id_col].dataType.simpleString()}, line long, is_content boolean").withColumnRenamed("_id", id_col)
 
 
 def judge(documents: DataFrame, weights: np.ndarray, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,4 +253,4 @@ def judge(documents: DataFrame, weights: np.ndarray, p: Params = Params(), id_co
 
     src = documents.select(documents[id_col].alias("_id"), as_text(documents, text_col).alias("_text"))
     kind = documents.schema[id_col].dataType.simpleString()
-    return src.mapInArrow(run, f"_id {kind}, {', '.join(f'{c} long' for c in counts)}, base_failed boolean, content_share double, kept boolean").withColumnRenamed("_id", id_col)
+    return map_arrow(src, run, f"_id {kind}, {', '.join(f'{c} long' for c in counts)}, base_failed boolean, content_share double, kept boolean").withColumnRenamed("_id", id_col)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import as_text, chunks, park
+from .base import as_text, chunks, map_arrow, park
 from .components import connected
 
 
@@ -73,7 +73,7 @@ def fingerprints(documents: DataFrame, p: Params = Params(), id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(got, pa.int64())], names=["_id", "fp"])
 
     src = documents.select(documents[id_col].alias("_id"), as_text(documents, text_col).alias("_text"))
-    return src.mapInArrow(run, f"_id {documents.schema[id_col].dataType.simpleString()}, fp long").withColumnRenamed("_id", id_col)
+    return map_arrow(src, run, f"_id {documents.schema[id_col].dataType.simpleString()}, fp long").withColumnRenamed("_id", id_col)
 
 
 def split_bits(sample: np.ndarray, m: int) -> list[list[int]]:
