@@ -218,7 +218,8 @@ def dedup(documents: DataFrame, index: LineIndex, carry: list[str], id_col: str
     """The carried columns as _c0, _c1, ..., then _text (the lines that stay, joined by newlines), _lines and _dropped."""
     drops = index.dropped().groupBy("doc").agg(F.collect_list(F.struct("k1", "k2")).alias("_keys"))  # at most a document's lines
     src = documents.select(*[documents[c].alias(f"_c{i}") for i, c in enumerate(carry)], as_text(documents, text_col).alias("_text"), F.coalesce(documents[id_col].cast("long"), F.lit(LAST)).alias("_doc"))
-    joined = src.join(drops, src["_doc"] == drops["doc"], "left").drop("_doc", "doc")
+    # the build side holds 16 bytes for each dropped line; texts stream past it unsorted
+    joined = src.join(drops.hint("shuffle_hash"), src["_doc"] == drops["doc"], "left").drop("_doc", "doc")
     least = index.p.min_chars
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
