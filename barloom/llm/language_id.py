@@ -162,10 +162,10 @@ def fit(documents: DataFrame, keep: Column | None = None, p: Params = Params(),
     n = n.select("g", *[F.coalesce(F.col(str(i)), F.lit(0)).alias(f"n{i}") for i in range(len(languages))])
     total = sum((F.col(f"n{i}") for i in range(len(languages))), F.lit(0))
     n = n.withColumn("_n", total).filter(F.col("_n") >= p.least).orderBy(F.desc("_n"), "g").limit(p.grams)
-    got = n.toPandas()  # at most p.grams rows
-    rate = np.stack([got[f"n{i}"].to_numpy(float) / learned[i] for i in range(len(languages))], 1) if len(got) else np.zeros((0, len(languages)))
+    got = n.toArrow()  # at most p.grams rows
+    rate = np.stack([got.column(f"n{i}").to_numpy() / learned[i] for i in range(len(languages))], 1) if got.num_rows else np.zeros((0, len(languages)))
     member = (rate > 0) & (rate >= p.near * rate.max(1, keepdims=True, initial=0))
-    return Model.build(languages, got["g"].to_numpy(np.int64).astype(np.uint64), member, p)
+    return Model.build(languages, got.column("g").to_numpy().astype(np.uint64), member, p)
 
 
 def predict(documents: DataFrame, model: Model, carry: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

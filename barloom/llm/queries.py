@@ -82,4 +82,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+_LINES = "string_split(coalesce(text, ''), chr(10))"
+
+#: op1 needs look-behind, op5 XXH64, and the others learn: tests hold these against plain versions and held-out rows.
+ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": r"""
+WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+p AS (SELECT source, sum(size) AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM s GROUP BY source),
+q AS (SELECT *, 3.0::DOUBLE * source_size / w AS ratio FROM p),
+v AS (SELECT a.ratio, ((SELECT sum(source_size) FROM q) - coalesce(sum(CASE WHEN b.ratio < a.ratio THEN 3.0::DOUBLE * b.source_size END), 0)) / sum(CASE WHEN b.ratio >= a.ratio THEN b.w END) AS level FROM q a, q b GROUP BY a.source, a.ratio),
+z AS (SELECT min(level) FILTER (WHERE ratio = (SELECT min(ratio) FROM v WHERE ratio > level)) AS stop FROM v),
+t AS (SELECT source, source_size, CASE WHEN stop IS NULL OR ratio <= stop THEN 3.0::DOUBLE * source_size ELSE w * stop END AS target FROM q, z),
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+  CAST(CASE WHEN source_size = 0 THEN 0 ELSE CAST(round(target) AS BIGINT) // source_size * size + greatest(0, least(size, CAST(round(target) AS BIGINT) % source_size - start)) END AS BIGINT) AS taken
+FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source""",
+    "op6_decontaminate": f"""
+WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),
+bi AS (SELECT item, w, least(len(w), 10) AS m, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS win FROM bi),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+di AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM bw)),
+h AS (SELECT doc_id, i, m, item FROM (SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS win FROM di) JOIN bw USING (m, win)),
+n AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS pos FROM h) GROUP BY 1),
+k AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op8_url_filter": f"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{_UP}', '{_LOW}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(h, p, v) AS (VALUES {', '.join(str(x) for x in url_filter.RULES)}),
+f AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN len(list_intersect(string_split(host, '.'), {list(url_filter.SITES)})) > 0 THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN f USING (page_id)""",
+    "op9_line_dedup": f"""
+WITH l AS (SELECT doc_id, unnest({_LINES}) AS line, unnest(range(len({_LINES}))) AS pos FROM documents),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UP}', '{_LOW}') AS key FROM l),
+f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+g AS (SELECT k.*, coalesce(doc_id <> first, false) AS gone FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM g GROUP BY doc_id""",
+}
