@@ -1,8 +1,726 @@
-"""Queries by name, with their equivalents in SQL."""
+"""Queries by operator id, each with its equivalent SQL where SQL can express it.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Turnover guards are sized for another currency, so the queries scale them to the tables at hand; doubles are rounded to six places on both
+sides.
+"""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import oracle as O
+from .functions import series as S
+from .functions import text as T
+from .operators import diagnostics, folds, indicators, joins, learn, metrics, risk, scorers, store, tags, validate
+from .params import BacktestParams, ContextParams, EventParams, RiskParams
+from .plans import backtest, scan
+from .sources import bars as B
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+TURNOVER = 1_000_000.0
+CONTEXT = ContextParams(rank=20.0, rank_strength=35.0, rank_volume=35.0, min_turnover=TURNOVER)
+EVENT = EventParams(max_volume_rank=60.0, min_turnover=TURNOVER)
+RISK = RiskParams(min_volume=100.0, min_turnover=TURNOVER)
+IND = "rsi_14 ema_9 ema_21 ema_50 macd macd_signal macd_diff bb_upper bb_lower bb_width atr_14 volume_ratio_20d"
+Frame = Callable[[SparkSession, str], DataFrame]
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn: Frame) -> Frame:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = fn(spark, sf_dir)
+            return df.select(*[F.round(c, 6).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes])
+
+        QUERIES[name] = run
+        if sql:
+            ORACLE_SQL[name] = sql if "AS BIGINT" in sql else O.counted(sql)
+        return fn
+
+    return add
+
+
+def r(names: str) -> str:
+    return ", ".join(f"round({n}, 6) AS {n}" for n in names.split())
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["SCN-01"](spark, sf_dir)
+
+
+bars = B.weekly
+
+
+def ind(spark: SparkSession, sf: str) -> DataFrame:
+    return indicators.compute(bars(spark, sf))
+
+
+def trend(spark: SparkSession, sf: str) -> DataFrame:
+    return indicators.index_trend(B.market_index(bars(spark, sf)))
+
+
+def ctx(spark: SparkSession, sf: str) -> DataFrame:
+    return indicators.context(bars(spark, sf), trend(spark, sf))
+
+
+def signals(spark: SparkSession, sf: str) -> DataFrame:
+    return backtest.rules(bars(spark, sf))
+
+
+PRICES = "ticker, date, open, high, low, close, volume"
+
+# --- scans -----------------------------------------------------------------------------------------------------------
+
+
+@query("SRC-01", O.query(f"SELECT {PRICES} FROM bars WHERE ticker = 'Brand#11' AND date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31'", O.BARS))
+def src01(spark, sf):
+    return validate.prices(bars(spark, sf), "Brand#11", "1995-01-01", "1996-12-31").select(*PRICES.split(", "))
+
+
+@query("SRC-02", O.query(f"SELECT ticker, date, {r(IND)} FROM ind WHERE date >= DATE '1997-01-01'", O.BARS, O.INDICATORS))
+def src02(spark, sf):
+    return ind(spark, sf).filter("date >= date'1997-01-01'").select("ticker", "date", *IND.split())
+
+
+@query("SRC-03", O.query("SELECT b.ticker, b.date, b.close, round(i.rsi_14, 6) AS rsi_14 FROM bars b LEFT JOIN (SELECT * FROM ind WHERE rsi_14 IS NOT NULL) i USING (ticker, date)", O.BARS, O.INDICATORS))
+def src03(spark, sf):
+    i = ind(spark, sf).filter("rsi_14 is not null").select("ticker", "date", "rsi_14")
+    return validate.valid(bars(spark, sf)).select("ticker", "date", "close").join(i, ["ticker", "date"], "left")
+
+
+@query("SRC-04", O.query(f"SELECT b.ticker, b.date, b.close, {r('rel_strength_5d_rank vol_accum_5d_rank').replace('(', '(x.')}, round(t.slope_20d, 6) AS index_slope_20d, round(t.ret_5d, 6) AS index_ret_5d FROM bars b LEFT JOIN ctx x USING (ticker, date) LEFT JOIN trend t ON b.date = t.date", O.BARS, O.INDEX, O.CONTEXT))
+def src04(spark, sf):
+    b, t = bars(spark, sf).select("ticker", "date", "close"), trend(spark, sf)
+    x = ctx(spark, sf).select("ticker", "date", "rel_strength_5d_rank", "vol_accum_5d_rank")
+    t = t.select("date", F.col("slope_20d").alias("index_slope_20d"), F.col("ret_5d").alias("index_ret_5d"))
+    return b.join(x, ["ticker", "date"], "left").join(t, "date", "left")
+
+
+@query("SRC-05", O.query("SELECT ticker, max(date) AS latest FROM bars GROUP BY ticker", O.BARS))
+def src05(spark, sf):
+    return bars(spark, sf).groupBy("ticker").agg(F.max("date").alias("latest"))
+
+
+@query("SRC-06", "SELECT DISTINCT p_brand AS ticker FROM part JOIN lineitem ON l_partkey = p_partkey UNION SELECT DISTINCT p_brand FROM part WHERE p_brand <> ''")
+def src06(spark, sf):
+    return bars(spark, sf).select("ticker").union(B.read(spark, sf, "part").filter("p_brand <> ''").select("p_brand")).distinct()
+
+
+@query("SRC-07", O.query(f"SELECT symbol, date, {r('close volume ret_5d ret_20d ma_20 slope_20d')} FROM trend", O.BARS, O.INDEX))
+def src07(spark, sf):
+    return trend(spark, sf).select("symbol", "date", "close", "volume", "ret_5d", "ret_20d", "ma_20", "slope_20d")
+
+
+@query("SRC-09", O.query("SELECT 'bars' AS name, count(*) AS n FROM bars UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'events', count(*) FROM events", O.BARS))
+def src09(spark, sf):
+    parts = {"bars": bars(spark, sf), "orders": B.read(spark, sf, "orders"), "events": B.read(spark, sf, "events")}
+    counts = [df.agg(F.lit(k).alias("name"), F.count("*").alias("n")) for k, df in parts.items()]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
+@query("SRC-18", r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<a ')) AS BIGINT) AS links FROM pages")
+def src18(spark, sf):
+    html = F.col("html")
+    return B.read(spark, sf, "pages").select("page_id", F.regexp_extract(html, "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all(html, F.lit("<a "), F.lit(0))).cast("long").alias("links"))
+
+
+@query("SRC-21", "SELECT ticker, sector FROM (SELECT p_brand AS ticker, p_type AS sector, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) AS k FROM part GROUP BY 1, 2) WHERE k = 1")
+def src21(spark, sf):
+    return B.sectors(spark, sf)
+
+
+@query("SRC-24", O.query("SELECT a.ticker, a.date, a.event_type, round(a.dividend_yield, 6) AS dividend_yield, round(dividend_yield / 100 * CASE WHEN a.date - b.date <= 7 THEN b.close END, 6) AS value FROM act a ASOF LEFT JOIN bars b ON a.ticker = b.ticker AND a.date >= b.date WHERE year(a.date) >= 1994", O.BARS, O.EVENTS))
+def src24(spark, sf):
+    e = B.actions(spark, sf).filter(F.year("date") >= 1994)
+    out = joins.as_of(e, bars(spark, sf), ["close"], tolerance_days=7)
+    return out.select("ticker", "date", "event_type", "dividend_yield", (F.col("dividend_yield") / 100 * F.col("bar_close")).alias("value"))
+
+
+@query("SRC-25", O.query("SELECT coalesce((SELECT max(date) FROM bars WHERE date > DATE '2999-01-01'), (SELECT min(date) - 50 FROM bars)) AS start_date", O.BARS).replace("min(date) - 50", "CAST(min(date) - 50 AS DATE)"))
+def src25(spark, sf):
+    b = bars(spark, sf)
+    return b.agg(F.coalesce(F.max(F.when(F.col("date") > "2999-01-01", F.col("date"))), F.date_sub(F.min("date"), 50)).alias("start_date"))
+
+
+# --- validation, filters, projections --------------------------------------------------------------------------------
+DIRTY = """
+dirty AS (SELECT ticker, date, CASE WHEN day(date) = 3 THEN NULL ELSE open END AS open, CASE WHEN day(date) = 5 THEN low - 1 ELSE high END AS high, low, CASE WHEN day(date) = 8 THEN 0 ELSE close END AS close,
+  CASE WHEN day(date) = 10 THEN 0 WHEN day(date) = 11 THEN NULL ELSE volume END AS volume FROM bars),
+noted AS (SELECT *, CASE WHEN open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL THEN 'missing price' WHEN high < low THEN printf('high (%.2f) < low (%.2f)', high, low)
+  WHEN close <= 0 OR open <= 0 THEN 'price not positive' WHEN volume = 0 THEN 'zero volume' END AS validation_note FROM dirty)"""
+
+
+def dirty(spark, sf):
+    d = F.dayofmonth("date")
+    return bars(spark, sf).withColumns({
+        "open": F.when(d != 3, F.col("open")), "high": F.when(d == 5, F.col("low") - 1).otherwise(F.col("high")), "close": F.when(d == 8, 0.0).otherwise(F.col("close")),
+        "volume": F.when(d == 10, 0.0).when(d != 11, F.col("volume")),
+    })
+
+
+@query("FLT-01", O.query("SELECT ticker, date, validation_note, validation_note IS NULL AS is_valid FROM noted", O.BARS, DIRTY))
+def flt01(spark, sf):
+    return validate.checked(dirty(spark, sf)).select("ticker", "date", "validation_note", "is_valid")
+
+
+@query("FLT-02", O.query("SELECT ticker, date, close FROM noted WHERE validation_note IS NULL AND ticker IN ('Brand#12', 'Brand#34') AND date >= DATE '1996-06-01'", O.BARS, DIRTY))
+def flt02(spark, sf):
+    return validate.prices(dirty(spark, sf), start="1996-06-01").filter(F.col("ticker").isin("Brand#12", "Brand#34")).select("ticker", "date", "close")
+
+
+@query("FLT-03", O.query("SELECT ticker, count(*) AS n FROM bars GROUP BY 1 HAVING count(*) >= 355", O.BARS))
+def flt03(spark, sf):
+    return validate.long_enough(bars(spark, sf), 355).groupBy("ticker").agg(F.count("*").alias("n"))
+
+
+@query("FLT-04", O.query("SELECT ticker, date, turnover_5d IS NULL OR turnover_5d < 1000000 AS illiquid FROM ctx", O.BARS, O.INDEX, O.CONTEXT))
+def flt04(spark, sf):
+    return ctx(spark, sf).select("ticker", "date", (F.col("turnover_5d").isNull() | (F.col("turnover_5d") < TURNOVER)).alias("illiquid"))
+
+
+@query("FLT-05", O.query("SELECT ticker, round(avg(close * volume), 6) AS turnover FROM (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) <= 5) GROUP BY 1 HAVING avg(close * volume) >= 500000", O.BARS))
+def flt05(spark, sf):
+    return validate.liquid(bars(spark, sf), 500_000)
+
+
+@query("FLT-06", O.query("SELECT count(*) AS n, max(date) AS latest FROM bars WHERE date <= DATE '1997-06-30'", O.BARS))
+def flt06(spark, sf):
+    return validate.prices(bars(spark, sf), end="1997-06-30").agg(F.count("*").alias("n"), F.max("date").alias("latest"))
+
+
+@query("FLT-07", O.query("SELECT ticker, date, CASE WHEN turnover_5d >= 1000000 AND rel_strength_5d_rank <= 20 THEN 100 ELSE 0 END AS score, CASE WHEN NOT coalesce(turnover_5d >= 1000000, false) THEN 'NEUTRAL' WHEN rel_strength_5d_rank <= 20 THEN 'BULLISH' ELSE 'BEARISH' END AS signal FROM ctx", O.BARS, O.INDEX, O.CONTEXT))
+def flt07(spark, sf):
+    return scorers.contextual(ctx(spark, sf), "rel_strength_5d_rank", CONTEXT.rank, CONTEXT.min_turnover).select("ticker", "date", "score", "signal")
+
+
+QUERIES["SCO-12"], ORACLE_SQL["SCO-12"] = QUERIES["FLT-07"], ORACLE_SQL["FLT-07"]
+
+
+@query("FLT-08", O.query("SELECT ticker, date, CASE WHEN turnover_5d >= 1000000 AND rel_strength_5d_rank <= 35 AND vol_accum_5d_rank <= 35 THEN 'BULLISH' ELSE 'NEUTRAL' END AS signal FROM ctx", O.BARS, O.INDEX, O.CONTEXT))
+def flt08(spark, sf):
+    return scorers.both_ranks(ctx(spark, sf), 35, 35, TURNOVER).select("ticker", "date", "signal")
+
+
+QUERIES["SCO-13"], ORACLE_SQL["SCO-13"] = QUERIES["FLT-08"], ORACLE_SQL["FLT-08"]
+
+
+@query("FLT-09", O.query("SELECT CASE WHEN slope_20d > 0.001 THEN 'up' WHEN slope_20d < -0.001 THEN 'down' ELSE 'flat' END AS regime, count(*) AS n FROM bars JOIN trend USING (date) WHERE slope_20d IS NOT NULL GROUP BY 1", O.BARS, O.INDEX))
+def flt09(spark, sf):
+    t = trend(spark, sf).filter("slope_20d is not null").select("date", "slope_20d")
+    s = F.col("slope_20d")
+    return bars(spark, sf).join(t, "date").groupBy(F.when(s > 0.001, "up").when(s < -0.001, "down").otherwise("flat").alias("regime")).agg(F.count("*").alias("n"))
+
+
+@query("FLT-10", O.query("SELECT ticker, count_if(close > open) AS green, count_if(close < open) AS red, count_if(abs(close - open) / open > 0.005) AS body FROM bars GROUP BY 1", O.BARS))
+def flt10(spark, sf):
+    o, c = F.col("open"), F.col("close")
+    return bars(spark, sf).groupBy("ticker").agg(F.count_if(c > o).alias("green"), F.count_if(c < o).alias("red"), F.count_if(F.abs(c - o) / o > 0.005).alias("body"))
+
+
+@query("FLT-11", O.query("SELECT ticker, date, round(dividend_yield, 6) AS dividend_yield FROM act WHERE dividend_yield >= 4 AND date <= DATE '1997-12-31'", O.EVENTS))
+def flt11(spark, sf):
+    return B.actions(spark, sf).filter("event_type = 'DIVIDEND' and dividend_yield >= 4 and date <= date'1997-12-31'").select("ticker", "date", "dividend_yield")
+
+
+@query("FLT-12", ORACLE_SQL["SRC-21"].replace("SELECT ticker, sector FROM", "SELECT ticker, CASE WHEN sector IN ('ECONOMY', 'PROMO') THEN 'HEADWIND_BLOCKED' ELSE 'OK' END AS status FROM"))
+def flt12(spark, sf):
+    return B.sectors(spark, sf).select("ticker", F.when(F.col("sector").isin("ECONOMY", "PROMO"), "HEADWIND_BLOCKED").otherwise("OK").alias("status"))
+
+
+@query("FLT-14", O.query("SELECT count(*) AS n_rows, count_if(volume = 0) AS zero_volume, count_if(volume IS NULL) AS null_volume, count(volume_ratio_20d) AS valid_rvol, count_if(volume_ratio_20d = 0) AS zero_rvol, count_if(volume_ratio_20d < 1) AS rvol_below_1 FROM ind", O.BARS, O.INDICATORS))
+def flt14(spark, sf):
+    return validate.profile(ind(spark, sf))
+
+
+@query("PRJ-02", O.query("SELECT ticker, date, round(close / ema_9 - 1, 6) AS ema_9_dist, round(close / ema_21 - 1, 6) AS ema_21_dist, round(close / ema_50 - 1, 6) AS ema_50_dist, round(CASE WHEN bb_upper - bb_lower = 0 THEN 0 ELSE (close - bb_lower) / (bb_upper - bb_lower) END, 6) AS bb_pct_b FROM ind", O.BARS, O.INDICATORS))
+def prj02(spark, sf):
+    return learn.distances(ind(spark, sf)).select("ticker", "date", "ema_9_dist", "ema_21_dist", "ema_50_dist", "bb_pct_b")
+
+
+@query("PRJ-05", O.query("SELECT ticker, date, round(close * volume, 6) AS turnover, round(((close - low) - (high - close)) / (high - low + 1e-8), 6) AS flow FROM bars", O.BARS))
+def prj05(spark, sf):
+    h, l, c = F.col("high"), F.col("low"), F.col("close")
+    return bars(spark, sf).select("ticker", "date", (c * F.col("volume")).alias("turnover"), (((c - l) - (h - c)) / (h - l + 1e-8)).alias("flow"))
+
+
+# --- indicators ------------------------------------------------------------------------------------------------------
+for _name, _cols in {"IND-01": "ema_9 ema_21 ema_50", "IND-02": "rsi_14", "IND-03": "macd macd_signal macd_diff", "IND-04": "bb_upper bb_lower", "IND-05": "bb_width", "IND-06": "atr_14", "IND-09": "volume_ratio_20d", "IND-17": IND}.items():
+    query(_name, O.query(f"SELECT ticker, date, {r(_cols)} FROM ind", O.BARS, O.INDICATORS))(lambda spark, sf, _c=_cols: ind(spark, sf).select("ticker", "date", *_c.split()))
+
+
+@query("IND-18", O.query("""SELECT ticker, date, CASE WHEN n >= 20 THEN round(list_reduce(lc, lambda a, x: a * (19.0::DOUBLE / 21) + x * (2.0::DOUBLE / 21)), 6) END AS ema_20, CASE WHEN n >= 200 THEN round(list_reduce(lc, lambda a, x: a * (199.0::DOUBLE / 201) + x * (2.0::DOUBLE / 201)), 6) END AS ema_200,
+  round(tr, 6) AS true_range, CAST(open > lag(high) OVER w AS INTEGER) AS gap_up, round(close / pc - 1, 6) AS pct_change, CASE WHEN n >= 20 THEN round(avg(volume) OVER m, 6) END AS vol_sma_20, CASE WHEN n >= 14 THEN round(avg(tr) OVER k, 6) END AS atr_simple,
+  CAST(lead(high) OVER w / close - 1 >= 0.05 AS INTEGER) AS target_momentum FROM i2 WINDOW w AS (PARTITION BY ticker ORDER BY date), m AS (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING), k AS (PARTITION BY ticker ORDER BY date ROWS 13 PRECEDING)""", O.BARS, O.INDICATORS))
+def ind18(spark, sf):
+    df = indicators.classic(validate.long_enough(bars(spark, sf), 50))
+    return df.select("ticker", "date", "ema_20", "ema_200", "true_range", "gap_up", "pct_change", "vol_sma_20", "atr_simple", "target_momentum")
+
+
+QUERIES["ML-02"], ORACLE_SQL["ML-02"] = QUERIES["IND-18"], ORACLE_SQL["IND-18"]
+
+
+@query("IND-13", O.query("SELECT ticker, date, round(CASE WHEN count(*) OVER m >= 5 THEN avg(close * volume) OVER m END, 6) AS full_window, round(CASE WHEN count(*) OVER m >= 3 THEN avg(close * volume) OVER m END, 6) AS from_three FROM bars WINDOW m AS (PARTITION BY ticker ORDER BY date ROWS 4 PRECEDING)", O.BARS))
+def ind13(spark, sf):
+    return S.by_series(bars(spark, sf)).select("ticker", "date", indicators.turnover(5).alias("full_window"), indicators.turnover(3).alias("from_three"))
+
+
+@query("IND-16", O.query(f"SELECT ticker, date, {r('rel_strength_5d vol_accum_5d turnover_5d rel_strength_5d_rank vol_accum_5d_rank')} FROM ctx", O.BARS, O.INDEX, O.CONTEXT))
+def ind16(spark, sf):
+    return ctx(spark, sf).select("ticker", "date", "rel_strength_5d", "vol_accum_5d", "turnover_5d", "rel_strength_5d_rank", "vol_accum_5d_rank")
+
+
+QUERIES["WIN-04"], ORACLE_SQL["WIN-04"] = QUERIES["IND-16"], ORACLE_SQL["IND-16"]
+
+# --- scores and risk -------------------------------------------------------------------------------------------------
+for _id, _k in {"SCO-01": "rsi", "SCO-02": "ema", "SCO-03": "macd", "SCO-04": "volume", "SCO-05": "bollinger", "SCO-06": "sr", "SCO-07": "candle"}.items():
+    query(_id, O.query(f"SELECT ticker, date, CAST(score_{_k} AS INTEGER) AS score_{_k} FROM scored", O.BARS, O.INDICATORS, O.POINTS))(lambda spark, sf, _c=_k: scorers.points(ind(spark, sf)).select("ticker", "date", f"score_{_c}"))
+
+
+@query("SCO-09", O.query("SELECT ticker, date, CAST(score AS INTEGER) AS score, signal FROM scored", O.BARS, O.INDICATORS, O.POINTS))
+def sco09(spark, sf):
+    return scorers.points(ind(spark, sf)).select("ticker", "date", "score", "signal")
+
+
+@query("SCO-11", O.query("SELECT ticker, date, CAST(score AS INTEGER) AS score FROM (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1) WHERE score >= 20", O.BARS, O.INDICATORS, O.POINTS))
+def sco11(spark, sf):
+    return scan.latest(scorers.points(ind(spark, sf))).filter("score >= 20").select("ticker", "date", "score").orderBy(F.desc("score"), "ticker")
+
+
+@query("SRT-03", O.query("SELECT ticker, date, CAST(score AS INTEGER) AS score FROM scored ORDER BY score DESC, ticker, date LIMIT 10", O.BARS, O.INDICATORS, O.POINTS))
+def srt03(spark, sf):
+    return scorers.points(ind(spark, sf)).select("ticker", "date", "score").orderBy(F.desc("score"), "ticker", "date").limit(10)
+
+
+@query("SCO-14", O.query("""SELECT a.ticker, a.date, CASE WHEN NOT coalesce(x.turnover_5d >= 1000000 AND a.dividend_yield >= 4, false) THEN 0 WHEN x.vol_accum_5d_rank <= 30 THEN 100 ELSE 80 END AS score
+  FROM act a ASOF LEFT JOIN ctx x ON a.ticker = x.ticker AND a.date >= x.date""", O.BARS, O.INDEX, O.CONTEXT, O.EVENTS))
+def sco14(spark, sf):
+    e = joins.as_of(B.actions(spark, sf), ctx(spark, sf), ["turnover_5d", "vol_accum_5d_rank"])
+    e = e.withColumnRenamed("bar_turnover_5d", "turnover_5d").withColumnRenamed("bar_vol_accum_5d_rank", "vol_accum_5d_rank")
+    return e.select("ticker", "date", scorers.event_score(TURNOVER, 4.0, 30.0).alias("score"))
+
+
+@query("RSK-04", O.query("""SELECT ticker, date, round(stop_loss, 2) AS stop_loss, round(CASE WHEN stop_loss > 0 THEN least(100000 / (close - stop_loss) * close, 2500000) END, -1) AS position_value, round(av, 4) AS avg_volume, av >= 100 AND tv >= 1000000 AS liquid
+  FROM (SELECT ticker, date, close, round_even(close - atr_14 * 2, 2) AS stop_loss, avg(volume) OVER m AS av, avg(volume * close) OVER m AS tv FROM ind WINDOW m AS (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING) QUALIFY atr_14 > 0)""", O.BARS, O.INDICATORS))
+def rsk04(spark, sf):
+    df = risk.assess(ind(spark, sf), RISK).filter("atr_14 > 0")
+    value = F.when(F.col("stop_loss") > 0, F.least(100_000 / (F.col("close") - F.col("stop_loss")) * F.col("close"), F.lit(2_500_000.0)))
+    return df.select("ticker", "date", "stop_loss", F.round(value, -1).alias("position_value"), F.round("avg_volume", 4).alias("avg_volume"), "liquid")
+
+
+# --- observations ----------------------------------------------------------------------------------------------------
+@query("TAG-10", O.query("SELECT ticker, date, array_to_string(all_ids, ',') AS tag_ids, CAST(len(unusual) AS INTEGER) AS unusual_count FROM tagged", O.BARS, O.INDICATORS, O.TAGS))
+def tag10(spark, sf):
+    return tags.evaluate(ind(spark, sf)).select("ticker", "date", F.array_join(F.transform("all_tags", lambda x: x["tag_id"]), ",").alias("tag_ids"), "unusual_count")
+
+
+for _id, _names in {"TAG-01": "VOLUME_SPIKE", "TAG-02": "TREND_ALIGNMENT_UP TREND_ALIGNMENT_DOWN", "TAG-03": "RESISTANCE_BREAKOUT SUPPORT_BREAKDOWN", "TAG-04": "HIGH_RSI_RELATIVE LOW_RSI_RELATIVE", "TAG-05": "BB_SQUEEZE", "TAG-06": "MACD_BULLISH_CROSS MACD_BEARISH_CROSS", "TAG-07": "EMA50_FAR_ABOVE EMA50_FAR_BELOW", "TAG-08": "ATR_EXPANSION", "TAG-09": "GAP_UP GAP_DOWN"}.items():
+    _sql = ", ".join(f"round(CAST(CASE WHEN n >= 60 THEN {t.lower()} END AS DOUBLE), 6) AS {t.lower()}" for t in _names.split())
+    query(_id, O.query(f"SELECT ticker, date, {_sql} FROM tags", O.BARS, O.INDICATORS, O.TAGS))(lambda spark, sf, _n=_names: tags.evaluate(ind(spark, sf)).select("ticker", "date", *[F.col(f"t_{t}").alias(t.lower()) for t in _n.split()]))
+
+
+@query("SCN-01", O.query("SELECT ticker, date, round(close, 6) AS close, round(turnover_5d, 6) AS turnover_5d, CAST(len(unusual) AS INTEGER) AS unusual_count, array_to_string(unusual, ',') AS unusual_tags, attention, level FROM scan", O.BARS, O.INDICATORS, O.TAGS, O.LATEST, O.OPINION))
+def scn01(spark, sf):
+    out = scan.unusual(bars(spark, sf))
+    return out.select("ticker", "date", "close", "turnover_5d", "unusual_count", F.array_join("unusual_tags", ",").alias("unusual_tags"), "attention", "level")
+
+
+for _id in ("SRT-02", "OPN-01"):
+    QUERIES[_id], ORACLE_SQL[_id] = QUERIES["SCN-01"], ORACLE_SQL["SCN-01"]
+
+
+@query("SCN-02", None)
+def scn02(spark, sf):
+    return scan.report(bars(spark, sf), B.sectors(spark, sf)).drop("all_tags", "unusual_tags")
+
+
+MASKS = """
+k0 AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back FROM ind QUALIFY back <= {rows}),
+k1 AS (SELECT *, quantile_cont(volume_ratio_20d, 0.9) OVER p AS qv, quantile_cont(rsi_14, 0.9) OVER p AS qr, quantile_cont(rsi_14, 0.1) OVER p AS ql, quantile_cont(bb_width, 0.1) OVER p AS qw, count(volume_ratio_20d) OVER p AS nv, count(rsi_14) OVER p AS nr, count(bb_width) OVER p AS nw,
+  count(atr_14) OVER p AS na, CASE WHEN count(high) OVER b >= 20 THEN max(high) OVER b END AS top, CASE WHEN count(atr_14) OVER a >= 20 THEN avg(atr_14) OVER a END AS atrs, lag(macd) OVER w AS m1, lag(macd_signal) OVER w AS s1, lag(high) OVER w AS ph, lag(low) OVER w AS pl
+  FROM k0 WINDOW p AS (PARTITION BY ticker), w AS (PARTITION BY ticker ORDER BY date), b AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING)),
+k2 AS (SELECT ticker, date, back, unnest([{{'t': 'VOLUME_SPIKE', 'm': nv > 10 AND volume_ratio_20d >= qv}}, {{'t': 'HIGH_RSI_RELATIVE', 'm': nr > 10 AND rsi_14 >= qr}}, {{'t': 'LOW_RSI_RELATIVE', 'm': nr > 10 AND rsi_14 <= ql}}, {{'t': 'BB_SQUEEZE', 'm': nw > 10 AND bb_width <= qw}},
+  {{'t': 'RESISTANCE_BREAKOUT', 'm': close > top}}, {{'t': 'SUPPORT_BREAKDOWN', 'm': false}}, {{'t': 'TREND_ALIGNMENT_UP', 'm': false}}, {{'t': 'TREND_ALIGNMENT_DOWN', 'm': false}}, {{'t': 'MACD_BULLISH_CROSS', 'm': m1 <= s1 AND macd > macd_signal}}, {{'t': 'MACD_BEARISH_CROSS', 'm': m1 >= s1 AND macd < macd_signal}},
+  {{'t': 'EMA50_FAR_ABOVE', 'm': (close - ema_50) / ema_50 * 100 > 5}}, {{'t': 'EMA50_FAR_BELOW', 'm': (close - ema_50) / ema_50 * 100 < -5}}, {{'t': 'ATR_EXPANSION', 'm': na >= 20 AND atr_14 / nullif(atrs, 0) >= 1.5}},
+  {{'t': 'GAP_UP', 'm': (open - ph) / nullif(ph, 0) * 100 >= 1}}, {{'t': 'GAP_DOWN', 'm': (open - pl) / nullif(pl, 0) * 100 <= -1}}]) AS x FROM k1),
+masks AS (SELECT ticker, date, back, x.t AS tag_id, coalesce(x.m, false) AS m FROM k2)"""
+
+
+@query("RAR-02", O.query("SELECT ticker, tag_id, count_if(m AND back > 1) AS occurrences, max(CASE WHEN m AND back > 1 THEN date END) AS last_occurrence FROM masks GROUP BY 1, 2", O.BARS, O.INDICATORS, MASKS.format(rows=252)))
+def rar02(spark, sf):
+    return tags.rarity(ind(spark, sf))
+
+
+@query("RAR-01", O.query("SELECT tag_id, count_if(m) AS n FROM masks GROUP BY 1", O.BARS, O.INDICATORS, MASKS.format(rows=1_000_000)))
+def rar01(spark, sf):
+    return tags.long_form(tags.masks(S.by_series(ind(spark, sf))), "m_", "m").groupBy("tag_id").agg(F.count_if("m").alias("n"))
+
+
+@query("STRK-01", O.query("SELECT ticker, tag_id, CAST(CASE WHEN count(*) < 60 THEN 1 ELSE greatest(1, coalesce(min(CASE WHEN NOT m THEN back END) - 1, count(*))) END AS BIGINT) AS streak FROM masks GROUP BY 1, 2", O.BARS, O.INDICATORS, MASKS.format(rows=1_000_000)))
+def strk01(spark, sf):
+    return tags.streaks(ind(spark, sf))
+
+
+@query("BRD-01", O.query("SELECT tag_id, count(*) AS n, (SELECT count(DISTINCT ticker) FROM bars) AS universe, count(*) >= 6 AS is_broad FROM (SELECT unnest(unusual) AS tag_id FROM scan) GROUP BY 1", O.BARS, O.INDICATORS, O.TAGS, O.LATEST, O.OPINION))
+def brd01(spark, sf):
+    b = bars(spark, sf)
+    universe = b.select("ticker").distinct().agg(F.count("*").alias("n"))
+    return tags.breadth(scan.unusual(b), universe.scalar())
+
+
+@query("BRD-03", O.query("""SELECT s.ticker, coalesce(x.sector, 'Lainnya') AS sector, CAST(coalesce(len(p), 0) AS BIGINT) AS n_peers, coalesce(array_to_string(list_sort(p)[1:3], ', '), '') AS peers FROM scan s LEFT JOIN sec x USING (ticker)
+  LEFT JOIN (SELECT a.ticker, list(b.ticker) AS p FROM scan a JOIN sec sa ON a.ticker = sa.ticker JOIN sec sb ON sa.sector = sb.sector JOIN scan b ON b.ticker = sb.ticker AND b.ticker <> a.ticker GROUP BY 1) q USING (ticker)""", O.BARS, O.INDICATORS, O.TAGS, O.LATEST, O.OPINION, f"sec AS ({ORACLE_SQL['SRC-21']})"))
+def brd03(spark, sf):
+    return tags.sector_peers(scan.unusual(bars(spark, sf)), B.sectors(spark, sf), B.OTHER_SECTOR)
+
+
+# --- joins -----------------------------------------------------------------------------------------------------------
+@query("AJ-01", O.query("SELECT a.ticker, a.date, CASE WHEN a.date - b.date <= 7 THEN b.date END AS bar_date, CASE WHEN a.date - b.date <= 7 THEN b.close END AS bar_close FROM act a ASOF LEFT JOIN bars b ON a.ticker = b.ticker AND a.date >= b.date", O.BARS, O.EVENTS))
+def aj01(spark, sf):
+    return joins.as_of(B.actions(spark, sf), bars(spark, sf), ["close"], tolerance_days=7).select("ticker", "date", "bar_date", "bar_close")
+
+
+@query("AJ-02", O.query("SELECT a.ticker, a.date AS ex_date, b.date AS cum_date, b.entry_date, b.entry_close FROM act a ASOF LEFT JOIN (SELECT *, lag(date, 10) OVER w AS entry_date, lag(close, 10) OVER w AS entry_close FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)) b ON a.ticker = b.ticker AND a.date > b.date", O.BARS, O.EVENTS))
+def aj02(spark, sf):
+    b = S.by_series(bars(spark, sf)).withColumns({"entry_date": S.lag("date", 10), "entry_close": S.lag("close", 10)})
+    out = joins.as_of(B.actions(spark, sf), b, ["entry_date", "entry_close"], strict=True)
+    return out.select("ticker", F.col("date").alias("ex_date"), F.col("bar_date").alias("cum_date"), F.col("bar_entry_date").alias("entry_date"), F.col("bar_entry_close").alias("entry_close"))
+
+
+@query("IJ-01", O.query("SELECT a.ticker, a.date, coalesce(f.fold, 1) AS fold FROM act a LEFT JOIN franges f ON a.date BETWEEN f.fold_start AND f.fold_end", O.BARS, O.EVENTS, O.FOLDS))
+def ij01(spark, sf):
+    b = bars(spark, sf)
+    return joins.within(B.actions(spark, sf), folds.ranges(folds.walk_forward(b, 5)), F.col("date")).select("ticker", "date", "fold")
+
+
+STUDY = """
+cx AS (SELECT b.ticker, b.date, b.close, x.turnover_5d, x.vol_accum_5d_rank FROM bars b LEFT JOIN ctx x USING (ticker, date)),
+en AS (SELECT *, lag(date, 10) OVER w AS ed, lag(close, 10) OVER w AS ec, lag(turnover_5d, 10) OVER w AS et, lag(vol_accum_5d_rank, 10) OVER w AS er FROM cx WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+study AS (SELECT a.ticker, a.date AS ex_date, b.ed AS entry_date, b.date AS exit_date, b.close / b.ec - 1 AS ret_gross, b.close / b.ec - 1.004 AS ret_net, coalesce(o.close / i.close - 1, 0) AS index_ret, a.dividend_yield, coalesce(f.fold, 1) AS fold
+  FROM (SELECT * FROM act WHERE dividend_yield >= 4) a ASOF JOIN en b ON a.ticker = b.ticker AND a.date > b.date LEFT JOIN mi i ON i.date = b.ed LEFT JOIN mi o ON o.date = b.date LEFT JOIN franges f ON b.date BETWEEN f.fold_start AND f.fold_end
+  WHERE b.et >= 1000000 AND b.ec > 0 AND b.er <= 60)"""
+
+
+@query("BT-03", O.query(f"SELECT ticker, ex_date, entry_date, exit_date, {r('ret_gross ret_net index_ret dividend_yield')}, fold FROM study", O.BARS, O.INDEX, O.CONTEXT, O.EVENTS, O.FOLDS, STUDY))
+def bt03(spark, sf):
+    return backtest.dividends(bars(spark, sf), B.actions(spark, sf), trend(spark, sf), EVENT)
+
+
+for _id in ("IJ-03",):
+    QUERIES[_id], ORACLE_SQL[_id] = QUERIES["BT-03"], ORACLE_SQL["BT-03"]
+
+
+@query("AGG-23", O.query("SELECT count(*) AS n, round(avg(ret_net), 6) AS strategy, round(avg(index_ret), 6) AS benchmark, round(avg(ret_gross - index_ret), 6) AS alpha FROM study", O.BARS, O.INDEX, O.CONTEXT, O.EVENTS, O.FOLDS, STUDY))
+def agg23(spark, sf):
+    d = backtest.dividends(bars(spark, sf), B.actions(spark, sf), trend(spark, sf), EVENT)
+    return d.agg(F.count("*").alias("n"), F.avg("ret_net").alias("strategy"), F.avg("index_ret").alias("benchmark"), F.avg(F.col("ret_gross") - F.col("index_ret")).alias("alpha"))
+
+
+@query("BT-04", O.query("""SELECT a.ticker, b.ed AS entry_date, b.date AS cum_date, a.date AS ex_date, round(a.dividend_yield, 6) AS dividend_yield, b.ec AS entry_price, b.ed = DATE '1996-01-08' AS is_entry_today, DATE '1996-01-08' BETWEEN b.ed AND b.date AS is_active, a.date > m.mx AS is_projected
+  FROM (SELECT * FROM act WHERE dividend_yield >= 4 AND date >= DATE '1996-01-08') a ASOF JOIN (SELECT *, lag(date, 10) OVER w AS ed, lag(close, 10) OVER w AS ec, lag(t, 10) OVER w AS et FROM
+    (SELECT *, CASE WHEN count(*) OVER m >= 3 THEN avg(close * volume) OVER m END AS t FROM bars WINDOW m AS (PARTITION BY ticker ORDER BY date ROWS 4 PRECEDING)) WINDOW w AS (PARTITION BY ticker ORDER BY date)) b
+  ON a.ticker = b.ticker AND a.date > b.date JOIN (SELECT ticker, max(date) AS mx FROM bars GROUP BY 1) m ON m.ticker = a.ticker WHERE b.et >= 1000000""", O.BARS, O.EVENTS))
+def bt04(spark, sf):
+    return backtest.upcoming(bars(spark, sf), B.actions(spark, sf), F.lit("1996-01-08").cast("date"), EVENT)
+
+
+QUERIES["IJ-02"], ORACLE_SQL["IJ-02"] = QUERIES["BT-04"], ORACLE_SQL["BT-04"]
+
+# --- backtests and measures ------------------------------------------------------------------------------------------
+RULES = (O.BARS, O.INDICATORS, O.POINTS, O.FOLDS, O.SIGNALS)
+
+
+@query("WIN-11", O.query("SELECT date, fold FROM folds", O.BARS, O.FOLDS))
+def win11(spark, sf):
+    return folds.walk_forward(bars(spark, sf), 5)
+
+
+@query("WIN-13", O.query("""SELECT split, date, CASE WHEN pos - 1 >= nd - (6 - split) * (nd // 6) THEN 'test' ELSE 'train' END AS part FROM fd CROSS JOIN (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS split)
+  WHERE (pos - 1 >= nd - (6 - split) * (nd // 6) AND pos - 1 < nd - (5 - split) * (nd // 6)) OR pos - 1 < nd - (6 - split) * (nd // 6) - 3""", O.BARS, O.FOLDS))
+def win13(spark, sf):
+    return folds.time_splits(bars(spark, sf), 5, 3)
+
+
+@query("WIN-14", O.query("SELECT count(*) AS n, max(date) AS latest FROM bars JOIN fd USING (date) WHERE pos <= nd - 3", O.BARS, O.FOLDS))
+def win14(spark, sf):
+    return folds.drop_tail(bars(spark, sf), 3).agg(F.count("*").alias("n"), F.max("date").alias("latest"))
+
+
+@query("WIN-02", O.query("SELECT ticker, date, " + ", ".join(f"round(lead(close, {h}) OVER w / close - 1, 6) AS r{h}" for h in (1, 3, 5, 10, 15, 20)) + " FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)", O.BARS))
+def win02(spark, sf):
+    return S.by_series(bars(spark, sf)).select("ticker", "date", *[S.forward_return("close", h).alias(f"r{h}") for h in (1, 3, 5, 10, 15, 20)])
+
+
+@query("WIN-06", O.query("SELECT ticker, date, round(quantile_cont(close, 0.2) OVER f, 6) AS q20, round(quantile_cont(close, 0.9) OVER f, 6) AS q90 FROM bars WINDOW f AS (PARTITION BY ticker ORDER BY date ROWS 49 PRECEDING)", O.BARS))
+def win06(spark, sf):
+    return S.by_series(bars(spark, sf)).select("ticker", "date", *[F.percentile("close", q).over(S.last(50)).alias(f"q{int(q * 100)}") for q in (0.2, 0.9)])
+
+
+@query("WIN-08", O.query("SELECT ticker, date, close FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1", O.BARS))
+def win08(spark, sf):
+    return scan.latest(bars(spark, sf)).select("ticker", "date", "close")
+
+
+SIG = "fold, ticker, date, CAST(score AS INTEGER) AS score, signal, close, round(return_n1, 6) AS return_n1, round(return_n3, 6) AS return_n3, round(return_n5, 6) AS return_n5, return_n3 >= 0.02 AS hit_target, return_n3 >= 0.024 AS hit_target_net"
+
+
+@query("BT-01", O.query(f"SELECT {SIG} FROM sig", *RULES))
+def bt01(spark, sf):
+    return signals(spark, sf)
+
+
+CTX = (O.BARS, O.INDEX, O.CONTEXT, O.FOLDS, "cj AS (SELECT b.*, x.turnover_5d, x.rel_strength_5d_rank, x.vol_accum_5d_rank FROM bars b LEFT JOIN ctx x USING (ticker, date))", O.returns("cj"))
+
+
+@query("BT-02", O.query(f"SELECT {SIG} FROM (SELECT *, 100 AS score, 'BULLISH' AS signal FROM fwd WHERE turnover_5d >= 1000000 AND rel_strength_5d_rank <= 20)", *CTX))
+def bt02(spark, sf):
+    return backtest.contextual(bars(spark, sf), trend(spark, sf), c=CONTEXT)
+
+
+@query("CJ-01", O.query("SELECT t.threshold, f.fold, count(*) AS n, round(avg(return_n3), 6) AS ev FROM fwd f, (SELECT unnest([10.0, 20.0, 30.0, 40.0])::DOUBLE AS threshold) t WHERE rel_strength_5d_rank <= threshold AND return_n3 IS NOT NULL GROUP BY 1, 2", *CTX))
+def cj01(spark, sf):
+    b = bars(spark, sf)
+    rows = backtest.labelled(b.join(ctx(spark, sf).select("ticker", "date", "rel_strength_5d_rank"), ["ticker", "date"], "left"), b, BacktestParams()).filter("return_n3 is not null")
+    rows = rows.withColumn("threshold", F.explode(F.filter(F.array(*[F.lit(float(t)) for t in (10, 20, 30, 40)]), lambda t: F.col("rel_strength_5d_rank") <= t)))
+    return rows.groupBy("threshold", "fold").agg(F.count("*").alias("n"), F.avg("return_n3").alias("ev"))
+
+
+@query("AGG-05", O.query(f"SELECT fold, n, {r('win_rate avg_win avg_loss expected_value worst')} FROM perfold", *RULES, O.METRICS))
+def agg05(spark, sf):
+    return metrics.per_fold(signals(spark, sf))
+
+
+for _id in ("AGG-06", "AGG-07", "AGG-08"):
+    QUERIES[_id], ORACLE_SQL[_id] = QUERIES["AGG-05"], ORACLE_SQL["AGG-05"]
+
+
+@query("AGG-09", O.query("""SELECT n, round(wr, 6) AS win_rate, round(aw, 6) AS avg_win, round(al, 6) AS avg_loss, round(aw / nullif(abs(al), 0), 6) AS win_loss_ratio, round(ev, 6) AS ev_gross, round(ev - 0.004, 6) AS ev_net, round(worst, 6) AS worst, folds_with_data, round(ev_std, 6) AS ev_std,
+  round(m / (ev_std + 1e-6), 6) AS ev_sharpe_like, positive_folds, ev - 0.004 > 0.003 AS ok_ev, wr >= 0.55 AS ok_win_rate, aw / nullif(abs(al), 0) >= 1.2 AS ok_ratio, positive_folds >= 4 AS ok_folds
+  FROM (SELECT count(return_n3) AS n, avg(CASE WHEN return_n3 IS NOT NULL THEN CAST(return_n3 >= 0.02 AS INTEGER) END) AS wr, avg(CASE WHEN return_n3 >= 0.02 THEN return_n3 END) AS aw, avg(CASE WHEN return_n3 < 0.02 THEN return_n3 END) AS al, avg(return_n3) AS ev, min(return_n3) AS worst FROM sig),
+  (SELECT count(expected_value) AS folds_with_data, stddev_pop(expected_value) AS ev_std, avg(expected_value) AS m, count_if(expected_value > 0) AS positive_folds FROM perfold)""", *RULES, O.METRICS))
+def agg09(spark, sf):
+    return metrics.overall(signals(spark, sf))
+
+
+QUERIES["AGG-10"], ORACLE_SQL["AGG-10"] = QUERIES["AGG-09"], ORACLE_SQL["AGG-09"]
+
+
+@query("AGG-11", O.query("""SELECT b.bucket, coalesce(count(return_n3), 0) AS n, round(avg(CAST(return_n3 >= 0.02 AS INTEGER)), 6) AS win_rate, round(avg(return_n3) - 0.004, 6) AS ev_net, CASE WHEN count(return_n3) >= 30 THEN 'ok' WHEN count(return_n3) >= 15 THEN 'caution' ELSE 'too few' END AS reliability
+  FROM (VALUES ('50-64', 50, 64), ('65-74', 65, 74), ('75-84', 75, 84), ('85-100', 85, 100)) b(bucket, lo, hi) LEFT JOIN (SELECT * FROM sig WHERE return_n3 IS NOT NULL) s ON s.score BETWEEN lo AND hi GROUP BY 1""", *RULES))
+def agg11(spark, sf):
+    return metrics.buckets(signals(spark, sf), metrics.RULE_BUCKETS)
+
+
+@query("AGG-03", O.query("SELECT date, round(avg(lead3), 6) AS mean_return, count(lead3) AS n FROM (SELECT date, lead(close, 3) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS lead3 FROM bars) GROUP BY 1", O.BARS))
+def agg03(spark, sf):
+    rows = S.by_series(bars(spark, sf)).select("date", S.forward_return("close", 3).alias("x"))
+    return rows.groupBy("date").agg(F.avg("x").alias("mean_return"), F.count("x").alias("n"))
+
+
+@query("AGG-04", O.query("SELECT count(*) AS days, round(avg(n), 6) AS mean, round(median(n), 6) AS median, count_if(n >= 1) AS days_with_any, count_if(n >= 5) AS days_with_5 FROM (SELECT d.date, coalesce(c, 0) AS n FROM fd d LEFT JOIN (SELECT date, count(*) AS c FROM sig GROUP BY 1) USING (date))", *RULES))
+def agg04(spark, sf):
+    return diagnostics.daily_counts(signals(spark, sf), bars(spark, sf))
+
+
+FEATURES = ["rsi_14", "macd_diff", "volume_ratio_20d", "bb_width", "atr_14"]
+_pairs = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[: i + 1]]
+
+
+@query("AGG-13", O.query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM ind" for a, b in _pairs), O.BARS, O.INDICATORS))
+def agg13(spark, sf):
+    return diagnostics.pearson(ind(spark, sf), FEATURES)
+
+
+IC = """
+ic0 AS (SELECT date, rsi_14 AS a, lead(close, 3) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS b FROM ind),
+ic1 AS (SELECT date, rank() OVER (PARTITION BY date ORDER BY a) + (count(*) OVER (PARTITION BY date, a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY date ORDER BY b) + (count(*) OVER (PARTITION BY date, b) - 1) / 2.0::DOUBLE AS rb FROM ic0 WHERE a IS NOT NULL AND b IS NOT NULL),
+ics AS (SELECT date, count(*) AS n, corr(ra, rb) AS ic FROM ic1 GROUP BY 1 HAVING count(*) >= 6)"""
+
+
+def ics(spark, sf):
+    rows = ind(spark, sf).select("ticker", "date", "rsi_14", S.forward_return("close", 3).alias("r3"))
+    return diagnostics.rank_correlation(rows, "rsi_14", "r3", ["date"])
+
+
+@query("AGG-15", O.query("SELECT date, n, round(ic, 6) AS ic FROM ics", O.BARS, O.INDICATORS, IC))
+def agg15(spark, sf):
+    return ics(spark, sf)
+
+
+@query("AGG-26", O.query("SELECT count(*) AS days, round(avg(ic), 6) AS mean_ic, round(median(ic), 6) AS median_ic, round(stddev_pop(ic), 6) AS std_ic FROM ics", O.BARS, O.INDICATORS, IC))
+def agg26(spark, sf):
+    return diagnostics.mean_ic(ics(spark, sf))
+
+
+@query("AGG-17", O.query("""SELECT n, round(m, 6) AS mean, round(m / (sqrt(g0 + 2 * (5.0::DOUBLE / 6 * g1 + 4.0::DOUBLE / 6 * g2 + 3.0::DOUBLE / 6 * g3 + 2.0::DOUBLE / 6 * g4 + 1.0::DOUBLE / 6 * g5)) / n), 6) AS t FROM (SELECT count(*) AS n, avg(ic) AS m, sum(d * d) AS g0, sum(d * d1) AS g1, sum(d * d2) AS g2, sum(d * d3) AS g3, sum(d * d4) AS g4, sum(d * d5) AS g5 FROM
+  (SELECT ic, d, lag(d) OVER w AS d1, lag(d, 2) OVER w AS d2, lag(d, 3) OVER w AS d3, lag(d, 4) OVER w AS d4, lag(d, 5) OVER w AS d5 FROM (SELECT date, ic, ic - avg(ic) OVER () AS d FROM ics) WINDOW w AS (ORDER BY date)))""", O.BARS, O.INDICATORS, IC))
+def agg17(spark, sf):
+    return diagnostics.newey_west(ics(spark, sf))
+
+
+@query("AGG-18", O.query("SELECT score_volume >= 10 AS strong, count(*) AS n, round(avg(CAST(r3 >= 0.02 AS INTEGER)), 6) AS win_rate FROM (SELECT score_volume, lead(close, 3) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS r3 FROM scored) WHERE r3 IS NOT NULL GROUP BY 1", O.BARS, O.INDICATORS, O.POINTS))
+def agg18(spark, sf):
+    rows = scorers.points(ind(spark, sf)).withColumn("r3", S.forward_return("close", 3))
+    return diagnostics.strong_weak(rows, "score_volume", 20, "r3", 0.02)
+
+
+@query("AGG-19", "SELECT quality, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM labels GROUP BY 1")
+def agg19(spark, sf):
+    return metrics.class_balance(B.read(spark, sf, "labels"), "quality")
+
+
+@query("AGG-20", O.query("SELECT fee, round(ev, 6) AS ev_gross, round(ev - fee, 6) AS ev_net, round(fee / nullif(abs(ev), 0), 6) AS fee_to_gross FROM (SELECT avg(return_n3) AS ev FROM sig), (SELECT unnest([0.004, 0.003, 0.002])::DOUBLE AS fee)", *RULES))
+def agg20(spark, sf):
+    return diagnostics.fee_table(signals(spark, sf), (0.004, 0.003, 0.002))
+
+
+HORIZONS = (1, 3, 5, 10, 15, 20)
+
+
+@query("AGG-21", O.query("SELECT horizon, count(*) AS n, round(avg(r), 6) AS ev_gross, round(avg(r) - 0.004, 6) AS ev_net, round(avg(CAST(r > 0 AS INTEGER)), 6) AS win_rate FROM (" + " UNION ALL ".join(f"SELECT {h} AS horizon, lead(close, {h}) OVER w / close - 1 AS r, score FROM scored WINDOW w AS (PARTITION BY ticker ORDER BY date)" for h in HORIZONS) + ") WHERE score >= 50 AND r IS NOT NULL GROUP BY 1", O.BARS, O.INDICATORS, O.POINTS))
+def agg21(spark, sf):
+    rows = scorers.points(ind(spark, sf)).withColumn("_pick", F.col("score") >= 50)
+    return diagnostics.horizons(rows, HORIZONS, 0.004)
+
+
+@query("AGG-28", O.query("""SELECT threshold, CASE WHEN k < 5 THEN -999.0 WHEN mn < -0.02 THEN round(mn, 6) ELSE round(av + 0.3 * mn + pos / k * 0.001 - CASE WHEN n / 640 > 5 THEN (n / 640 - 5) * 0.001 ELSE 0 END, 6) END AS objective FROM
+  (SELECT threshold, count(ev) AS k, min(ev) AS mn, avg(ev) AS av, count_if(ev > 0) AS pos, sum(n) AS n FROM (SELECT t.threshold, f.fold, count(return_n3) AS n, CASE WHEN count(return_n3) >= 10 THEN avg(return_n3) - 0.004 END AS ev FROM fwd f, (SELECT unnest([10.0, 20.0, 30.0, 40.0])::DOUBLE AS threshold) t WHERE rel_strength_5d_rank <= threshold GROUP BY 1, 2) GROUP BY 1)""", *CTX))
+def agg28(spark, sf):
+    p, b = BacktestParams(), bars(spark, sf)
+    rows = backtest.labelled(b.join(ctx(spark, sf).select("ticker", "date", "rel_strength_5d_rank"), ["ticker", "date"], "left"), b, p)
+    rows = rows.withColumn("threshold", F.explode(F.filter(F.array(*[F.lit(float(t)) for t in (10, 20, 30, 40)]), lambda t: F.col("rel_strength_5d_rank") <= t)))
+    return metrics.objective(metrics.per_fold(rows, p, keys=("threshold", "fold")), p, ["threshold"], p.folds)
+
+
+QUERIES["ML-14"], ORACLE_SQL["ML-14"] = QUERIES["AGG-28"], ORACLE_SQL["AGG-28"]
+
+# --- learning --------------------------------------------------------------------------------------------------------
+PANEL = """
+ml0 AS (SELECT *, lead(close, 3) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS return_n3, CASE WHEN bb_upper - bb_lower = 0 THEN 0 ELSE (close - bb_lower) / (bb_upper - bb_lower) END AS bb_pct_b FROM ind),
+ml1 AS (SELECT *, count(*) OVER (PARTITION BY date) AS nn, quantile_cont(return_n3, 0.7) OVER (PARTITION BY date) AS edge,
+  (rank() OVER (PARTITION BY date ORDER BY rsi_14 NULLS LAST) + (count(*) OVER (PARTITION BY date, rsi_14) - 1) / 2.0::DOUBLE) / count(rsi_14) OVER (PARTITION BY date) AS rsi_14_cs_rank FROM ml0 WHERE return_n3 IS NOT NULL),
+panel AS (SELECT *, CAST(return_n3 >= edge AS INTEGER) AS target FROM ml1 WHERE nn >= 10 AND macd_diff IS NOT NULL AND ema_50 IS NOT NULL AND volume_ratio_20d IS NOT NULL AND bb_pct_b IS NOT NULL AND rsi_14 IS NOT NULL)"""
+
+
+@query("ML-01", O.query("SELECT ticker, date, round(return_n3, 6) AS return_n3, target, round(rsi_14_cs_rank, 6) AS rsi_14_cs_rank, round(bb_pct_b, 6) AS bb_pct_b FROM panel", O.BARS, O.INDICATORS, PANEL))
+def ml01(spark, sf):
+    return learn.panel(ind(spark, sf)).select("ticker", "date", "return_n3", "target", "rsi_14_cs_rank", "bb_pct_b")
+
+
+QUERIES["WIN-07"], ORACLE_SQL["WIN-07"] = QUERIES["ML-01"], ORACLE_SQL["ML-01"]
+
+
+@query("ML-06", O.query("SELECT round(count_if(target = 0) / count_if(target = 1), 6) AS scale FROM panel", O.BARS, O.INDICATORS, PANEL))
+def ml06(spark, sf):
+    return learn.panel(ind(spark, sf)).agg((F.count_if(F.col("target") == 0) / F.count_if(F.col("target") == 1)).alias("scale"))
+
+
+@query("ML-07", O.query("""SELECT fold, round(sum(p * (less + (c - p) / 2.0::DOUBLE)) / nullif(sum(p) * sum(c - p), 0), 6) AS auc FROM (SELECT fold, p, c, coalesce(sum(c - p) OVER (PARTITION BY fold ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS less FROM
+  (SELECT fold, round(rsi_14, 4) AS s, sum(target) AS p, count(*) AS c FROM panel JOIN folds USING (date) GROUP BY 1, 2)) GROUP BY 1""", O.BARS, O.INDICATORS, PANEL, O.FOLDS))
+def ml07(spark, sf):
+    b = bars(spark, sf)
+    rows = learn.panel(ind(spark, sf)).join(F.broadcast(folds.walk_forward(b, 5)), "date").withColumn("s", F.round("rsi_14", 4))
+    return metrics.auc(rows, "target", "s", ["fold"])
+
+
+@query("ML-08", "SELECT tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM (SELECT count_if(quality = 1 AND toxic = 1) AS tp, count_if(quality = 0 AND toxic = 1) AS fp, count_if(quality = 1 AND toxic = 0) AS fn, count_if(quality = 0 AND toxic = 0) AS tn FROM labels)")
+def ml08(spark, sf):
+    return metrics.confusion(B.read(spark, sf, "labels"), "quality", "toxic")
+
+
+@query("ML-10", None)
+def ml10(spark, sf):
+    model, rows = learn.trained(learn.panel(ind(spark, sf)))
+    return learn.scored(model, rows).select("ticker", "date", "score", "signal")
+
+
+@query("WIN-16", None)
+def win16(spark, sf):
+    return learn.sequences(ind(spark, sf)).select("ticker", "date", F.size("steps").alias("n_steps"), F.round(F.aggregate(F.flatten("steps"), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+# --- tables, sets, text ----------------------------------------------------------------------------------------------
+@query("SNK-01", O.query("SELECT ticker, date, close FROM bars WHERE date < DATE '1996-01-01' UNION ALL SELECT ticker, date, close + 1 FROM bars WHERE date >= DATE '1996-01-01'", O.BARS))
+def snk01(spark, sf):
+    b = bars(spark, sf).select("ticker", "date", "close")
+    return store.insert_or_ignore(b.filter("date < date'1996-01-01'"), b.withColumn("close", F.col("close") + 1), ["ticker", "date"])
+
+
+@query("SNK-02", O.query("SELECT ticker, date, close FROM bars WHERE date < DATE '1996-01-01' UNION ALL SELECT ticker, date, close + 1 FROM bars WHERE date >= DATE '1996-01-01'", O.BARS))
+def snk02(spark, sf):
+    b = bars(spark, sf).select("ticker", "date", "close")
+    return store.insert_or_replace(b.filter("date < date'1997-01-01'"), b.filter("date >= date'1996-01-01'").withColumn("close", F.col("close") + 1), ["ticker", "date"])
+
+
+@query("SNK-03", "SELECT c_custkey, coalesce(n.c_name, c.c_name) AS c_name, c.c_mktsegment FROM customer c LEFT JOIN (SELECT c_custkey, upper(c_name) AS c_name FROM customer WHERE c_nationkey < 5) n USING (c_custkey)")
+def snk03(spark, sf):
+    c = B.read(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    new = c.filter("c_nationkey < 5").select("c_custkey", F.upper("c_name").alias("c_name"), F.lit(None).cast("string").alias("c_mktsegment"))
+    return store.merge_known(c.drop("c_nationkey"), new, ["c_custkey"])
+
+
+@query("SET-03", O.query("SELECT DISTINCT p_brand AS ticker FROM part WHERE p_brand NOT IN (SELECT ticker FROM bars GROUP BY 1 HAVING count(*) >= 356)", O.BARS))
+def set03(spark, sf):
+    have = bars(spark, sf).groupBy("ticker").agg(F.count("*").alias("n")).filter("n >= 356").select("ticker")
+    return B.read(spark, sf, "part").select(F.col("p_brand").alias("ticker")).distinct().join(have, "ticker", "left_anti")
+
+
+@query("SUB-01", O.query("SELECT ticker, date, close FROM bars WHERE date = (SELECT max(date) FROM bars WHERE date <= DATE '1997-03-05')", O.BARS))
+def sub01(spark, sf):
+    b = bars(spark, sf)
+    return b.filter(F.col("date") == b.filter("date <= date'1997-03-05'").agg(F.max("date")).scalar()).select("ticker", "date", "close")
+
+
+@query("JN-06", O.query("SELECT s.ticker, s.date, round(s.return_n3 - b.m, 6) AS excess FROM sig s LEFT JOIN (SELECT date, avg(x) AS m FROM (SELECT date, lead(close, 3) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS x FROM bars) GROUP BY 1) b USING (date)", *RULES))
+def jn06(spark, sf):
+    return signals(spark, sf).join(agg03(spark, sf), "date", "left").select("ticker", "date", (F.col("return_n3") - F.col("mean_return")).alias("excess"))
+
+
+@query("JN-07", O.query("SELECT count(*) AS n FROM bars WHERE date IN (SELECT date FROM folds WHERE fold <= 2)", O.BARS, O.FOLDS))
+def jn07(spark, sf):
+    b = bars(spark, sf)
+    return b.join(folds.walk_forward(b, 5).filter("fold <= 2").select("date"), "date", "left_semi").agg(F.count("*").alias("n"))
+
+
+@query("STR-03", r"SELECT conv_id, turn, role, array_to_string(list_filter(list_distinct_ordered, lambda w: true), ',') AS tickers FROM (SELECT *, list_filter([regexp_replace(w, '\.?JK$', '') FOR w IN regexp_extract_all(upper(replace(replace(text, ',', ' '), 'ß', 'SS')), '[A-Z0-9.]+')], lambda w: regexp_full_match(w, '[A-Z]{4}')) AS ws, [w FOR w, i IN ws IF list_position(ws, w) = i] AS list_distinct_ordered FROM conversations)")
+def str03(spark, sf):
+    return B.read(spark, sf, "conversations").select("conv_id", "turn", "role", F.array_join(T.tickers_in(F.col("text")), ",").alias("tickers"))
+
+
+@query("STR-06", r"SELECT doc_id, md5(regexp_replace(text, '([_*`\[])', '\\\1', 'g')) AS escaped, CASE WHEN length(text) > 60 THEN substring(text, 1, 60) || '...' ELSE text END AS short FROM documents")
+def str06(spark, sf):
+    t = F.col("text")
+    return B.read(spark, sf, "documents").select("doc_id", F.md5(T.escaped(t).cast("binary")).alias("escaped"), T.cut(t, 60).alias("short"))
+
+
+@query("STR-07", None)
+def str07(spark, sf):
+    from .functions.chunks import split
+
+    return split(B.read(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "piece_no", F.length("piece").alias("n"))
+
+
+@query("STR-01", "SELECT DISTINCT p_brand, CASE WHEN upper(trim(p_brand)) LIKE '%.JK' THEN upper(trim(p_brand)) ELSE upper(trim(p_brand)) || '.JK' END AS ticker FROM part")
+def str01(spark, sf):
+    return B.read(spark, sf, "part").select("p_brand", T.normal_ticker(F.col("p_brand")).alias("ticker")).distinct()
+
+
+@query("JSN-02", "SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2")
+def jsn02(spark, sf):
+    k = F.from_json("props", "k long")["k"]
+    return B.read(spark, sf, "events").groupBy("event_type", k.alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("DAT-02", "SELECT o_orderkey, CAST(o_orderdate AS DATE) + 10 AS later, CAST(DATE '1999-01-01' - CAST(o_orderdate AS DATE) AS INTEGER) AS days, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders")
+def dat02(spark, sf):
+    d = F.col("o_orderdate").cast("date")
+    return B.read(spark, sf, "orders").select("o_orderkey", F.date_add(d, 10).alias("later"), F.datediff(F.lit("1999-01-01").cast("date"), d).alias("days"), F.date_format(d, "yyyy-MM-dd").alias("iso"))
+
+
+# --- streaming -------------------------------------------------------------------------------------------------------
+@query("STM-01", """SELECT event_type AS ticker, date_trunc('hour', ts) AS date, arg_min(value, k) AS open, max(value) AS high, min(value) AS low, arg_max(value, k) AS close, count(*)::DOUBLE AS volume FROM (SELECT *, row(ts, event_id, value) AS k FROM events) GROUP BY 1, 2""")
+def stm01(spark, sf):
+    return B.hourly(spark, sf)
