@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from barloom import registry
+from barloom import catalog as registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.001"
