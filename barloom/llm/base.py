@@ -30,6 +30,7 @@ LOWER[65:91] += 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -60,12 +61,20 @@ def unpark(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Rows that Spark reads or hands over at once, for texts: with the defaults (4,096 and 10,000) every running task would fill tens of MB
+#: in the JVM, in pieces that its heap handles badly, and again in Python. A session that sets other values keeps them.
+BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
+
+
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """df.mapInArrow, with smaller Arrow batches than Spark's default, which a session may set otherwise: texts are long,
-    and 10,000 of them would fill tens of MB in the JVM and again in Python, for each running task."""
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """df.mapInArrow, in batches that suit texts."""
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
