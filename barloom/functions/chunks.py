@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
+
 
 def pieces(text: str | None, most: int) -> Iterator[str]:
     """Pieces of at most `most` characters, cut at the last newline, else the last space, else hard."""
@@ -23,6 +25,7 @@ def pieces(text: str | None, most: int) -> Iterator[str]:
 
 def split(df: DataFrame, text: str, most: int = 4000, out: str = "piece") -> DataFrame:
     """One row for each piece; Arrow hands the texts over in batches."""
+    ship(df.sparkSession)
     fn = F.pandas_udf(lambda s: s.map(lambda t: list(pieces(t, most))), T.ArrayType(T.StringType()))
     return df.select("*", F.posexplode(fn(F.col(text))).alias("piece_no", out))
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..session import ship
+
 CSV = "date date, open double, high double, low double, close double, volume double"
 RSS = "title string, pubDate string, description string"
 
@@ -103,6 +105,7 @@ class ReplayReader(DataSourceReader):
 class ReplayProvider(Provider):
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        ship(spark)
         spark.dataSource.register(ReplaySource)
 
     def fetch(self, tickers, start=None, end=None):
