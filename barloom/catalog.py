@@ -426,6 +426,19 @@ def ml09(spark, sf):
     return spark.createDataFrame([(n, float(v)) for n, v in learn.importances(model)[:8]], "feature string, importance double")
 
 
+@query("ML-11", None)
+def ml11(spark, sf):
+    model, rows = learn.trained(learn.panel(ind(spark, sf)))
+    out = learn.contributions(model, scan.latest(rows), rows)
+    return out.select("ticker", "date", F.size("reasons").alias("n"), F.element_at("reasons", 1)["feature"].alias("first"))
+
+
+@query("ML-13", None)
+def ml13(spark, sf):
+    model, rows = learn.sequence_classifier(ind(spark, sf))
+    return model.transform(scan.latest(rows)).select("ticker", "date", learn.probability().alias("p"))
+
+
 @query("ML-12", None)
 def ml12(spark, sf):
     model, rows = learn.trained(learn.panel(ind(spark, sf)))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,3 +75,24 @@ def sequences(rows: DataFrame, steps: int = 20) -> DataFrame:
     channels = F.array(c / F.first("close").over(S.last(steps)) - 1, (F.col("high") - F.col("low")) / c, F.log1p("volume"), F.coalesce(F.col("rsi_14") / 100, F.lit(0.5)), F.coalesce("volume_ratio_20d", F.lit(1.0)))
     df = S.by_series(rows).withColumn("_x", channels).withColumn("_h", F.collect_list("_x").over(S.last(steps)))
     return df.withColumn("steps", F.concat(F.array_repeat(F.element_at("_h", 1), steps - F.size("_h")), F.col("_h"))).drop("_x", "_h")
+
+
+def contributions(model: PipelineModel, rows: DataFrame, background: DataFrame, least: float = 0.01) -> DataFrame:
+    """ticker, date, reasons: what each feature adds to a row's probability, against the same row with the feature at its mean
+    over the background; small ones left out, the largest first. Every row is scored once for each feature, in one job."""
+    means = background.agg(*[F.avg(f).alias(f"_m_{f}") for f in FEATURES])
+    wide = rows.select("ticker", "date", *FEATURES).join(F.broadcast(means))  # one row of means
+    which = F.explode(F.array(F.lit(""), *map(F.lit, FEATURES)))
+    varied = wide.withColumn("_f", which).withColumns({f: F.when(F.col("_f") == f, F.col(f"_m_{f}")).otherwise(F.col(f)) for f in FEATURES})
+    scored_ = model.transform(varied).select("ticker", "date", "_f", probability().alias("_p"))
+    own = F.max(F.when(F.col("_f") == "", F.col("_p"))).over(Window.partitionBy("ticker", "date"))
+    parts = scored_.withColumn("_d", own - F.col("_p")).filter((F.col("_f") != "") & (F.abs("_d") > least))
+    pairs = F.array_sort(F.collect_list(F.struct((-F.abs("_d")).alias("k"), F.col("_f").alias("feature"), F.col("_d").alias("adds"))))
+    return parts.groupBy("ticker", "date").agg(F.transform(pairs, lambda x: F.struct(x["feature"], x["adds"])).alias("reasons"))
+
+
+def sequence_classifier(rows: DataFrame, steps: int = 20, hidden: int = 16, seed: int = 42):
+    """A small network over flattened sequences (`sequences`), and its rows with features. label: a positive forward return."""
+    data = sequences(rows, steps).withColumn("r", S.forward_return("close", 3)).filter("r is not null")
+    data = data.select("ticker", "date", array_to_vector(F.flatten("steps")).alias("features"), (F.col("r") > 0).cast("int").alias("label"))
+    return MultilayerPerceptronClassifier(layers=[5 * steps, hidden, 2], maxIter=30, seed=seed).fit(data), data
