@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Bytes of text a kernel works on at once.
 CHUNK_BYTES = 1 << 20
 
@@ -73,7 +75,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """df.mapInArrow, in batches that suit texts."""
+    """df.mapInArrow, in batches that suit texts, with this package's source at hand on the executors."""
+    ship(df.sparkSession)
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import as_text, chunks, map_arrow
+from .base import as_text, chunks, map_arrow, park
 from .running import running_total
 
 PHI = 0.6180339887498949
@@ -122,10 +122,7 @@ def mix(documents: DataFrame, p: Params = Params(), id_col: str = "doc_id", text
     """id, size, source_size, target, taken for each row: the words of it that the schedule's blocks take."""
     spark = documents.sparkSession
     src = documents.select(documents[id_col].alias("_id"), documents[source_col].cast("string").alias("source"), as_text(documents, text_col).alias("_text"))
-    sizes = word_counts(src, ["_id", "source"], "_text")
-    from .base import park
-
-    sizes = park(sizes)
+    sizes = park(word_counts(src, ["_id", "source"], "_text"))
     per = targets(sizes, p).persist()
     rows = shuffled(sizes, p, "_id")
     slots = schedule(spark, per, p)
