@@ -6,8 +6,8 @@ document's quality as its (noisy) label, and the gradient of the conditional lik
 number of steps on at most `sample_rows` documents.
 
 Null and empty texts have one empty line and no word: they fail the base rule. Rows with equal ids are judged
-each for itself, and a null id is carried through. Without labelled rows the weights are zero and the base
-rule alone decides.
+each for itself, and a null id is carried through. Labellings that score alike count as content, so that without labelled
+rows, where all weights are zero, the base rule alone decides.
 """
 
 from __future__ import annotations
@@ -146,10 +146,10 @@ class Field:
         for k, docs, at in walk:
             if k:
                 through = best[docs][:, :, None] + self.trans[None]
-                back[at] = through.argmax(1)
+                back[at] = through[:, 1] >= through[:, 0]
                 best[docs] = through.max(1)
             best[docs, 1] += score[at]
-        label, state = np.zeros(len(features), np.int8), best.argmax(1).astype(np.int8)
+        label, state = np.zeros(len(features), np.int8), (best[:, 1] >= best[:, 0]).astype(np.int8)
         last = np.diff(line_off) - 1
         for k, docs, at in reversed(walk):
             inner = last[docs] > k
