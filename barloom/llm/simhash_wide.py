@@ -6,8 +6,8 @@ similarity, to about 0.015 with 1,280 bits. Each word is split into parts as in
 texts that agree in a part and are close in size are candidates, which the first four words screen and all words verify. Of pairs at a similarity of 0.8, 0.85 and 0.9 about 84 %, 96 % and 99.8 % become candidates, and
 groups need only a chain of links.
 
-All work after fingerprinting is on distinct fingerprints, and no group is paired: those that share a part's value meet the least of them only, and
-those that the screen tells apart from it go on to the next least. What is left after `rounds` is paired. The order is the same for all
+All work after fingerprinting is on distinct fingerprints. Those that share a part's value are paired where they are few. Where they are many they meet
+the least of them, and all that aren't similar to it by their whole fingerprints go on to the next least. What is left after `rounds` is paired. The order is the same for all
 parts, so that the members of a large group of near copies meet few different first ones. Null and empty texts have no shingle and are copies of each other.
 """
 
@@ -31,7 +31,7 @@ SCREEN = 4
 
 @dataclass(frozen=True)
 class Params:
-    """similarity: least Jaccard similarity of a link. parts: of each word. sample: fingerprints to group bits by, a bound. screen: most differing bits of the first four words."""
+    """similarity: least Jaccard similarity of a link. parts: of each word. sample: fingerprints to group bits by, a bound. screen: most differing bits of the first four words. bucket: most fingerprints with a part's value that are paired at once."""
 
     shingle: int = 5
     words: int = 20
@@ -40,6 +40,7 @@ class Params:
     sample: int = 1024
     rounds: int = 6
     screen: int = 60
+    bucket: int = 24
 
 
 def wide_fingerprint(text: bytes, p: Params) -> tuple[int, np.ndarray]:
@@ -101,26 +102,33 @@ def links(distinct: DataFrame, p: Params) -> DataFrame:
     size = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / float(-np.log(p.similarity)))
     rows = distinct.select("node", size.alias("b"), F.explode(F.array(*kinds)).alias("k")).select("node", "k.part", "k.sig", F.explode(F.array("b", F.col("b") + 1)).alias("b"))
     rows = rows.select("node", "part", F.xxhash64("sig", "b").alias("sig"))
-    several = rows.groupBy("part", "sig").agg(F.count("*").alias("c")).filter("c > 1").select("part", "sig")
+    several = rows.groupBy("part", "sig").agg(F.count("*").alias("c")).filter("c > 1")
     screens = distinct.select("node", F.slice("fp", 1, SCREEN).alias("s"))
-    left, pairs = park(rows.join(several, ["part", "sig"], "left_semi").join(screens, "node").select("part", "sig", "node", "s")), []
+    held = park(rows.join(several, ["part", "sig"]).join(screens, "node").select("part", "sig", "node", "s", (F.col("c") <= p.bucket).alias("small")))
+
+    def paired(rows: DataFrame) -> DataFrame:
+        u, v = rows.select("part", "sig", F.col("node").alias("u"), F.col("s").alias("su")), rows.select("part", "sig", F.col("node").alias("v"), F.col("s").alias("sv"))
+        return u.join(v, ["part", "sig"]).filter((F.col("u") > F.col("v")) & (apart("su", "sv", SCREEN) <= p.screen)).select("u", "v").distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a = distinct.select(F.col("node").alias("u"), F.col("fp").alias("fa"), F.col("n").alias("na"))
+        b = distinct.select(F.col("node").alias("v"), F.col("fp").alias("fb"), F.col("n").alias("nb"))
+        return pairs.join(a, "u").join(b, "v").filter(similar(p)).select("u", "v")
+
+    found = verified(paired(held.filter("small")))
+    left = held.filter("not small").select("part", "sig", "node", "s")
     for _ in range(p.rounds):
+        if left.isEmpty():
+            return found.distinct()
         first = left.groupBy("part", "sig").agg(F.min(F.struct("node", "s")).alias("f"))
         both = left.join(first.withColumnsRenamed({"part": "_p", "sig": "_s"}), (F.col("part") == F.col("_p")) & (F.col("sig") == F.col("_s"))).filter(F.col("node") != F.col("f.node"))
-        judged = park(both.withColumn("sf", F.col("f.s")).select("part", "sig", "node", "s", F.col("f.node").alias("first"), (apart("s", "sf", SCREEN) <= p.screen).alias("near")))
-        pairs.append(judged.filter("near").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct())
-        left = judged.filter("not near").select("part", "sig", "node", "s")
-        if left.isEmpty():
-            break
-    else:
-        u, v = left.select("part", "sig", F.col("node").alias("u"), F.col("s").alias("su")), left.select("part", "sig", F.col("node").alias("v"), F.col("s").alias("sv"))
-        pairs.append(u.join(v, ["part", "sig"]).filter((F.col("u") > F.col("v")) & (apart("su", "sv", SCREEN) <= p.screen)).select("u", "v").distinct())
-    found = pairs[0]
-    for more in pairs[1:]:
-        found = found.union(more)
-    a = distinct.select(F.col("node").alias("u"), F.col("fp").alias("fa"), F.col("n").alias("na"))
-    b = distinct.select(F.col("node").alias("v"), F.col("fp").alias("fb"), F.col("n").alias("nb"))
-    return found.distinct().join(a, "u").join(b, "v").filter(similar(p)).select("u", "v")
+        both = park(both.withColumn("sf", F.col("f.s")).select("part", "sig", "node", "s", F.col("f.node").alias("first"), (apart("s", "sf", SCREEN) <= p.screen).alias("near")))
+        # the screen lets mere relatives through, so only those that the whole fingerprint finds similar leave
+        linked = park(verified(both.filter("near").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()))
+        found = found.union(linked)
+        gone = linked.withColumnsRenamed({"u": "_u", "v": "_v"})
+        left = park(both.join(gone, (F.col("node") == F.col("_u")) & (F.col("first") == F.col("_v")), "left_anti").select("part", "sig", "node", "s"))
+    return found.union(verified(paired(left))).distinct()
 
 
 def groups(documents: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -61,3 +61,20 @@ def test_large_groups_of_near_copies(spark):
     for p in (W.Params(), W.Params(rounds=1)):
         got = {r["doc_id"]: r["component_id"] for r in W.groups(df, p).collect()}
         assert len({got[i] for i in range(600)}) == 3 and all(got[1000 + i] == 1000 + i for i in range(50)) and got[2001] == 2000
+
+
+def test_pairs_hidden_in_a_family_of_relatives(spark):
+    """All texts of a family share 82 % of their shingles (a similarity of about 0.7); every tenth has a near copy at about 0.9."""
+    rng = random.Random(11)
+    shared = [f"s{rng.randrange(10**6)}" for _ in range(328)]
+    rows, pairs = [], []
+    for i in range(1500):
+        own = [f"o{rng.randrange(10**9)}" for _ in range(72)]
+        rows.append((i, " ".join(shared + own)))
+        if i % 10 == 0:
+            rows.append((10_000 + i, " ".join(shared + own[:54] + [f"n{rng.randrange(10**9)}" for _ in range(18)])))
+            pairs.append((i, 10_000 + i))
+    sets = {d: shingles(t) for d, t in rows}
+    assert all(0.9 < len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.92 for a, b in pairs) and len(sets[1] & sets[2]) < 0.72 * len(sets[1] | sets[2])
+    got = {r["doc_id"]: r["component_id"] for r in W.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.98 * len(pairs)
