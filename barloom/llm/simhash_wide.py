@@ -2,19 +2,21 @@
 
 A text's fingerprint has `words` words of 64 bits, each the SimHash of its distinct shingles under another mixing of their XXH64. The share
 of bits in which two fingerprints differ estimates the angle between the texts' shingle sets, and with the sets' sizes their Jaccard
-similarity, to about 0.015 with 1,280 bits. Each word is split into parts as in `simhash`, groups of correlated bits with a threshold of 0;
-texts that agree in a part and are close in size are candidates, which the first four words screen and all words verify. Of pairs at a similarity of 0.8, 0.85 and 0.9 about 84 %, 96 % and 99.8 % become candidates, and
-groups need only a chain of links.
-
-All work after fingerprinting is on distinct fingerprints. Those that share a part's value are paired where they are few. Where they are many they meet
-the least of them, and all that aren't similar to it by their whole fingerprints go on to the next least. What is left after `rounds` is paired. The order is the same for all
-parts, so that the members of a large group of near copies meet few different first ones. Null and empty texts have no shingle and are copies of each other.
+similarity, with a deviation of about 0.02 at 0.8 with 1,280 bits. Each word is split into parts as in `simhash`, groups of correlated bits with a threshold of 0;
+texts that agree in a part and are close in size are candidates, which the first four words screen and all words choose from. These links join most near copies, but of pairs at exactly 0.8
+some 16 % share no part and the estimate misses half, so they don't decide: every link is verified by counting the common shingles, and pairs that the links left apart are found by
+the shingles themselves (`missing`), with nothing lost. Only the hashes of shingles, 64 bits, and the screen of long texts there (six deviations) are a matter of probability.
+
+All work after fingerprinting is on distinct sets of shingles, and the links pair no group: those that share a part's value meet the least of them, and all that aren't similar to it by
+their whole fingerprints go on to the next least, for some rounds. The order is the same for all parts, so that the members of a large group of near copies meet few different first ones.
+`missing` then pairs only texts of different components. Null and empty texts have no shingle and are copies of each other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import as_text, chunks, map_arrow, mix, park
+from .base import as_text, chunks, map_arrow, mix, park, unpark
 from .components import connected
 from .simhash import mask_of, signed, split_bits
 
@@ -31,7 +33,8 @@ SCREEN = 4
 
 @dataclass(frozen=True)
 class Params:
-    """similarity: least Jaccard similarity of a link. parts: of each word. sample: fingerprints to group bits by, a bound. screen: most differing bits of the first four words. bucket: most fingerprints with a part's value that are paired at once."""
+    """similarity: least Jaccard similarity of a link. parts: of each word. sample: fingerprints to group bits by, a bound. screen: most differing bits of the first four words.
+    sample_texts, common: texts in which common shingles are looked for, and how many are put last, bounds. long: shingles from which a fingerprint may tell texts apart."""
 
     shingle: int = 5
     words: int = 20
@@ -40,16 +43,29 @@ class Params:
     sample: int = 1024
     rounds: int = 6
     screen: int = 60
-    bucket: int = 24
+    sample_texts: int = 10_000
+    common: int = 1 << 17
+    long: int = 100
 
 
-def wide_fingerprint(text: bytes, p: Params) -> tuple[int, np.ndarray]:
-    """The number of distinct shingles, and the fingerprint's words."""
+def shingle_hashes(text: bytes, p: Params) -> np.ndarray:
+    """The hashes of the distinct shingles, in order."""
     own, k, h = text.lower().split(), p.shingle, xxhash.xxh64_intdigest
     if not own:
-        return 0, np.zeros(p.words, np.int64)
+        return np.zeros(0, np.uint64)
     grams = zip(*(own[i:] for i in range(k))) if len(own) >= k else [own]
-    hashes = np.unique(np.array([h(b" ".join(g), 42) for g in grams], np.uint64))
+    return np.unique(np.array([h(b" ".join(g), 42) for g in grams], np.uint64))
+
+
+def node_of(hashes: np.ndarray) -> int:
+    """A number for a set of shingles."""
+    x = xxhash.xxh64_intdigest(hashes.tobytes(), 7)
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def wide_fingerprint(hashes: np.ndarray, p: Params) -> np.ndarray:
+    if not len(hashes):
+        return np.zeros(p.words, np.int64)
     out = np.zeros(p.words, np.uint64)
     for j in range(p.words):
         mixed = mix(hashes + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
@@ -58,23 +74,99 @@ def wide_fingerprint(text: bytes, p: Params) -> tuple[int, np.ndarray]:
         for at in range(0, len(raw), 1 << 14):
             count += np.unpackbits(raw[at : at + (1 << 14)], axis=1, bitorder="little").sum(0, dtype=np.int64)
         out[j] = np.packbits(2 * count > len(hashes), bitorder="little").view(np.uint64)[0]
-    return len(hashes), out.view(np.int64)
+    return out.view(np.int64)
 
 
 def fingerprints(documents: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
-    """id, n, fp (array), node (its hash) for each row."""
+    """id, n (distinct shingles), fp (array), node (the hash of the set of shingles) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, t in chunks(batches, "_text"):
             raw = t.data.tobytes()
-            got = [wide_fingerprint(raw[a:b], p) for a, b in zip(t.off[:-1], t.off[1:])]
-            words = pa.array(np.concatenate([w for _, w in got]) if got else np.zeros(0, np.int64))
-            off = pa.array((np.arange(len(got) + 1) * p.words).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([n for n, _ in got], pa.int64()), pa.ListArray.from_arrays(off, words)], names=["_id", "n", "fp"])
+            sets = [shingle_hashes(raw[a:b], p) for a, b in zip(t.off[:-1], t.off[1:])]
+            words = pa.array(np.concatenate([wide_fingerprint(h, p) for h in sets]) if sets else np.zeros(0, np.int64))
+            off = pa.array((np.arange(len(sets) + 1) * p.words).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id"), pa.array([len(h) for h in sets], pa.int64()), pa.ListArray.from_arrays(off, words), pa.array([node_of(h) for h in sets], pa.int64())],
+                names=["_id", "n", "fp", "node"],
+            )
 
     src = documents.select(documents[id_col].alias("_id"), as_text(documents, text_col).alias("_text"))
-    out = map_arrow(src, run, f"_id {documents.schema[id_col].dataType.simpleString()}, n long, fp array<long>")
-    return out.withColumn("node", F.xxhash64("n", "fp"))
+    return map_arrow(src, run, f"_id {documents.schema[id_col].dataType.simpleString()}, n long, fp array<long>, node long")
+
+
+def sets_of(documents: DataFrame, p: Params, text_col: str, choose=None) -> DataFrame:
+    """node, n, h: shingles' hashes in order, or those that `choose` takes, of each text with a shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in chunks(batches, "_text"):
+            raw = t.data.tobytes()
+            sets = [h for h in (shingle_hashes(raw[a:b], p) for a, b in zip(t.off[:-1], t.off[1:])) if len(h)]
+            some = sets if choose is None else [choose(h) for h in sets]
+            off = pa.array(np.concatenate([[0], np.cumsum([len(h) for h in some])]).astype(np.int32))
+            flat = pa.array((np.concatenate(some) if some else np.zeros(0, np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.ListArray.from_arrays(off, flat)], names=["node", "n", "h"])
+
+    return map_arrow(documents.select(as_text(documents, text_col).alias("_text")), run, "node long, n long, h array<long>")
+
+
+def exact(pairs: DataFrame, documents: DataFrame, p: Params, text_col: str) -> DataFrame:
+    """Those of the pairs (u, v) whose sets of shingles are similar, by counting."""
+    need = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "_n")
+    sets = sets_of(documents, p, text_col).join(need, F.col("node") == F.col("_n"), "left_semi")
+    sets = park(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("h").alias("h")))
+    a, b = sets.select(F.col("node").alias("u"), F.col("n").alias("na"), F.col("h").alias("ha")), sets.select(F.col("node").alias("v"), F.col("n").alias("nb"), F.col("h").alias("hb"))
+    both = F.size(F.array_intersect("ha", "hb"))
+    out = park(pairs.join(a, "u").join(b, "v").filter(both * (1 + p.similarity) >= p.similarity * (F.col("na") + F.col("nb")) - 1e-6).select("u", "v"))
+    unpark(sets)
+    return out
+
+
+def common_shingles(documents: DataFrame, total: int, p: Params, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of the shingles most frequent in a bounded sample of texts."""
+    draw = F.pmod(F.xxhash64(documents[text_col].cast("string")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, p.sample_texts / max(1, total)))
+    each = sets_of(documents.filter(draw), p, text_col).select(F.explode("h").alias("h"))
+    top = each.groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(p.common).toArrow()
+    h, c = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def missing(documents: DataFrame, distinct: DataFrame, roots: DataFrame, total: int, p: Params, text_col: str) -> DataFrame:
+    """u, v: every pair that can be similar and isn't in one component by `roots` (node, root).
+
+    Of two sets with a similarity of s or more, both hold a common shingle among their first n - ceil(s n) + 1, in any one order of all shingles. The order
+    here puts those that a sample finds frequent last. At their first common shingle, what follows it in both must be enough, too.
+    """
+    held = documents.sparkSession.sparkContext.broadcast(common_shingles(documents, total, p, text_col))  # bounded by `common`
+
+    def choose(h: np.ndarray) -> np.ndarray:
+        often, count = held.value
+        k = len(h) - int(np.ceil(p.similarity * len(h) - 1e-9)) + 1
+        if not len(often):
+            return h[:k]
+        at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+        return h[np.lexsort((h, np.where(often[at] == h, count[at], 0)))[:k]]
+
+    first = sets_of(documents, p, text_col, choose).groupBy("node").agg(F.first("n").alias("n"), F.first("h").alias("h"))
+    first = first.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "n", "h", F.coalesce("root", "node").alias("root"))
+    first = park(first)
+    rows = first.select("node", "n", "root", F.posexplode("h").alias("at", "h"))
+    several = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select(F.col("h").alias("_h"))
+    rows = park(rows.join(several, F.col("h") == F.col("_h"), "left_semi"))
+    unpark(first)
+    a, b = (rows.select("h", *(F.col(c).alias(c + x) for c in ("node", "n", "root", "at"))) for x in "ab")
+    most = 1 + F.least(F.col("na") - F.col("ata") - 1, F.col("nb") - F.col("atb") - 1)
+    fits = most * (1 + p.similarity) >= p.similarity * (F.col("na") + F.col("nb")) - 1e-6
+    pairs = a.join(b, (a["h"] == b["h"]) & (F.col("nodea") > F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & fits)
+    pairs = park(pairs.select(F.col("nodea").alias("u"), F.col("nodeb").alias("v")).distinct())
+    unpark(rows)
+    # fingerprints of long texts tell most pairs apart: no more differing bits than expected at the least similarity, and six deviations
+    fa = distinct.select(F.col("node").alias("u"), F.col("fp").alias("fa"), F.col("n").alias("na"))
+    fb = distinct.select(F.col("node").alias("v"), F.col("fp").alias("fb"), F.col("n").alias("nb"))
+    bits, share = 64 * p.words, F.acos(F.least(F.lit(1.0), p.similarity / (1 + p.similarity) * (F.col("na") + F.col("nb")) / F.sqrt(F.col("na") * F.col("nb")))) / float(np.pi)
+    near = apart("fa", "fb", p.words) <= bits * share + 6 * F.sqrt(bits * share * (1 - share)) + 1
+    return pairs.join(fa, "u").join(fb, "v").filter((F.least("na", "nb") < p.long) | near).select("u", "v")
 
 
 def apart(a: str, b: str, words: int) -> Column:
@@ -92,7 +184,7 @@ def similar(p: Params, a: str = "fa", b: str = "fb", na: str = "na", nb: str = "
 
 
 def links(distinct: DataFrame, p: Params) -> DataFrame:
-    """u, v: similar pairs of distinct fingerprints (node, n, fp), enough of them to connect each group."""
+    """u, v: similar pairs of distinct fingerprints (node, n, fp), enough of them to connect most of each group."""
     sample = np.array([r[0] for r in distinct.select("fp", "node").orderBy("node").limit(p.sample).collect()], np.int64).reshape(-1, p.words).view(np.uint64)
     kinds = []
     for j in range(p.words):
@@ -102,40 +194,35 @@ def links(distinct: DataFrame, p: Params) -> DataFrame:
     size = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / float(-np.log(p.similarity)))
     rows = distinct.select("node", size.alias("b"), F.explode(F.array(*kinds)).alias("k")).select("node", "k.part", "k.sig", F.explode(F.array("b", F.col("b") + 1)).alias("b"))
     rows = rows.select("node", "part", F.xxhash64("sig", "b").alias("sig"))
-    several = rows.groupBy("part", "sig").agg(F.count("*").alias("c")).filter("c > 1")
+    several = rows.groupBy("part", "sig").agg(F.count("*").alias("c")).filter("c > 1").select("part", "sig")
     screens = distinct.select("node", F.slice("fp", 1, SCREEN).alias("s"))
-    held = park(rows.join(several, ["part", "sig"]).join(screens, "node").select("part", "sig", "node", "s", (F.col("c") <= p.bucket).alias("small")))
-
-    def paired(rows: DataFrame) -> DataFrame:
-        u, v = rows.select("part", "sig", F.col("node").alias("u"), F.col("s").alias("su")), rows.select("part", "sig", F.col("node").alias("v"), F.col("s").alias("sv"))
-        return u.join(v, ["part", "sig"]).filter((F.col("u") > F.col("v")) & (apart("su", "sv", SCREEN) <= p.screen)).select("u", "v").distinct()
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a = distinct.select(F.col("node").alias("u"), F.col("fp").alias("fa"), F.col("n").alias("na"))
-        b = distinct.select(F.col("node").alias("v"), F.col("fp").alias("fb"), F.col("n").alias("nb"))
-        return pairs.join(a, "u").join(b, "v").filter(similar(p)).select("u", "v")
-
-    found = verified(paired(held.filter("small")))
-    left = held.filter("not small").select("part", "sig", "node", "s")
-    for _ in range(p.rounds):
-        if left.isEmpty():
-            return found.distinct()
+    a = distinct.select(F.col("node").alias("u"), F.col("fp").alias("fa"), F.col("n").alias("na"))
+    b = distinct.select(F.col("node").alias("v"), F.col("fp").alias("fb"), F.col("n").alias("nb"))
+    left, found = park(rows.join(several, ["part", "sig"], "left_semi").join(screens, "node").select("part", "sig", "node", "s")), []
+    for k in range(p.rounds):
+        if k and left.isEmpty():
+            break
         first = left.groupBy("part", "sig").agg(F.min(F.struct("node", "s")).alias("f"))
         both = left.join(first.withColumnsRenamed({"part": "_p", "sig": "_s"}), (F.col("part") == F.col("_p")) & (F.col("sig") == F.col("_s"))).filter(F.col("node") != F.col("f.node"))
         both = park(both.withColumn("sf", F.col("f.s")).select("part", "sig", "node", "s", F.col("f.node").alias("first"), (apart("s", "sf", SCREEN) <= p.screen).alias("near")))
+        unpark(left)
         # the screen lets mere relatives through, so only those that the whole fingerprint finds similar leave
-        linked = park(verified(both.filter("near").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()))
-        found = found.union(linked)
-        gone = linked.withColumnsRenamed({"u": "_u", "v": "_v"})
+        near = both.filter("near").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
+        found.append(park(near.join(a, "u").join(b, "v").filter(similar(p)).select("u", "v")))
+        gone = found[-1].withColumnsRenamed({"u": "_u", "v": "_v"})
         left = park(both.join(gone, (F.col("node") == F.col("_u")) & (F.col("first") == F.col("_v")), "left_anti").select("part", "sig", "node", "s"))
-    return found.union(verified(paired(left))).distinct()
+        unpark(both)
+    unpark(left)
+    return reduce(DataFrame.union, found).distinct()
 
 
 def groups(documents: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, component_id (the least id that links reach) for each row."""
     rows = park(fingerprints(documents, p, id_col, text_col))
     distinct = park(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min("_id").alias("first")))
-    roots = connected(links(distinct.select("node", "n", "fp"), p))
+    near = exact(park(links(distinct.select("node", "n", "fp"), p)), documents, p, text_col)
+    more = exact(park(missing(documents, distinct, connected(near), rows.count(), p, text_col)), documents, p, text_col)
+    roots = connected(near.union(more))
     named = distinct.select("node", "first").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(least, "root").select(F.col("node").alias("_n"), "component_id")
