@@ -55,6 +55,15 @@ def park(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of numbers that may be broadcast: some tens of MB.
+FEW = 1 << 20
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df, a parked table of a few numbers a row, marked to be broadcast if it has so few rows; if not, to be shuffled as the side that is hashed."""
+    return F.broadcast(df) if df.count() <= most else df.hint("shuffle_hash")
+
+
 def unpark(df: DataFrame) -> None:
     """Delete the files of a parked table that nothing reads any more."""
     spark = df.sparkSession
