@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, language_id, line_dedup, mixing, simhash_wide
-from barloom.llm.base import fold, park, table
+from barloom.llm import decontaminate, language_id, line_dedup, mixing, near_copies
+from barloom.llm.base import few, fold, park, table, unpark
 
 
 def _named(docs: DataFrame, out: DataFrame, carry: list[str]) -> DataFrame:
@@ -34,17 +34,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _named(docs, line_dedup.dedup(docs, line_dedup.LineIndex.build(docs), carry), carry)
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies (similarity of five-word shingles from 0.8) stays, the one with
-    the least id; of its repeated rows, one."""
-    groups = park(simhash_wide.groups(docs))
-    stay = groups.select(F.col("component_id").alias("_stay")).distinct()
-    # the build side holds ids only; texts stream past it unsorted
-    kept = docs.join(stay.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
-    if groups.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    return kept.withColumn("_once", F.row_number().over(once)).filter("_once = 1").select(*docs.columns)
+    the least id, null ids last; of its repeated rows, one."""
+    groups = park(near_copies.groups(docs))
+    row = ["doc_id", "text_key"]
+    gone = park(groups.filter("not stays").select(*row).distinct())
+    twice = park(groups.filter("stays").groupBy(*row).count().filter("count > 1").select(*row))
+    unpark(groups)
+    docs_ = docs.withColumn("_key", near_copies.text_key(docs["text"]))
+
+    def among(few_rows: DataFrame, how: str, of: DataFrame) -> DataFrame:
+        right = few(few_rows.select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_k")))
+        return of.join(right, of["doc_id"].eqNullSafe(right["_i"]) & (of["_key"] == right["_k"]), how)
+
+    kept = among(gone, "left_anti", docs_)
+    once = Window.partitionBy("doc_id", "_key").orderBy(F.xxhash64(*docs.columns))
+    first = among(twice, "left_semi", kept).withColumn("_once", F.row_number().over(once)).filter("_once = 1")
+    return among(twice, "left_anti", kept).select(*docs.columns).union(first.select(*docs.columns))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +69,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language),
     ("line_dedup", lines),
-    ("simhash", near_copies),
+    ("simhash", copies),
     ("decontaminate", benchmark),
     ("mixing", mix),
 ]
