@@ -4,9 +4,9 @@ import corpus_pipeline as P
 from test_decontaminate import WORD
 from test_line_dedup import key
 from test_mixing import brute as mixed
-from test_simhash_wide import check
+from test_near_copies import truth
 
-from barloom.llm import simhash_wide
+from barloom.llm import near_copies
 from barloom.llm.base import park
 
 
@@ -54,14 +54,13 @@ def test_each_stage_equals_brute_force(spark):
         "line_dedup": lines, "decontaminate": lambda x: cut(x, bench),
     }
     for name, stage in P.STAGES[:-1]:
-        before, was = rows(docs), docs
+        before = rows(docs)
         docs = park(stage(spark, docs, sf))
         assert docs.columns == columns
         if name in plainly:
             assert rows(docs) == sorted(plainly[name](before)), name
         else:
-            groups = {r["doc_id"]: r["component_id"] for r in simhash_wide.groups(was).collect()}
-            check(before, groups)
+            groups = truth(before, 0.8)
             assert rows(docs) == [(d, t) for d, t in before if groups[d] == d]
         assert docs.filter("n_chars <> length(text)").count() == 0
     last = stages["mixing"](spark, docs, sf)
