@@ -3,12 +3,15 @@ r"""Reversible line dedup: sharded cuckoo filters, backed by exact reference tab
 A line's key is the line without white space at its ends and with A-Z lower-cased; keys of at least `min_chars` code
 points take part. The index holds one reference (key, document) for each document that has the key, and for each
 shard of the keys a cuckoo filter of the keys that at least two documents have. A document's lines first probe their
-shard's filter: what it rejects is certain to be unrepeated, only the rest is looked up in the reference table. Documents
-are inserted and deleted by adding or removing their references and the changed keys of their shards' filters, so an
-index after a deletion equals one that never held the document.
+shard's filter: what it rejects is certain to be unrepeated, only the rest is looked up in the reference table.
 
-Keys are 128-bit BLAKE2 digests. Documents are rows with one integer id: rows of equal id are one document, rows with a
-null id are one document after all others. Null and empty texts have one empty line, which stays.
+Inserting or deleting documents writes a delta, the references that come or go, and changes their keys in their shards' filters, so an
+index after a deletion equals one that never held the document. After `most_parts` deltas the table is written whole. A filter that gets full
+is built anew, larger, from the exact table; when references outgrow the shards twice, all are dealt to more shards.
+
+Keys are 128-bit BLAKE2 digests. Documents are rows with one id of any type that has an order: rows of equal id are one document, rows with a
+null id are one document after all others. Null and empty texts have one empty line, which stays; a line that stands
+twice in one document only isn't repeated. Long texts are read whole. An empty table gives an empty index, which drops nothing.
 """
 
 from __future__ import annotations
@@ -16,27 +19,28 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import as_text, chunks, map_arrow, mix, park
+from .base import as_text, chunks, few, map_arrow, mix, park
 
-LAST = (1 << 63) - 1
 KEY = np.dtype([("k1", "<i8"), ("k2", "<i8")])
 
 
 @dataclass(frozen=True)
 class Params:
     """min_chars: code points of a key that takes part. shard_keys: references of a shard, about.
-    probe_rows: lines that one probing task takes, about. load: filled share of a cuckoo filter."""
+    probe_rows: lines that one probing task takes, about. load: filled share of a cuckoo filter. most_parts: deltas kept apart."""
 
     min_chars: int = 10
     shard_keys: int = 1 << 18
     probe_rows: int = 1 << 18
     load: float = 0.7
+    most_parts: int = 8
 
 
 def keys_of(text: bytes, min_chars: int) -> list[bytes | None]:
@@ -106,52 +110,87 @@ class CuckooFilter:
                     break
 
 
+ON = ["shard", "k1", "k2"]
+
+
 @dataclass(frozen=True)
 class LineIndex:
-    """references: shard, k1, k2, doc. filters: shard, n, cells. Both are tables in the shared folder."""
+    """parts: tables of shard, k1, k2, doc and step (1: the reference comes, below 0: it goes). filters: shard, n, cells. All are tables in the shared folder.
+    total: references, those that go counted too."""
 
-    references: DataFrame
+    parts: tuple[DataFrame, ...]
     filters: DataFrame
     shards: int
+    total: int
     p: Params
 
     @classmethod
     def build(cls, documents: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-        refs = park(references(documents, p, id_col, text_col))
-        shards = max(1, -(-refs.count() // p.shard_keys))
-        refs = refs.select(F.pmod("k1", F.lit(shards)).cast("int").alias("shard"), "k1", "k2", "doc")
-        changes = repeated(refs).select("shard", "k1", "k2", F.lit(1).alias("step"))
-        empty = documents.sparkSession.createDataFrame([], "shard int, n long, cells binary")
-        return cls(refs, park(updated(empty, changes, p)), shards, p)
-
-    def _moved(self, refs: DataFrame, touched: DataFrame) -> LineIndex:
-        """The index with other references, which differ in the touched keys only."""
-        was = repeated(self.references.join(touched, ["shard", "k1", "k2"], "left_semi"))
-        now = repeated(refs.join(touched, ["shard", "k1", "k2"], "left_semi"))
-        on = ["shard", "k1", "k2"]
-        changes = now.join(was, on, "left_anti").select(*on, F.lit(1).alias("step")).union(was.join(now, on, "left_anti").select(*on, F.lit(-1).alias("step")))
-        return replace(self, references=refs, filters=park(updated(self.filters, changes, self.p)))
+        return cls._of(park(references(documents, p, id_col, text_col)), p)
+
+    @classmethod
+    def _of(cls, refs: DataFrame, p: Params) -> LineIndex:
+        """refs: k1, k2, doc."""
+        total = refs.count()
+        shards = max(1, -(-total // p.shard_keys))
+        refs = refs.select(shard_of(shards), "k1", "k2", "doc", F.lit(1).alias("step"))
+        return cls((refs,), park(updated(no_filters(refs), repeated(refs).select(*ON, F.lit(1).alias("step")), p)), shards, total, p)
+
+    def references(self) -> DataFrame:
+        """shard, k1, k2, doc: each at least once."""
+        if len(self.parts) == 1:
+            return self.parts[0].drop("step")
+        every = reduce(DataFrame.union, self.parts)
+        return every.groupBy(*ON, "doc").agg(F.sum("step").alias("step")).filter("step > 0").drop("step")
+
+    def _moved(self, delta: DataFrame) -> LineIndex:
+        """The index with a delta (a parked table), whose references come or go for the first time."""
+        total = self.total + delta.count()
+        grown = replace(self, parts=(*self.parts, delta), total=total)
+        if total > 2 * self.shards * self.p.shard_keys:
+            return self._of(park(grown.references().select("k1", "k2", "doc")), self.p)
+        touched = park(delta.select(*ON).distinct())
+        near = few(touched)
+        was, now = (repeated(x.references().join(near, ON, "left_semi")) for x in (self, grown))
+        changes = now.join(was, ON, "left_anti").select(*ON, F.lit(1).alias("step")).union(was.join(now, ON, "left_anti").select(*ON, F.lit(-1).alias("step")))
+        filters = park(updated(self.filters, changes, self.p))
+        full = filters.filter("cells is null").select("shard")
+        if not full.isEmpty():
+            keys = repeated(grown.references().join(F.broadcast(full), "shard", "left_semi"))  # a row for each shard
+            anew = updated(no_filters(filters), keys.select(*ON, F.lit(1).alias("step")), self.p)
+            filters = park(filters.filter("cells is not null").union(anew))
+        if len(grown.parts) > self.p.most_parts:
+            whole = park(grown.references().withColumn("step", F.lit(1)))
+            grown = replace(grown, parts=(whole,), total=whole.count())
+        return replace(grown, filters=filters)
 
     def insert(self, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-        new = references(documents, self.p, id_col, text_col)
-        new = park(new.select(F.pmod("k1", F.lit(self.shards)).cast("int").alias("shard"), "k1", "k2", "doc"))
-        return self._moved(park(self.references.union(new).distinct()), new.select("shard", "k1", "k2").distinct())
+        new = references(documents, self.p, id_col, text_col).select(shard_of(self.shards), "k1", "k2", "doc").distinct()
+        old = self.references().select(*(F.col(c).alias(f"_{c}") for c in (*ON, "doc")))
+        same = F.col("doc").eqNullSafe(F.col("_doc"))
+        for c in ON:
+            same = same & (F.col(c) == F.col(f"_{c}"))
+        return self._moved(park(new.join(old, same, "left_anti").withColumn("step", F.lit(1))))
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """ids: one column of document ids."""
-        gone = ids.select(F.coalesce(F.col(ids.columns[0]).cast("long"), F.lit(LAST)).alias("doc")).distinct()
-        touched = self.references.join(gone, "doc", "left_semi").select("shard", "k1", "k2").distinct()
-        return self._moved(park(self.references.join(gone, "doc", "left_anti")), touched)
+        every = reduce(DataFrame.union, self.parts)
+        gone = park(ids.select(F.col(ids.columns[0]).cast(every.schema["doc"].dataType).alias("_gone")).distinct())
+        out = every.join(few(gone), F.col("doc").eqNullSafe(F.col("_gone")), "left_semi")
+        return self._moved(park(out.groupBy(*ON, "doc").agg((-F.sum("step")).cast("int").alias("step")).filter("step < 0")))
 
     def dropped(self) -> DataFrame:
         """doc, k1, k2: keys whose lines the document loses, as another document with a smaller id holds them.
 
-        References probe their shard's filter, dealt by shard and document so that a frequent key spreads; the
-        hits are verified against the exact table. Spark may split a frequent key's part of that join.
+        References probe their shard's filter in groups of about probe_rows: a shard that a frequent key swells gets more
+        groups, by its counted references. The hits are verified against the exact table, which holds a frequent key once.
         """
-        p, salts = self.p, max(1, -(-self.p.shard_keys // self.p.probe_rows))
-        refs = self.references.withColumn("salt", F.pmod(F.xxhash64("doc", "k2"), F.lit(salts)).cast("int"))
-        filters = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        refs, p = self.references(), self.p
+        groups = refs.groupBy("shard").agg(F.ceil(F.count("*") / p.probe_rows).cast("int").alias("groups"))
+        groups = park(groups.withColumnRenamed("shard", "_shard"))  # a row for each shard
+        dealt = refs.join(few(groups), F.col("shard") == F.col("_shard")).withColumn("salt", F.pmod(F.xxhash64("doc", "k2"), F.col("groups")).cast("int")).drop("_shard", "groups")
+        filters = self.filters.join(few(groups), F.col("shard") == F.col("_shard"))
+        filters = filters.select("shard", "cells", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"))
 
         def probe(left: pa.Table, right: pa.Table) -> pa.Table:
             if not right.num_rows:
@@ -160,9 +199,19 @@ class LineIndex:
             hit = have.contains(left.column("k1").to_numpy(), left.column("k2").to_numpy())
             return left.select(["k1", "k2", "doc"]).filter(pa.array(hit))
 
-        hits = refs.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt")).applyInArrow(probe, "k1 long, k2 long, doc long")
-        exact = repeated(self.references).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "first")
-        return hits.join(exact, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).filter(F.col("doc") != F.col("first")).select("doc", "k1", "k2")
+        kind = refs.schema["doc"].dataType.simpleString()
+        hits = dealt.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt")).applyInArrow(probe, f"k1 long, k2 long, doc {kind}")
+        exact = few(park(repeated(refs).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "first")))
+        hits = hits.join(exact, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
+        return hits.filter(~F.col("doc").eqNullSafe(F.col("first"))).select("doc", "k1", "k2")
+
+
+def shard_of(shards: int) -> Column:
+    return F.pmod("k1", F.lit(shards)).cast("int").alias("shard")
+
+
+def no_filters(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame([], "shard int, n long, cells binary")
 
 
 def references(documents: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
@@ -170,56 +219,55 @@ def references(documents: DataFrame, p: Params, id_col: str, text_col: str) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, t in chunks(batches, "_text"):
-            raw, ids = t.data.tobytes(), batch.column("doc").to_pylist()
-            docs, keys = [], []
-            for d, a, b in zip(ids, t.off[:-1], t.off[1:]):
+            raw = t.data.tobytes()
+            rows, keys = [], []
+            for i, (a, b) in enumerate(zip(t.off[:-1], t.off[1:])):
                 own = {k for k in keys_of(raw[a:b], p.min_chars) if k}
                 keys += own
-                docs += [d] * len(own)
+                rows.append(np.full(len(own), i))
             k = np.frombuffer(b"".join(keys), KEY)
-            yield pa.RecordBatch.from_arrays([pa.array(k["k1"].copy()), pa.array(k["k2"].copy()), pa.array(docs, pa.int64())], names=["k1", "k2", "doc"])
+            docs = batch.column("doc").take(pa.array(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays([pa.array(k["k1"].copy()), pa.array(k["k2"].copy()), docs], names=["k1", "k2", "doc"])
 
-    src = documents.select(F.coalesce(documents[id_col].cast("long"), F.lit(LAST)).alias("doc"), as_text(documents, text_col).alias("_text"))
-    return map_arrow(src, run, "k1 long, k2 long, doc long")
+    src = documents.select(documents[id_col].alias("doc"), as_text(documents, text_col).alias("_text"))
+    return map_arrow(src, run, f"k1 long, k2 long, doc {documents.schema[id_col].dataType.simpleString()}")
 
 
 def repeated(refs: DataFrame) -> DataFrame:
-    """shard, k1, k2, first, n: keys of at least two documents, the least of these, and the references."""
-    per = refs.groupBy("shard", "k1", "k2").agg(F.min("doc").alias("first"), F.max("doc").alias("_last"), F.count("*").alias("n"))
-    return per.filter(F.col("first") != F.col("_last")).drop("_last")
+    """shard, k1, k2, first: keys of at least two documents, and the least of these."""
+    per = refs.groupBy(*ON).agg(F.min("doc").alias("first"), F.max("doc").alias("_last"), F.count("doc").alias("_some"), F.count("*").alias("_all"))
+    return per.filter((F.col("first") != F.col("_last")) | (F.col("_some") > 0) & (F.col("_some") < F.col("_all"))).drop("_last", "_some", "_all")
 
 
 def updated(filters: DataFrame, changes: DataFrame, p: Params) -> DataFrame:
-    """Filters after keys are added (step 1) and removed (step -1). Keys are distinct, so a shard is about shard_keys long at most.
-    A filter that gets too full is built anew from the keys in the next build; here it grows by being doubled on insertion."""
+    """Filters after keys are added (step 1) and removed (step -1). Keys are distinct, so a shard has a few times shard_keys at most.
+    A filter that gets full has null cells: it must be built anew from its keys."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         k1, k2, step = (right.column(c).to_numpy() for c in ("k1", "k2", "step"))
         shard = (left if left.num_rows else right).column("shard")[0].as_py()
         add, sub = step > 0, step < 0
-        held = left.column("n")[0].as_py() if left.num_rows else 0
+        n = (left.column("n")[0].as_py() if left.num_rows else 0) + int(add.sum()) - int(sub.sum())
         if left.num_rows:
             have = CuckooFilter(np.frombuffer(left.column("cells")[0].as_py(), np.uint16).copy())
             have.delete(k1[sub], k2[sub])
-            ok = have.insert(k1[add], k2[add])
-            if not ok:
-                raise RuntimeError(f"the filter of shard {shard} is full; build the index with more shards")
+            fits = n <= 0.95 * have.cells.size and have.insert(k1[add], k2[add])
         else:
-            have = CuckooFilter.sized(int(add.sum()) + 64, p.load)
+            have, fits = CuckooFilter.sized(int(add.sum()) + 64, p.load), True
             while not have.insert(k1[add], k2[add]):
                 have = CuckooFilter(np.zeros((2 * len(have.cells), 4), np.uint16))
-        n = held + int(add.sum()) - int(sub.sum())
-        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([n], pa.int64()), "cells": pa.array([have.cells.tobytes()], pa.binary())})
+        cells = have.cells.tobytes() if fits else None
+        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([n], pa.int64()), "cells": pa.array([cells], pa.binary())})
 
     return filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(run, "shard int, n long, cells binary")
 
 
 def dedup(documents: DataFrame, index: LineIndex, carry: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The carried columns as _c0, _c1, ..., then _text (the lines that stay, joined by newlines), _lines and _dropped."""
-    drops = index.dropped().groupBy("doc").agg(F.collect_list(F.struct("k1", "k2")).alias("_keys"))  # at most a document's lines
-    src = documents.select(*[documents[c].alias(f"_c{i}") for i, c in enumerate(carry)], as_text(documents, text_col).alias("_text"), F.coalesce(documents[id_col].cast("long"), F.lit(LAST)).alias("_doc"))
+    drops = index.dropped().groupBy("doc").agg(F.collect_set(F.struct("k1", "k2")).alias("_keys"))  # at most a document's lines
+    src = documents.select(*[documents[c].alias(f"_c{i}") for i, c in enumerate(carry)], as_text(documents, text_col).alias("_text"), documents[id_col].alias("_doc"))
     # the build side holds 16 bytes for each dropped line; texts stream past it unsorted
-    joined = src.join(drops.hint("shuffle_hash"), src["_doc"] == drops["doc"], "left").drop("_doc", "doc")
+    joined = src.join(drops.hint("shuffle_hash"), src["_doc"].eqNullSafe(drops["doc"]), "left").drop("_doc", "doc")
     least = index.p.min_chars
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,7 +60,49 @@ def test_insertions_and_deletions_are_reversible(spark, odd):
     assert got(first, back) == brute(rows_of(first))
     tally = lambda x: {r["shard"]: r["n"] for r in x.filters.collect() if r["n"]}
     assert tally(back) == tally(alone)
-    assert sum(r["n"] for r in both.filters.collect()) == L.repeated(both.references).count()
+    assert sum(r["n"] for r in both.filters.collect()) == L.repeated(both.references()).count()
+
+
+def test_an_insertion_far_larger_than_the_index(spark):
+    few = [(i, f"the very first line of text {i}\nanother shared line") for i in range(3)]
+    many = [(10 + i, "\n".join(f"a shared line of text, number {j}" for j in range(400))) for i in range(8)]
+    schema = "doc_id long, text string"
+    for p in (L.Params(), L.Params(shard_keys=256, probe_rows=100)):  # the one filter grows, then shards are dealt anew
+        index = L.LineIndex.build(spark.createDataFrame(few, schema), p)
+        grown = index.insert(spark.createDataFrame(many, schema))
+        assert got(spark.createDataFrame(few + many, schema), grown) == brute(few + many)
+        back = grown.delete(spark.createDataFrame([(d,) for d, _ in many], "d long"))
+        assert got(spark.createDataFrame(few, schema), back) == brute(few)
+
+
+def test_a_line_of_every_document_is_probed_in_many_groups(spark):
+    rows = [(i, f"this line stands in every document\nown line of document {i}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = L.LineIndex.build(df, L.Params(shard_keys=1000, probe_rows=500))
+    most = index.references().groupBy("shard").count().agg({"count": "max"}).first()[0]
+    assert most > 4000 and got(df, index) == brute(rows)
+
+
+def test_repeated_ids_deltas_and_string_ids(spark):
+    rows = [(f"d{i // 2}", f"a line that two rows of document {i // 2} hold\nline of every document\nline number {i % 7} of seven") for i in range(40)]
+    schema = "doc_id string, text string"
+    index = L.LineIndex.build(spark.createDataFrame(rows[:30], schema), L.Params(most_parts=2))
+    for at in range(30, 40, 2):
+        index = index.insert(spark.createDataFrame(rows[at : at + 2], schema))
+        assert len(index.parts) <= 2
+    every = {}
+    for d, t in rows:
+        every.setdefault(d, []).append(t)
+    keys = {}
+    for d, ts in every.items():
+        for t in ts:
+            for x in t.split("\n"):
+                keys.setdefault(x, set()).add(d)
+    df = L.dedup(spark.createDataFrame(rows, schema), index, ["doc_id"]).select("_c0", "_text").collect()
+    want = sorted((d, "\n".join(x for x in t.split("\n") if min(keys[x]) == d)) for d, t in rows)
+    assert sorted((r[0], r[1]) for r in df) == want
+    back = index.delete(spark.createDataFrame([("d19",), ("d0",)], "d string"))
+    assert {r["doc"] for r in back.references().select("doc").distinct().collect()} == set(every) - {"d19", "d0"}
 
 
 def test_cuckoo_filter():
