@@ -1,14 +1,16 @@
 """Language identification by language-bitmask n-gram filters.
 
-Every byte 5-gram of the lower-cased words (with one blank on each side) is looked up in a Bloom filter whose cells
+Every byte 5-gram of the lower-cased words (with one blank on each side, at the ends of a text too) is looked up in a Bloom filter whose cells
 hold one bit per language, so that one probe of k cells, combined by AND, returns all languages that contain the gram.
 A text's set bits are counted per language, corrected for the filter's share of false positives, and the largest count
-decides; score is its share of all counts.
+decides; score is its share of all counts, 0 if no language has a known n-gram.
 
 An n-gram belongs to a language if at least `least` of the learned texts hold it and its rate there is at least `near` of
 its highest rate in any language. Rates come from at most about `sample_rows` labelled texts of each language, those with the smallest
-hashed ids. Null texts and texts without a letter get `und` and score 0; ties go to the language first in order. If
-nothing can be learned, every text gets `und`.
+hashed ids; rows with null ids share one hash. All n-grams of these texts count, and the filter's cells follow their number.
+
+Null texts and texts without a letter get `und` and score 0; ties go to the language first in order. Repeated rows are each judged, long texts read whole. If
+nothing can be learned, as from an empty table, every text gets `und`.
 """
 
 from __future__ import annotations
@@ -29,15 +31,15 @@ UND = "und"
 
 @dataclass(frozen=True)
 class Params:
-    """bits: log2 of the filter's cells. hashes: probes. sample_rows: texts of each language to learn from, a bound.
-    least, near: see above. grams: most n-grams kept, those found most often, which bounds the filter's load."""
+    """bits: log2 of the filter's least cells; there are `cells` for each n-gram at least. hashes: probes. sample_rows: texts of each language to learn from, a bound.
+    least, near: see above."""
 
-    bits: int = 21
+    bits: int = 20
+    cells: int = 8
     hashes: int = 2
     sample_rows: int = 1500
     least: int = 3
     near: float = 0.3
-    grams: int = 400_000
 
 
 BLANK = SPACE.copy()
@@ -45,8 +47,18 @@ BLANK[33:48] = BLANK[58:65] = BLANK[91:97] = BLANK[123:127] = True
 BLANK[48:58] = True
 
 
+def padded(t: Texts) -> Texts:
+    """Each text with a blank at both ends."""
+    off = t.off + 2 * np.arange(t.n + 1)
+    data = np.full(off[-1], 32, np.uint8)
+    at = np.arange(len(t.data)) + np.repeat(2 * np.arange(t.n) + 1, np.diff(t.off))
+    data[at] = t.data
+    return Texts(data, off)
+
+
 def grams(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     """64-bit keys of the 5-grams that lie within a word and its two blanks, and their number before each text."""
+    t = padded(t)
     n = len(t.data)
     raw = LOWER[t.data].astype(np.uint64)
     raw[BLANK[t.data]] = 32
@@ -73,29 +85,34 @@ class Model:
     p: Params
 
     @staticmethod
-    def places(keys: np.ndarray, p: Params) -> list[np.ndarray]:
-        h = mix(keys)
-        return [((h >> np.uint64(24 * k)) & np.uint64((1 << p.bits) - 1)).astype(np.int64) for k in range(p.hashes)]
+    def places(keys: np.ndarray, bits: int, p: Params) -> list[np.ndarray]:
+        h, out = mix(keys), []
+        for _ in range(p.hashes):
+            out.append((h >> np.uint64(64 - bits)).astype(np.int64))
+            h = mix(h)
+        return out
 
     @classmethod
-    def build(cls, languages: list[str], keys: np.ndarray, member: np.ndarray, p: Params) -> Model:
-        """member[i, l]: whether gram i belongs to language l."""
-        places, cells, false = cls.places(keys, p), [], []
+    def build(cls, languages: list[str], keys: np.ndarray, lang: np.ndarray, p: Params) -> Model:
+        """keys, lang: each n-gram with each language that it belongs to, by number."""
+        cells, false = [], []
         for at in range(0, len(languages), 8):
-            cell = np.zeros(1 << p.bits, np.uint8)
-            for k, l in enumerate(range(at, min(at + 8, len(languages)))):
-                for place in places:
-                    cell[place[member[:, l]]] |= 1 << k
-                false.append(float(((cell >> k) & 1).mean() ** p.hashes))
+            own = (lang >= at) & (lang < at + 8)
+            k, l = keys[own], lang[own] - at
+            bits = max(p.bits, int(np.ceil(np.log2(max(1, p.cells * len(np.unique(k)))))))
+            cell = np.zeros(1 << bits, np.uint8)
+            for place in cls.places(k, bits, p):
+                np.bitwise_or.at(cell, place, np.left_shift(1, l).astype(np.uint8))
+            false += [float(((cell >> x) & 1).mean() ** p.hashes) for x in range(min(8, len(languages) - at))]
             cells.append(cell)
         return cls(languages, cells, np.array(false), p)
 
     def counts(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Corrected counts (texts x languages) and the number of grams of each text."""
         keys, off = grams(t)
-        places = self.places(keys, self.p)
         n, out = np.diff(off), np.zeros((t.n, len(self.languages)))
         for c, cell in enumerate(self.cells):
+            places = self.places(keys, len(cell).bit_length() - 1, self.p)
             mask = cell[places[0]]
             for place in places[1:]:
                 mask &= cell[place]
@@ -110,7 +127,7 @@ class Model:
             return [UND] * t.n, np.zeros(t.n)
         count, _ = self.counts(t)
         best, total = count.argmax(1), count.sum(1)
-        share = np.where(total > 0, count[np.arange(t.n), best] / np.maximum(total, 1e-12), 1 / len(self.languages))
+        share = np.where(total > 0, count[np.arange(t.n), best] / np.maximum(total, 1e-12), 0.0)
         return [self.languages[b] if ok else UND for b, ok in zip(best, letters)], np.where(letters, share, 0.0)
 
 
@@ -157,15 +174,13 @@ def fit(documents: DataFrame, keep: Column | None = None, p: Params = Params(),
             yield flush()
 
     # documents that hold the gram, in each language
-    n = map_arrow(sample, count, "g long, l int, n long").groupBy("g").pivot("l", list(range(len(languages)))).agg(F.sum("n"))
-    learned = [min(r["count"], p.sample_rows) for r in found]
-    n = n.select("g", *[F.coalesce(F.col(str(i)), F.lit(0)).alias(f"n{i}") for i in range(len(languages))])
-    total = sum((F.col(f"n{i}") for i in range(len(languages))), F.lit(0))
-    n = n.withColumn("_n", total).filter(F.col("_n") >= p.least).orderBy(F.desc("_n"), "g").limit(p.grams)
-    got = n.toArrow()  # at most p.grams rows
-    rate = np.stack([got.column(f"n{i}").to_numpy() / learned[i] for i in range(len(languages))], 1) if got.num_rows else np.zeros((0, len(languages)))
-    member = (rate > 0) & (rate >= p.near * rate.max(1, keepdims=True, initial=0))
-    return Model.build(languages, got.column("g").to_numpy().astype(np.uint64), member, p)
+    n = map_arrow(sample, count, "g long, l int, n long").groupBy("g", "l").agg(F.sum("n").alias("n"))
+    learned = F.array(*[F.lit(float(min(r["count"], p.sample_rows))) for r in found])
+    n = n.withColumn("rate", F.col("n") / F.element_at(learned, F.col("l") + 1))
+    best = n.groupBy("g").agg(F.max("rate").alias("best"), F.sum("n").alias("all")).filter(F.col("all") >= p.least).select(F.col("g").alias("_g"), "best")
+    members = n.join(best, F.col("g") == F.col("_g")).filter(F.col("rate") >= p.near * F.col("best")).select("g", "l")
+    got = members.toArrow()  # the n-grams of sample_rows texts of each language
+    return Model.build(languages, got.column("g").to_numpy().astype(np.uint64), got.column("l").to_numpy().astype(np.int64), p)
 
 
 def predict(documents: DataFrame, model: Model, carry: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -1,3 +1,6 @@
+import re
+import zlib
+
 import numpy as np
 import pytest
 
@@ -29,13 +32,63 @@ def test_odd_tables(spark, odd, empty, odd_rows, model):
     assert {r["lang_pred"] for r in L.predict(odd, nothing, ["doc_id"]).collect()} == {L.UND}
 
 
+def plain(text):
+    """The 5-grams of a text, by its words: bytes that are neither white space, digits nor ASCII marks."""
+    words = re.split(rb"[\x09-\x0D \x21-\x2F0-9:-@\[-`{-~]+", b"".join(bytes([b + 32]) if 65 <= b <= 90 else bytes([b]) for b in (text or "").encode()))
+    padded = [b" " + w + b" " for w in words if w]
+    return [w[i : i + 5] for w in padded for i in range(len(w) - 4)]
+
+
+def brute(rows, keep, least=3, near=0.3):
+    """Predicted language and score of each (id, text, lang), learned from rows whose id passes, without filters."""
+    langs = sorted({l for d, _, l in rows if l is not None and keep(d)})
+    size = {l: sum(1 for d, _, x in rows if x == l and keep(d)) for l in langs}
+    held = {}
+    for d, t, l in rows:
+        if l is not None and keep(d):
+            for g in set(plain(t)):
+                n = held.setdefault(g, {})
+                n[l] = n.get(l, 0) + 1
+    member = {}
+    for g, n in held.items():
+        if sum(n.values()) >= least:
+            best = max(c / size[l] for l, c in n.items())
+            member[g] = {l for l, c in n.items() if c / size[l] >= near * best}
+    out = {}
+    for d, t, _ in rows:
+        if not any(c.isalpha() for c in t or ""):
+            out[d] = ("und", 0.0)
+            continue
+        count = [sum(l in member.get(g, ()) for g in plain(t)) for l in langs]
+        out[d] = (langs[int(np.argmax(count))], max(count) / sum(count) if sum(count) else 0.0)
+    return out
+
+
+def test_equals_counting_without_filters(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in df.collect()]
+    want = brute(rows, lambda d: zlib.crc32(str(d).encode()) % 4 != 2)
+    got = L.predict(df, L.fit(df, fold("_id", 4) != 2, L.Params(cells=64)), ["doc_id"]).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r["lang_pred"] == want[r["doc_id"]][0] and abs(r["score"] - want[r["doc_id"]][1]) < 0.01
+
+
+def test_a_text_without_a_known_gram_has_no_score(spark, model):
+    df = spark.createDataFrame([(1, "xqzjk wvxqz zzzzzzz qqqqqqq"), (2, "the"), (None, "der und die")], "doc_id long, text string")
+    out = {r["doc_id"]: r["score"] for r in L.predict(df, model, ["doc_id"]).collect()}
+    assert out[1] < 0.6 and out[2] > 0 and out[None] > 0
+
+
 def test_filter_has_no_false_negatives_and_few_false_positives():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 1 << 40, 30_000).astype(np.uint64)
     member = rng.random((len(keys), 11)) < 0.4
-    m = L.Model.build([f"l{i:02}" for i in range(11)], keys, member, L.Params(bits=18))
+    at, lang = np.nonzero(member)
+    m = L.Model.build([f"l{i:02}" for i in range(11)], keys[at], lang, L.Params(bits=17))
     for l in range(11):
-        bits = lambda k: np.bitwise_and.reduce([(m.cells[l // 8][at] >> (l % 8)) & 1 for at in L.Model.places(k, m.p)])
+        cell = m.cells[l // 8]
+        bits = lambda k: np.bitwise_and.reduce([(cell[at] >> (l % 8)) & 1 for at in L.Model.places(k, len(cell).bit_length() - 1, m.p)])
         assert bits(keys[member[:, l]]).all()
         fresh = rng.integers(1 << 41, 1 << 42, 100_000).astype(np.uint64)
         assert abs(bits(fresh).mean() - m.false[l]) < 0.01
@@ -45,5 +98,5 @@ def test_grams_stay_inside_words_and_texts():
     texts = ["abc def", "", "ab", None, "x Abcd, efghi"]
     keys, off = L.grams(Texts.of(texts))
     read = [int(k).to_bytes(8, "little")[:5].decode() for k in keys]
-    assert read == [" abcd", "abcd ", " efgh", "efghi"]
-    assert off.tolist() == [0, 0, 0, 0, 0, 4]
+    assert read == [" abc ", " def ", " abcd", "abcd ", " efgh", "efghi", "fghi "]
+    assert off.tolist() == [0, 2, 2, 2, 2, 7]
