@@ -44,7 +44,7 @@ def test_whole_table(spark, small):
     want = brute(pairs(docs, "doc_id"), pairs(bench, "item_id"))
     assert sum(r[2] for r in want)
     assert got(docs, bench) == want
-    assert got(docs, bench, D.Params(shard_words=50, sample=3, block_bytes=500)) == want
+    assert got(docs, bench, D.Params(shard_words=50, sample=3, block_words=100, piece_words=15, windows=7)) == want
 
 
 def test_odd_tables(spark, odd, empty, odd_rows, bench_text):
@@ -67,10 +67,35 @@ def test_index_counts_and_locates():
     x = np.array([rng.choice([1, 1, 2, 3, 0]) for _ in range(3000)] + [1, 2] * 200 + [0], np.int32)
     index = D.FMIndex(x, 7)
     phrases = [[rng.choice([1, 2, 3]) for _ in range(rng.randrange(1, 6))] for _ in range(60)] + [[9], [1, 2] * 4]
-    table = np.zeros((len(phrases), 8), np.int32)
-    for row, f in zip(table, phrases):
-        row[: len(f)] = f
-    lo, hi = index.search(table, np.array([len(f) for f in phrases]))
+    sizes = np.array([len(f) for f in phrases])
+    lo, hi = index.search(np.array(sum(phrases, []), np.int32), np.cumsum(sizes) - sizes, sizes)
     for f, a, b in zip(phrases, lo, hi):
         want = [i for i in range(len(x)) if list(x[i : i + len(f)]) == f]
         assert sorted(index.locate(np.arange(a, max(a, b))).tolist()) == want
+
+
+def test_words_that_the_benchmark_does_not_know_are_not_kept():
+    block = D.Block.build([("a", np.arange(1, 40, dtype=np.uint64))], D.Params())
+    shard = D.Shard(D.Params(), [], [], [], [])
+    rng = np.random.default_rng(1)
+    for k in range(50):
+        number = np.where(rng.random(100_000) < 0.5, rng.integers(1, 40, 100_000), 0).astype(np.int32)
+        number[5000:5012] = np.arange(3, 15)
+        number[4999] = number[5012] = 0
+        shard.add(number, np.array([0, 5000, 100_000]), 2 * k, 10)
+    assert shard.words < 50 * 100_000 / 50
+    found = list(shard.hits(block))
+    assert [x[0] for x in found] == [2 * k + 1 for k in range(50)] and all(x[1:] == ([0, 12], ["a"]) for x in found)
+
+
+def test_a_large_benchmark_in_several_blocks(spark):
+    """50 MB of benchmark: 200,000 items, 8 million words, in two blocks and more."""
+    from pyspark.sql import functions as F
+
+    words = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(50_000)).cast("string")))
+    items = spark.range(200_000).select(F.col("id").alias("item_id"), F.array_join(words, " ").alias("text"))
+    some = items.filter("item_id % 1000 = 7").select(F.col("item_id").alias("doc_id"), F.concat(F.lit("own words here: "), "text", F.lit(" and an end")).alias("text"))
+    rest = items.filter("item_id % 1000 = 8").select(F.col("item_id").alias("doc_id"), F.reverse("text").alias("text"))
+    out = {r["_c0"]: (r["n_words"], r["n_hit"], r["items"]) for r in D.search(some.union(rest), items, ["doc_id"]).collect()}
+    assert len(out) == 400
+    assert all(v == (46, 40, [str(d)]) if d % 1000 == 7 else v[1] == 0 for d, v in out.items())
