@@ -7,7 +7,7 @@ words reach its target; the last block is cut there.
 
 Shuffling is by the MD5 of the id (then the id's order), so reruns agree. Texts without a word are never taken. Null
 sources form one source, last in order; null ids share one place in the shuffle, where equal rows are
-interchangeable. An empty table gives an empty mix.
+interchangeable. Long texts are counted whole. An empty table gives an empty mix. There may be many sources: points meet them by a join.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import as_text, chunks, map_arrow, park
+from .base import as_text, chunks, few, map_arrow, park
 from .running import running_total
 
 PHI = 0.6180339887498949
@@ -28,14 +28,15 @@ PHI = 0.6180339887498949
 @dataclass(frozen=True)
 class Params:
     """weights: of the sources in order, repeating. cap: most times a source's words are taken.
-    block_words: words of a block. buckets: pieces that a source's shuffled texts are cut into, for running totals;
-    slots_per_bucket: the same for slots."""
+    block_words: words of a block. rows_per_bucket: of the pieces that shuffled texts are cut into for running totals, about;
+    slots_per_bucket: the same for slots. cells: pieces of the line from 0 to 1 in which points meet sources."""
 
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     cap: int = 3
     block_words: int = 1024
-    buckets: int = 256
+    rows_per_bucket: int = 4096
     slots_per_bucket: int = 4096
+    cells: int = 4096
 
 
 def word_counts(documents: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
@@ -76,7 +77,8 @@ def shuffled(sizes: DataFrame, p: Params = Params(), id_col: str = "doc_id") ->
     """Adds `start`: the words of the same source that come before the row in the shuffle."""
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     rows = sizes.withColumn("_digest", digest)
-    bucket = (F.conv(F.substring("_digest", 1, 4), 16, 10).cast("int") * p.buckets / 65536).cast("int")
+    buckets = min(1 << 28, max(256, sizes.count() // p.rows_per_bucket))
+    bucket = (F.conv(F.substring("_digest", 1, 7), 16, 10).cast("long") * buckets / (1 << 28)).cast("int")
     return running_total(rows, ["source"], bucket, ["_digest", id_col, "size"], "size", "start").drop("_digest")
 
 
@@ -86,31 +88,27 @@ def schedule(spark, per_source: DataFrame, p: Params = Params()) -> DataFrame:
     s = per_source.filter("target > 0 and source_size > 0").withColumn("_words", F.round("target").cast("long"))
     s = s.withColumn("_blocks", F.ceil(F.col("source_size") / b).cast("long")).withColumn("_rest", F.col("_words") % F.col("source_size"))
     s = s.withColumn("_need", F.floor(F.col("_words") / F.col("source_size")).cast("long") * F.col("_blocks") + F.ceil(F.col("_rest") / b).cast("long")).filter("_need > 0")
-    # one row per source: the driver holds the cumulative shares
-    rows = s.select("source", "source_size", "_words", "_blocks", "_need").orderBy(F.col("source").asc_nulls_last()).collect()
     kind = per_source.schema["source"].dataType.simpleString()
-    out = f"slot long, source {kind}, rank long, epoch long, block long, words long"
-    if not rows:
-        return spark.createDataFrame([], out)
-    total = sum(r["_need"] for r in rows)
-    ends, run = [], 0
-    for r in rows:
-        run += r["_need"]
-        ends.append(run / total)
-    sources = spark.createDataFrame([(i, r["source"], r["source_size"], r["_words"], r["_blocks"], r["_need"]) for i, r in enumerate(rows)], f"_at int, source {kind}, _size long, _words long, _blocks long, _need long")
+    order = Window.orderBy(F.col("source").asc_nulls_last())  # a row for each source, as in targets()
+    total = s.agg(F.sum("_need")).first()[0]
+    if not total:
+        return spark.createDataFrame([], f"slot long, source {kind}, rank long, epoch long, block long, words long")
+    end = F.sum("_need").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    sources = s.select((F.row_number().over(order) - 1).alias("_at"), "source", F.col("source_size").alias("_size"), "_words", "_blocks", "_need", ((end - F.col("_need")) / total).alias("_lo"), (end / total).alias("_hi"))
+    sources = park(sources)
     point = F.col("slot") * F.lit(PHI) + F.lit(PHI / 2)
-    point = point - F.floor(point)
-    at = F.lit(0)
-    for e in ends[:-1]:
-        at = at + (point >= e).cast("int")
-    points = spark.range(total).withColumnRenamed("id", "slot").withColumn("_at", at).withColumn("_one", F.lit(1))
+    points = spark.range(total).withColumnRenamed("id", "slot").withColumn("_point", point - F.floor(point)).withColumn("_cell", F.floor(F.col("_point") * p.cells))
+    ranges = park(sources.select("_at", "_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") * p.cells), F.floor(F.col("_hi") * p.cells))).alias("_c")))
+    points = points.join(few(ranges), (F.col("_cell") == F.col("_c")) & (F.col("_point") >= F.col("_lo")) & (F.col("_point") < F.col("_hi"))).select("slot", "_at", F.lit(1).alias("_one"))
+    sources = sources.drop("_lo", "_hi")
+    number = sources.count()
     df = running_total(points, ["_at"], F.floor(F.col("slot") / p.slots_per_bucket), ["slot"], "_one", "rank").drop("_one")
-    df = df.join(F.broadcast(sources), "_at").filter("rank < _need")
+    df = df.join(few(sources), "_at").filter("rank < _need")
     # the points miss a source's share by a few slots at most; the missing ranks come last
     have = points.groupBy("_at").agg(F.count("*").alias("_have"))
-    short = sources.join(F.broadcast(have), "_at", "left").withColumn("_have", F.coalesce("_have", F.lit(0))).filter("_have < _need")
+    short = sources.join(have, "_at", "left").withColumn("_have", F.coalesce("_have", F.lit(0))).filter("_have < _need")
     short = short.withColumn("rank", F.explode(F.sequence("_have", F.col("_need") - 1)))
-    short = short.withColumn("slot", F.lit(total) + F.col("_at") + (F.col("rank") - F.col("_have")) * len(rows))
+    short = short.withColumn("slot", F.lit(total) + F.col("_at") + (F.col("rank") - F.col("_have")) * number)
     df = df.unionByName(short.select(*df.columns))
     df = df.withColumn("epoch", F.floor(F.col("rank") / F.col("_blocks"))).withColumn("block", F.col("rank") % F.col("_blocks"))
     at_word = F.col("epoch") * F.col("_size") + F.col("block") * p.block_words
@@ -123,12 +121,12 @@ def mix(documents: DataFrame, p: Params = Params(), id_col: str = "doc_id", text
     spark = documents.sparkSession
     src = documents.select(documents[id_col].alias("_id"), documents[source_col].cast("string").alias("source"), as_text(documents, text_col).alias("_text"))
     sizes = park(word_counts(src, ["_id", "source"], "_text"))
-    per = targets(sizes, p).persist()
+    per = park(targets(sizes, p))
     rows = shuffled(sizes, p, "_id")
     slots = schedule(spark, per, p)
     # how often a block is taken whole, and the words taken of its cut copy
     full = F.col("words") >= F.least(F.lit(p.block_words), F.col("_size") - F.col("block") * p.block_words)
-    taken = slots.join(F.broadcast(per.select(F.col("source").alias("_s"), F.col("source_size").alias("_size"))), F.col("source").eqNullSafe(F.col("_s")))
+    taken = slots.join(few(per.select(F.col("source").alias("_s"), F.col("source_size").alias("_size"))), F.col("source").eqNullSafe(F.col("_s")))
     taken = taken.groupBy(F.col("source").alias("_src"), F.col("block").alias("_blk")).agg(F.sum(full.cast("long")).alias("_times"), F.sum(F.when(~full, F.col("words")).otherwise(0)).alias("_cut"))
     # one row for each block that a text reaches into; texts with a place but no word get none
     b = p.block_words
@@ -140,5 +138,5 @@ def mix(documents: DataFrame, p: Params = Params(), id_col: str = "doc_id", text
     got = got.groupBy("_id", "source", "size", "start").agg(F.sum(words).alias("taken"))
     got = got.unionByName(rows.filter("size = 0").select("_id", "source", "size", "start", F.lit(0).cast("long").alias("taken")))
     per = per.select(F.col("source").alias("_s"), "source_size", "target")
-    out = got.join(F.broadcast(per), F.col("source").eqNullSafe(F.col("_s")))
+    out = got.join(few(per), F.col("source").eqNullSafe(F.col("_s")))
     return out.select(F.col("_id").alias(id_col), "source", F.col("size").cast("long").alias("size"), "source_size", "target", F.col("taken").cast("long").alias("taken"))
