@@ -6,6 +6,7 @@ task's memory depends on the chunk size below (or on the longest single text), n
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,9 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a temporary one only where none is configured."""
+    """The folder that driver and executors share; where none is configured, a temporary one, if the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="barloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -100,14 +103,17 @@ def as_text(df: DataFrame, text_col: str) -> Column:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, label) of at most `rows` labelled documents, those whose hashed id is smallest.
+    """_id, _text, _label of at most `rows` labelled texts, those whose hashed id is smallest, in one partition and in that order.
 
-    The chosen label rows are bounded by `rows`, so they can be broadcast; duplicates of an id all count.
+    Only ids and hashes of texts are ranked; a text that repeats under one id counts once. Rows with null ids or labels are left out.
     """
     chosen = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_label")).filter(keep)
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_label").limit(rows)
-    docs = documents.select(documents[id_col].alias("_id"), as_text(documents, text_col).alias("_text"))
-    return docs.join(F.broadcast(chosen), "_id").select("_id", "_text", "_label").orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    chosen = chosen.distinct().orderBy(F.xxhash64("_id"), "_id", "_label").limit(rows)
+    docs = documents.select(documents[id_col].alias("_id"), as_text(documents, text_col).alias("_text")).withColumn("_key", F.xxhash64("_text"))
+    order = [F.xxhash64("_id"), F.col("_id"), F.col("_key"), F.col("_label")]
+    rank = docs.select("_id", "_key").join(F.broadcast(chosen), "_id").distinct().orderBy(*order).limit(rows)  # rows of numbers, no more than `rows`
+    found = docs.join(F.broadcast(rank), ["_id", "_key"]).groupBy("_id", "_key", "_label").agg(F.first("_text").alias("_text"))
+    return found.repartition(1).sortWithinPartitions(*order).select("_id", "_text", "_label")
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

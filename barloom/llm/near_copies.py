@@ -46,7 +46,7 @@ class Params:
     shingle: int = 5
     sample_texts: int = 10_000
     common: int = 1 << 17
-    shown: int = 64
+    shown: int = 24
     fingerprint: simhash.Params = simhash.Params()
 
 
