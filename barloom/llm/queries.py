@@ -114,7 +114,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)""",
 WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{_UP}', '{_LOW}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 r(h, p, v) AS (VALUES {', '.join(str(x) for x in url_filter.RULES)}),
 f AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN len(list_intersect(string_split(host, '.'), {list(url_filter.SITES)})) > 0 THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN f USING (page_id)""",
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host || path <> '' AND (len(list_intersect(string_split(host, '.'), {list(url_filter.SITES)})) > 0 OR starts_with(md5(host || path), '0')) THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN f USING (page_id)""",
     "op9_line_dedup": f"""
 WITH l AS (SELECT doc_id, unnest({_LINES}) AS line, unnest(range(len({_LINES}))) AS pos FROM documents),
 k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UP}', '{_LOW}') AS key FROM l),

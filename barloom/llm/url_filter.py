@@ -2,16 +2,18 @@
 
 The cascade's first filter encodes the listed keys, the second those keys of the universe that pass the first without
 being listed, the third the listed keys that pass the second, and so on until no key is left. For every key of the universe the first filter that
-it fails tells whether it is listed, without a join and without error. A filter is one row with an array of 64-bit
-words, read as a scalar subquery. A list that would need more than `most_bits` in one filter is joined instead, which gives
-the same verdicts.
+it fails tells whether it is listed, without a join of rows and keys and without error. Keys are dealt by their hash to shards, each with filters of its own of about
+`shard_bits`; the filters of a level are arrays of 64-bit words, read as a scalar subquery of at most `pass_bits`. A list that needs more is judged in several passes over the rows, each for its
+own shards.
 
-Null URLs and URLs without `://` have an empty host and path, fit no rule, and have the empty key, which is never listed.
+Keys are addresses, host and path. Null URLs and URLs without `://` have an empty host and path, fit no rule, and have the empty key, which is never
+listed. Of rules of equal length that fit, the one that stands last wins. Repeated rows are each judged; very long URLs are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-#: Site names whose hosts the query lists.
+#: Site names whose hosts' addresses the query lists.
 SITES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
@@ -51,12 +53,14 @@ def rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 @dataclass(frozen=True)
 class Params:
-    """bits: of a filter for each key that it encodes. hashes. most_bits: of one filter, a bound. most_levels: a guard."""
+    """bits: of a filter for each key that it encodes. hashes. shard_bits: of a shard's first filter, about. pass_bits: of the first filters that one pass
+    over the rows reads, a bound on what the plan carries. most_levels: a guard that the halving of levels never meets."""
 
     bits: int = 10
     hashes: int = 3
-    most_bits: int = 1 << 23
-    most_levels: int = 40
+    shard_bits: int = 1 << 20
+    pass_bits: int = 1 << 26
+    most_levels: int = 60
 
 
 def places(key: Column, level: int, words: int, p: Params) -> list[Column]:
@@ -65,68 +69,93 @@ def places(key: Column, level: int, words: int, p: Params) -> list[Column]:
 
 @dataclass
 class Cascade:
-    levels: list[tuple[DataFrame, int]] = field(default_factory=list)  # a filter's table and its number of words
-    joined: DataFrame | None = None
-    p: Params = Params()
+    """levels: for each, a table of one row for each pass, and the words of a shard's filter."""
+
+    shards: int
+    per_pass: int
+    p: Params
+    levels: list[tuple[list[DataFrame], int]] = field(default_factory=list)
 
     @classmethod
     def build(cls, universe: DataFrame, listed: DataFrame, p: Params = Params()) -> Cascade:
         """universe, listed: tables with one string column, key. Keys are distinct after this; nulls are left out."""
         inside = park(listed.select("key").filter("key is not null").distinct())
         outside = park(universe.select("key").filter("key is not null").distinct().join(inside, "key", "left_anti"))
-        out = cls(p=p)
+        shards = max(1, -(-inside.count() * p.bits // p.shard_bits))
+        out = cls(shards, max(1, p.pass_bits // p.shard_bits), p)
         encode, against = inside, outside
         for level in range(p.most_levels):
-            n = encode.count()
-            if not n:
-                break
-            words = max(1, -(-n * p.bits // 64))
-            if 64 * words > p.most_bits:
-                return cls(joined=inside, p=p)
-            out.levels.append((park(cls.filter_of(encode, level, words, p)), words))
-            encode, against = park(against.filter(out.passes(F.col("key"), level))), encode
-        else:
-            return cls(joined=inside, p=p)
-        return out
-
-    @staticmethod
-    def filter_of(keys: DataFrame, level: int, words: int, p: Params) -> DataFrame:
-        bits = keys.select(F.explode(F.array(*places(F.col("key"), level, words, p))).alias("at"))
-        per = bits.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-        every = keys.sparkSession.range(words).withColumnRenamed("id", "word").join(per, "word", "left")
-        row = every.agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("rows"))  # at most most_bits / 64
-        return row.select(F.transform("rows", lambda r: r["bits"]).alias("words"))
-
-    def passes(self, key: Column, level: int) -> Column:
-        table, words = self.levels[level]
-        cells = table.scalar()
-        hit = F.lit(True)
+            most = encode.groupBy(out.shard(F.col("key")).alias("shard")).count().agg(F.max("count")).first()[0]
+            if not most:
+                return out
+            words = -(-most * p.bits // 64)
+            filters = park(out.filters_of(encode, level, words))
+            passes = [filters.filter(f"pass = {g}").select("cells") for g in range(-(-shards // out.per_pass))]
+            out.levels.append((passes, words))
+            encode, against = park(against.filter(out.passed(F.col("key"), level))), encode
+        raise RuntimeError(f"the cascade did not end in {p.most_levels} levels")
+
+    def shard(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(self.shards)).cast("int")
+
+    def filters_of(self, keys: DataFrame, level: int, words: int) -> DataFrame:
+        """pass, cells: the filters of its shards, one after the other."""
+        at = F.explode(F.array(*places(F.col("key"), level, words, self.p)))
+        bits = keys.select(self.shard(F.col("key")).alias("shard"), at.alias("at"))
+        per = bits.groupBy("shard", F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+        every = keys.sparkSession.range(self.shards * words).select((F.col("id") / words).cast("int").alias("shard"), (F.col("id") % words).alias("word"))
+        cells = F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda r: r["bits"])
+        rows = every.join(per, ["shard", "word"], "left").groupBy("shard").agg(cells.alias("cells"))  # about shard_bits / 64
+        row = F.array_sort(F.collect_list(F.struct("shard", "cells")))  # at most per_pass
+        return rows.groupBy(F.floor(F.col("shard") / self.per_pass).alias("pass")).agg(F.flatten(F.transform(row, lambda r: r["cells"])).alias("cells"))
+
+    def _hit(self, key: Column, level: int, turn: int) -> Column:
+        tables, words = self.levels[level]
+        cells, begin, hit = tables[turn].scalar(), (self.shard(key) - turn * self.per_pass) * words, F.lit(True)
         for at in places(key, level, words, self.p):
-            cell = F.get(cells, F.floor(at / 64).cast("int"))
+            cell = F.get(cells, begin + F.floor(at / 64).cast("int"))
             # a test on the word rotated so that the bit is the sign
             hit = hit & (F.call_function("shiftleft", cell, (F.lit(63) - at % 64).cast("int")) < 0)
         return hit
 
+    def passed(self, key: Column, level: int) -> Column:
+        hit = F.lit(False)
+        for turn in range(len(self.levels[level][0])):
+            hit = F.when(F.floor(self.shard(key) / self.per_pass) == turn, self._hit(key, level, turn)).otherwise(hit)
+        return hit
+
     def member(self, df: DataFrame, key: str, out: str) -> DataFrame:
         """Adds `out`: whether the key is listed. Exact for all keys of the universe."""
-        if self.joined is not None:
-            hits = self.joined.select(F.col("key").alias("_key"), F.lit(True).alias(out))
-            return df.join(hits, df[key] == hits["_key"], "left").drop("_key").withColumn(out, F.coalesce(out, F.lit(False)))
-        verdict = F.lit(len(self.levels) % 2 == 1)
-        for level in reversed(range(len(self.levels))):
-            verdict = F.when(~self.passes(F.col(key), level), F.lit(level % 2 == 1)).otherwise(verdict)
-        return df.withColumn(out, F.coalesce(verdict, F.lit(False)))
+        if not self.levels:
+            return df.withColumn(out, F.lit(False))
+        turns = len(self.levels[0][0])
+
+        def verdict(turn: int) -> Column:
+            v = F.lit(len(self.levels) % 2 == 1)
+            for level in reversed(range(len(self.levels))):
+                v = F.when(~self._hit(F.col(key), level, turn), F.lit(level % 2 == 1)).otherwise(v)
+            return F.coalesce(v, F.lit(False))
+
+        own = F.floor(self.shard(F.col(key)) / self.per_pass)
+        parts = [(df if turns == 1 else df.filter(own == turn)).withColumn(out, verdict(turn) & F.col(key).isNotNull()) for turn in range(turns)]
+        return reduce(DataFrame.union, parts)
+
+
+def listed_addresses(universe: DataFrame) -> DataFrame:
+    """The query's list, as no table of listed keys is at hand: the addresses of hosts with one of SITES in their names, and every address whose MD5 starts with
+    a zero, a sixteenth of all, for a list that nothing about a key gives away."""
+    name = F.arrays_overlap(F.split(F.substring_index("key", "/", 1), r"\."), F.array(*map(F.lit, SITES)))
+    return universe.filter((F.col("key") != "") & (name | F.md5("key").startswith("0")))
 
 
 def judge(pages: DataFrame, listed: DataFrame | None = None, rules=RULES, p: Params = Params(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """id, host, path, rule, listed, verdict for each row. listed: keys (hosts); by default the corpus's hosts of SITES."""
+    """id, host, path, rule, listed, verdict for each row. listed: a table of addresses, key; by default `listed_addresses`."""
     url = pages[url_col].cast("string")
     rows = pages.select(pages[id_col].alias("_id"), host(url).alias("host"), path(url).alias("path"))
     text, verdict = rule(F.col("host"), F.col("path"), rules)
-    rows = rows.select("_id", "host", "path", text.alias("rule"), verdict.alias("_verdict"))
-    universe = park(rows.select(F.col("host").alias("key")).distinct())
-    if listed is None:
-        listed = universe.filter(F.arrays_overlap(F.split("key", r"\."), F.array(*map(F.lit, SITES))))
-    out = Cascade.build(universe, listed.filter("key <> ''"), p).member(rows, "host", "listed")
+    rows = rows.select("_id", "host", "path", F.concat("host", "path").alias("_key"), text.alias("rule"), verdict.alias("_verdict"))
+    universe = park(rows.select(F.col("_key").alias("key")).distinct())
+    listed = listed_addresses(universe) if listed is None else listed.filter("key <> ''")
+    out = Cascade.build(universe, listed, p).member(rows, "_key", "listed")
     verdict = F.coalesce("_verdict", F.when(F.col("listed"), "block").otherwise("allow"))
     return out.select(F.col("_id").alias(id_col), "host", "path", "rule", "listed", verdict.alias("verdict"))

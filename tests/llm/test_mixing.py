@@ -45,7 +45,7 @@ def got(df, p):
 def test_equals_brute_force(spark, small):
     df = spark.read.parquet(f"{small}/documents.parquet")
     want = brute(sizes(df))
-    for p in (M.Params(), M.Params(block_words=7, buckets=3, slots_per_bucket=11)):
+    for p in (M.Params(), M.Params(block_words=7, rows_per_bucket=3, slots_per_bucket=11)):
         assert norm(got(df, p)) == norm(want)
 
 

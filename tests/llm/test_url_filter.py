@@ -1,3 +1,5 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from barloom.llm import url_filter as U
@@ -17,26 +19,35 @@ def brute(url):
         host, tail = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut]), rest[cut:]
         path = tail[: min([i for i in (tail.find(c) for c in "?#") if i >= 0], default=len(tail))]
     fits = [(len(h + p), h + p, v) for h, p, v in U.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    listed = any(label in U.SITES for label in host.split("."))
+    listed = host + path != "" and (any(label in U.SITES for label in host.split(".")) or hashlib.md5((host + path).encode()).hexdigest()[0] == "0")
     best = max(fits, default=(0, None, "block" if listed else "allow"))
     return host, path, best[1], best[2]
 
 
-def test_rules_and_listed_hosts(spark):
-    df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string").withColumn("host", F.lit(1)).withColumn("key", F.lit(1))
+def test_rules_and_listed_addresses(spark):
+    urls = URLS + [f"https://www.example.edu/{i}" for i in range(100)] + ["https://long.example.edu/" + "x" * 200_000] + URLS[:8]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit(1)).withColumn("key", F.lit(1))
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in U.judge(df).collect()}
-    assert got == {i: brute(u) for i, u in enumerate(URLS)}
+    assert got == {i: brute(u) for i, u in enumerate(urls)}
 
 
 def test_cascade_is_exact_over_the_universe(spark):
     universe = spark.range(20_000).select(F.concat(F.lit("host"), "id").alias("key"))
     listed = universe.filter(F.substring("key", -1, 1) == "7")
-    for p in (U.Params(bits=4, hashes=2), U.Params(), U.Params(most_bits=1024)):
+    for p in (U.Params(bits=4, hashes=2), U.Params(), U.Params(shard_bits=1024), U.Params(shard_bits=1024, pass_bits=4096)):
         c = U.Cascade.build(universe, listed, p)
         got = c.member(universe.union(universe.limit(10)), "key", "hit")
         assert got.filter(F.col("hit") != (F.substring("key", -1, 1) == "7")).count() == 0
         assert got.count() == 20_010
-        assert (c.joined is not None) == (p.most_bits == 1024)
+        assert (c.shards > 1) == (p.shard_bits == 1024) and (len(c.levels[0][0]) > 1) == (p.pass_bits == 4096)
+
+
+def test_many_listed_keys_in_several_shards_without_a_join(spark):
+    universe = spark.range(100_000).select(F.col("id").cast("string").alias("key"))
+    c = U.Cascade.build(universe, universe.filter("key % 5 <> 0"), U.Params(shard_bits=1 << 16))
+    got = c.member(universe, "key", "hit")
+    assert c.shards > 10 and got.filter("hit <> (key % 5 <> 0)").count() == 0
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
 
 
 def test_plan_has_no_python_and_no_join(spark, small):
