@@ -40,17 +40,19 @@ def src15(spark, sf):
     return b.join(mark, "ticker", "left").filter(F.col("mark").isNull() | (F.col("date") > F.col("mark"))).groupBy("ticker").agg(F.count("*").alias("n"))
 
 
-@query("SRC-20", "SELECT * FROM (VALUES ('AAAA'), ('BBBB'), ('CCCC')) t(ticker)")
+@query("SRC-20", "SELECT least, ticker FROM (SELECT DISTINCT 10 AS least, p_brand AS ticker FROM part) WHERE (SELECT count(DISTINCT p_brand) FROM part) >= 10 UNION ALL SELECT l, ticker FROM (VALUES (10), (10000)) n(l), (VALUES ('AAAA'), ('BBBB'), ('CCCC')) t(ticker) WHERE (SELECT count(DISTINCT p_brand) FROM part) < l")
 def src20(spark, sf):
+    """A list that is long enough, and one that isn't."""
     fixed = spark.createDataFrame([("AAAA",), ("BBBB",), ("CCCC",)], "ticker string")
     found = B.read(spark, sf, "part").select(F.col("p_brand").alias("ticker")).distinct()
-    return files.with_fallback(found, fixed, 10_000)
+    long, short = (files.with_fallback(found, fixed, n).select(F.lit(n).alias("least"), "ticker") for n in (10, 10_000))
+    return long.union(short)
 
 
-@query("SRC-22", "SELECT CAST(doc_id AS VARCHAR) AS announcement_id, substring(text, 1, 120) AS title, source AS tags FROM documents")
+@query("SRC-22", "SELECT CAST(doc_id AS VARCHAR) AS announcement_id, text AS title, source AS tags FROM documents")
 def src22(spark, sf):
     """Announcements as JSON items, exploded again."""
-    items = B.read(spark, sf, "documents").select(F.to_json(F.struct(F.array(F.struct(F.col("doc_id").cast("string").alias("Id"), F.substring("text", 1, 120).alias("Title"), F.col("source").alias("Tags"))).alias("Items"))).alias("page"))
+    items = B.read(spark, sf, "documents").select(F.to_json(F.struct(F.array(F.struct(F.col("doc_id").cast("string").alias("Id"), F.col("text").alias("Title"), F.col("source").alias("Tags"))).alias("Items"))).alias("page"))
     rows = items.select(F.explode(F.from_json("page", "Items array<struct<Id:string, Title:string, Tags:string>>")["Items"]).alias("i"))
     return rows.select(F.col("i.Id").alias("announcement_id"), F.col("i.Title").alias("title"), F.col("i.Tags").alias("tags"))
 
@@ -64,7 +66,9 @@ def src23(spark, sf):
 @query("SNK-04", O.query("SELECT ticker, date, event_type, round(CASE WHEN year(date) >= 1997 THEN dividend_yield + 1 ELSE dividend_yield END, 6) AS dividend_yield FROM act", O.EVENTS))
 def snk04(spark, sf):
     a = B.actions(spark, sf)
-    return store.insert_or_replace(a.filter("year(date) < 1998"), a.filter("year(date) >= 1997").withColumn("dividend_yield", F.col("dividend_yield") + 1), ["ticker", "date", "event_type"])
+    new = a.filter("year(date) >= 1997")
+    batch = new.union(new.withColumn("dividend_yield", F.col("dividend_yield") + 1))  # of a key's rows the one with the greater values counts as the last
+    return store.insert_or_replace(a.filter("year(date) < 1998"), batch, ["ticker", "date", "event_type"])
 
 
 @query("SNK-07", None)
@@ -81,6 +85,13 @@ def snk08(spark, sf):
     return new.agg(F.count("*").alias("n"))
 
 
+@query("STM-05", O.query("SELECT ticker, date AS signal_date, round(return_n1, 6) AS return_n1, round(return_n3, 6) AS return_n3, round(return_n5, 6) AS return_n5, return_n3 >= 0.003 AS hit_target FROM (SELECT ticker, date, " + ", ".join(f"lead(close, {h}) OVER w / close - 1 AS return_n{h}" for h in (1, 3, 5)) + " FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)) JOIN (SELECT ticker, date FROM sig) USING (ticker, date)", *RULES))
+def stm05(spark, sf):
+    """Outcomes of recorded signals after one, three and five bars."""
+    _, outcomes = store.record_signals(spark.createDataFrame([], "id long"), signals(spark, sf).select("ticker", "date", "close"), "v1")
+    return store.update_outcomes(outcomes, bars(spark, sf)).select("ticker", "signal_date", *[F.round(f"return_n{h}", 6).alias(f"return_n{h}") for h in (1, 3, 5)], "hit_target")
+
+
 # --- filters, projections, indicators ----------------------------------------------------------------------------------
 @query("FLT-13", O.query("SELECT count(*) AS n FROM noted WHERE open IS NOT NULL AND volume IS NOT NULL", O.BARS, DIRTY))
 def flt13(spark, sf):
@@ -344,11 +355,11 @@ def str02(spark, sf):
     return B.read(spark, sf, "part").select("p_brand", F.array_join(T.candidates(F.col("p_brand")), ",").alias("forms")).distinct()
 
 
-@query("STR-04", r"SELECT doc_id, list_filter(regexp_extract_all(upper(replace(replace(text, 'ß', 'SS'), '.', ' ')), '[A-Z]+'), lambda w: list_contains(['THAT', 'THIS', 'ESTA', 'DANS'], w))[1] AS code FROM documents WHERE regexp_full_match(text, '[\x00-\x7f]*')")
+@query("STR-04", "SELECT doc_id, list_filter(regexp_extract_all(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[A-Z]+'), lambda w: list_contains(['THAT', 'THIS', 'ESTA', 'DANS'], w))[1] AS code FROM documents")
 def str04(spark, sf):
     known = F.array(*map(F.lit, ("THAT", "THIS", "ESTA", "DANS")))
-    docs = B.read(spark, sf, "documents").filter(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    return docs.select("doc_id", T.first_code(F.regexp_replace(F.upper("text"), "[^A-Z]", " "), known).alias("code"))
+    upper = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    return B.read(spark, sf, "documents").select("doc_id", T.first_code(F.regexp_replace(upper, "[^A-Z]", " "), known).alias("code"))
 
 
 @query("STR-05", O.query("SELECT DISTINCT replace(ticker || '.JK', '.JK', '') AS bare FROM bars", O.BARS))
@@ -449,7 +460,7 @@ def ml12(spark, sf):
 #: Ids that another query covers whole.
 SAME = {
     "SRC-16": "SRC-15", "SRC-12": "SRC-20", "SNK-05": "SNK-02", "SNK-06": "SNK-01", "PRJ-03": "PRJ-02", "PRJ-04": "PRJ-05", "IND-08": "IND-07", "IND-12": "IND-11", "RSK-02": "RSK-04", "JN-01": "SRC-03", "JN-02": "SRC-04", "JN-04": "SRC-04", "SJ-01": "WIN-02",
-    "SRT-01": "SRC-11", "SET-01": "SRC-06", "ARR-01": "SET-05", "ARR-02": "BRD-03", "MTH-02": "MTH-01", "MTH-04": "SCO-04", "STR-11": "STR-06", "STM-05": "SNK-08", "UDF-02": "IND-13", "UDF-03": "WIN-12", "SRT-04": "ML-09", "ML-05": "ML-10",
+    "SRT-01": "SRC-11", "SET-01": "SRC-06", "ARR-01": "SET-05", "ARR-02": "BRD-03", "MTH-02": "MTH-01", "MTH-04": "SCO-04", "STR-11": "STR-06", "UDF-02": "IND-13", "UDF-03": "WIN-12", "SRT-04": "ML-09", "ML-05": "ML-10",
 }
 for _id, _as in SAME.items():
     QUERIES[_id] = QUERIES[_as]

@@ -6,13 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def insert_or_ignore(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The first write of a key wins; rows must have distinct keys."""
-    return table.unionByName(rows.join(table.select(*keys), keys, "left_anti"))
+def one_each(rows: DataFrame, keys: list[str], order: str | None, last: bool) -> DataFrame:
+    """The first or last row of each key in a batch by `order`, a column that goes then; without one, by the values of the other columns."""
+    others = [c for c in rows.columns if c not in keys and c != order]
+    at = F.col(order) if order else F.struct(*others)
+    pick = (F.max_by if last else F.min_by)(F.struct(*others), at)
+    return rows.groupBy(*keys).agg(pick.alias("_row")).select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in rows.columns if c != order])
 
 
-def insert_or_replace(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The last write of a key wins."""
+def insert_or_ignore(table: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """The first write of a key wins, within the batch as well."""
+    return table.unionByName(one_each(rows, keys, order, False).join(table.select(*keys), keys, "left_anti"))
+
+
+def insert_or_replace(table: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """The last write of a key wins, within the batch as well."""
+    rows = one_each(rows, keys, order, True)
     return table.join(rows.select(*keys), keys, "left_anti").unionByName(rows)
 
 

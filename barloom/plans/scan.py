@@ -16,6 +16,12 @@ def latest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def recent(rows: DataFrame, n: int) -> DataFrame:
+    """The last n rows of each ticker: indicators need the history, tags of the last row don't look farther back."""
+    row, every = Window.partitionBy("ticker").orderBy("date"), Window.partitionBy("ticker")
+    return rows.withColumns({"_i": F.row_number().over(row), "_all": F.count(F.lit(1)).over(every)}).filter(F.col("_i") > F.col("_all") - n).drop("_i", "_all")
+
+
 def observed(bars: DataFrame, p: TagParams = TagParams()) -> DataFrame:
     """Tags of every row of the panel."""
     rows = indicators.compute(valid(bars)).withColumn("turnover_5d", indicators.turnover(3))
@@ -25,7 +31,8 @@ def observed(bars: DataFrame, p: TagParams = TagParams()) -> DataFrame:
 def unusual(bars: DataFrame, as_of: str | None = None, p: TagParams = TagParams()) -> DataFrame:
     """Last rows with at least one unusual tag: the most unusual `results` tickers, ties by ticker."""
     bars = bars if as_of is None else bars.filter(F.col("date") <= F.lit(as_of).cast("date"))
-    last = latest(observed(bars, p)).filter("unusual_count > 0")
+    rows = indicators.compute(valid(bars)).withColumn("turnover_5d", indicators.turnover(3))
+    last = latest(tags.evaluate(recent(rows, p.lookback + 3), p)).filter("unusual_count > 0")
     last = tags.opinion(last).withColumn("liquidity_note", tags.liquidity_note(F.col("turnover_5d")))
     keep = ["ticker", "date", "close", "turnover_5d", "liquidity_note", "unusual_count", "unusual_tags", "all_tags", "attention", "level", "headline"]
     return last.select(*keep).orderBy(F.desc("unusual_count"), "ticker").limit(p.results)

@@ -646,13 +646,16 @@ def win16(spark, sf):
 @query("SNK-01", O.query("SELECT ticker, date, close FROM bars WHERE date < DATE '1996-01-01' UNION ALL SELECT ticker, date, close + 1 FROM bars WHERE date >= DATE '1996-01-01'", O.BARS))
 def snk01(spark, sf):
     b = bars(spark, sf).select("ticker", "date", "close")
-    return store.insert_or_ignore(b.filter("date < date'1996-01-01'"), b.withColumn("close", F.col("close") + 1), ["ticker", "date"])
+    batch = b.withColumn("close", F.col("close") + 1).withColumn("at", F.lit(1)).union(b.withColumn("close", F.col("close") + 2).withColumn("at", F.lit(2)))
+    return store.insert_or_ignore(b.filter("date < date'1996-01-01'"), batch, ["ticker", "date"], "at")
 
 
-@query("SNK-02", O.query("SELECT ticker, date, close FROM bars WHERE date < DATE '1996-01-01' UNION ALL SELECT ticker, date, close + 1 FROM bars WHERE date >= DATE '1996-01-01'", O.BARS))
+@query("SNK-02", O.query("SELECT ticker, date, close FROM bars WHERE date < DATE '1996-01-01' UNION ALL SELECT ticker, date, close + 2 FROM bars WHERE date >= DATE '1996-01-01'", O.BARS))
 def snk02(spark, sf):
     b = bars(spark, sf).select("ticker", "date", "close")
-    return store.insert_or_replace(b.filter("date < date'1997-01-01'"), b.filter("date >= date'1996-01-01'").withColumn("close", F.col("close") + 1), ["ticker", "date"])
+    new = b.filter("date >= date'1996-01-01'")
+    batch = new.withColumn("close", F.col("close") + 2).withColumn("at", F.lit(2)).union(new.withColumn("close", F.col("close") + 1).withColumn("at", F.lit(1)))
+    return store.insert_or_replace(b.filter("date < date'1997-01-01'"), batch, ["ticker", "date"], "at")
 
 
 @query("SNK-03", "SELECT c_custkey, coalesce(n.c_name, c.c_name) AS c_name, c.c_mktsegment FROM customer c LEFT JOIN (SELECT c_custkey, upper(c_name) AS c_name FROM customer WHERE c_nationkey < 5) n USING (c_custkey)")

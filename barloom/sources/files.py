@@ -3,13 +3,8 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-from ..session import ship
 
 CSV = "date date, open double, high double, low double, close double, volume double"
 RSS = "title string, pubDate string, description string"
@@ -69,46 +64,20 @@ class Provider(ABC):
         spark = have.sparkSession
         wanted = spark.createDataFrame([(t,) for t in tickers], "ticker string").join(have.groupBy("ticker").agg(F.max("date").alias("last")), "ticker", "left")
         stale = wanted.filter(F.col("last").isNull() | (F.datediff(F.lit(end).cast("date"), "last") > most_gap_days))
-        new = self.fetch(tickers, None, end).join(stale, "ticker")
+        held = stale.collect()  # a row for each ticker asked for
+        start = None if any(r["last"] is None for r in held) else str(min((r["last"] for r in held), default=end))
+        new = self.fetch([r["ticker"] for r in held], start, end).join(spark.createDataFrame(held, stale.schema), "ticker")
         return new.filter(F.col("last").isNull() | (F.col("date") > F.col("last"))).drop("last")
 
 
-class ReplaySource(DataSource):
-    """A provider that replays a Parquet file, one partition for each ticker; stands in for a market-data service."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "replay_bars"
-
-    def schema(self) -> str:
-        return "ticker string, date date, open double, high double, low double, close double, volume double"
-
-    def reader(self, schema) -> DataSourceReader:
-        return ReplayReader(self.options)
-
-
-class ReplayReader(DataSourceReader):
-    def __init__(self, options):
-        self.path, self.tickers = options["path"], options["tickers"].split(",")
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(t) for t in self.tickers]
-
-    def read(self, partition: InputPartition) -> Iterator:
-        import pyarrow.compute as pc
-        import pyarrow.dataset as ds
-
-        table = ds.dataset(self.path).to_table(filter=pc.field("ticker") == partition.value)
-        yield from table.select(["ticker", "date", "open", "high", "low", "close", "volume"]).to_batches()
-
-
 class ReplayProvider(Provider):
+    """Replays bars that are stored as Parquet; stands in for a market-data service. Tickers and dates reach the scan."""
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        ship(spark)
-        spark.dataSource.register(ReplaySource)
 
     def fetch(self, tickers, start=None, end=None):
-        df = self.spark.read.format("replay_bars").option("path", self.path).option("tickers", ",".join(tickers)).load()
+        df = self.spark.read.parquet(self.path).filter(F.col("ticker").isin(tickers))
         df = df if start is None else df.filter(F.col("date") >= F.lit(start).cast("date"))
-        return df if end is None else df.filter(F.col("date") <= F.lit(end).cast("date"))
+        df = df if end is None else df.filter(F.col("date") <= F.lit(end).cast("date"))
+        return df.select("ticker", "date", "open", "high", "low", "close", "volume")
