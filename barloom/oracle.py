@@ -8,6 +8,13 @@ bars AS (
          min(l_extendedprice) AS low, arg_max(l_extendedprice, k) AS close, sum(l_quantity) AS volume
   FROM (SELECT *, row(l_shipdate, l_orderkey, l_linenumber, l_extendedprice) AS k FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1, 2)"""
 
+#: The same by supplier and day.
+SUPPLIERS = """
+bars AS (
+  SELECT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(l_shipdate AS DATE) AS date, arg_min(l_extendedprice, k) AS open, max(l_extendedprice) AS high,
+         min(l_extendedprice) AS low, arg_max(l_extendedprice, k) AS close, sum(l_quantity) AS volume
+  FROM (SELECT *, row(l_shipdate, l_orderkey, l_linenumber, l_extendedprice) AS k FROM lineitem) GROUP BY 1, 2)"""
+
 #: Recursive averages are folds over the list of all values so far.
 INDICATORS = """
 i0 AS (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY ticker) AS cnt, lag(close) OVER w AS pc FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)),

@@ -322,10 +322,12 @@ for _id, _names in {"TAG-01": "VOLUME_SPIKE", "TAG-02": "TREND_ALIGNMENT_UP TREN
     query(_id, O.query(f"SELECT ticker, date, {_sql} FROM tags", O.BARS, O.INDICATORS, O.TAGS))(lambda spark, sf, _n=_names: tags.evaluate(ind(spark, sf)).select("ticker", "date", *[F.col(f"t_{t}").alias(t.lower()) for t in _n.split()]))
 
 
-@query("SCN-01", O.query("SELECT ticker, date, round(close, 6) AS close, round(turnover_5d, 6) AS turnover_5d, CAST(len(unusual) AS INTEGER) AS unusual_count, array_to_string(unusual, ',') AS unusual_tags, attention, level FROM scan", O.BARS, O.INDICATORS, O.TAGS, O.LATEST, O.OPINION))
-def scn01(spark, sf):
-    out = scan.unusual(bars(spark, sf))
-    return out.select("ticker", "date", "close", "turnover_5d", "unusual_count", F.array_join("unusual_tags", ",").alias("unusual_tags"), "attention", "level")
+for _name, _bars, _sql in (("SCN-01", B.weekly, O.BARS), ("SCN-01-SUPPLIERS", B.by_supplier, O.SUPPLIERS)):
+
+    @query(_name, O.query("SELECT ticker, date, round(close, 6) AS close, round(turnover_5d, 6) AS turnover_5d, CAST(len(unusual) AS INTEGER) AS unusual_count, array_to_string(unusual, ',') AS unusual_tags, attention, level FROM scan", _sql, O.INDICATORS, O.TAGS, O.LATEST, O.OPINION))
+    def scn01(spark, sf, _of=_bars):
+        out = scan.unusual(_of(spark, sf))
+        return out.select("ticker", "date", "close", "turnover_5d", "unusual_count", F.array_join("unusual_tags", ",").alias("unusual_tags"), "attention", "level")
 
 
 for _id in ("SRT-02", "OPN-01"):
@@ -354,6 +356,11 @@ def rar02(spark, sf):
     return tags.rarity(ind(spark, sf))
 
 
+@query("RAR-02-SUPPLIERS", O.query("SELECT ticker, tag_id, count_if(m AND back > 1) AS occurrences, max(CASE WHEN m AND back > 1 THEN date END) AS last_occurrence FROM masks GROUP BY 1, 2", O.SUPPLIERS, O.INDICATORS, MASKS.format(rows=252)))
+def rar02_suppliers(spark, sf):
+    return tags.rarity(indicators.compute(B.by_supplier(spark, sf)))
+
+
 @query("RAR-01", O.query("SELECT tag_id, count_if(m) AS n FROM masks GROUP BY 1", O.BARS, O.INDICATORS, MASKS.format(rows=1_000_000)))
 def rar01(spark, sf):
     return tags.long_form(tags.masks(S.by_series(ind(spark, sf))), "m_", "m").groupBy("tag_id").agg(F.count_if("m").alias("n"))

@@ -36,6 +36,12 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ohlcv(trades(spark, sf_dir), F.col("p_brand"), F.col("l_shipdate").cast("date"), "l_extendedprice", F.sum("l_quantity"), ["l_shipdate", "l_orderkey", "l_linenumber"])
 
 
+def by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars with a supplier as ticker: a panel that grows with the tables, in tickers as well as in days."""
+    lines = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
+    return ohlcv(lines, F.col("l_suppkey").cast("string"), F.col("l_shipdate").cast("date"), "l_extendedprice", F.sum("l_quantity"), ["l_shipdate", "l_orderkey", "l_linenumber"])
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of event values by the hour; date is the hour."""
     return ohlcv(read(spark, sf_dir, "events"), F.col("event_type"), F.date_trunc("hour", "ts"), "value", F.count("*").cast("double"), ["ts", "event_id"])
