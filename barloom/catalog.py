@@ -71,6 +71,15 @@ def snk04(spark, sf):
     return store.insert_or_replace(a.filter("year(date) < 1998"), batch, ["ticker", "date", "event_type"])
 
 
+@query("SNK-05", O.query("SELECT 'ALL' AS symbol, date, round(avg(close) + CASE WHEN date >= DATE '1996-01-01' THEN 2 ELSE 0 END, 6) AS close FROM bars GROUP BY date", O.BARS))
+def snk05(spark, sf):
+    """Index values of a batch replace those on record; the last of a day counts."""
+    index = B.market_index(bars(spark, sf)).select("symbol", "date", "close")
+    new = index.filter("date >= date'1996-01-01'")
+    batch = new.withColumn("close", F.col("close") + 1).withColumn("at", F.lit(1)).union(new.withColumn("close", F.col("close") + 2).withColumn("at", F.lit(2)))
+    return store.insert_or_replace(index.filter("date < date'1997-01-01'"), batch, ["symbol", "date"], "at")
+
+
 @query("SNK-07", None)
 def snk07(spark, sf):
     return scan.unusual(bars(spark, sf)).select(F.col("date").alias("scan_date"), "ticker", "unusual_count", F.to_json("unusual_tags").alias("unusual_tags"), F.to_json("all_tags").alias("all_tags"))
@@ -229,7 +238,10 @@ def agg14(spark, sf):
 def agg16(spark, sf):
     b = bars(spark, sf)
     rows = ind(spark, sf).select("ticker", "date", "rsi_14", S.forward_return("close", 3).alias("r3")).join(F.broadcast(folds.walk_forward(b, 5)), "date")
-    return diagnostics.rank_correlation(rows, "rsi_14", "r3", ["fold"])
+    rows = rows.select("fold", "rsi_14", "r3").filter("fold is not null and rsi_14 is not null and r3 is not null")
+    for c in ("rsi_14", "r3"):
+        rows = diagnostics.ranks_by_counts(rows, c, ["fold"])
+    return rows.groupBy("fold").agg(F.count("*").alias("n"), F.corr("rank_rsi_14", "rank_r3").alias("ic"))
 
 
 @query("AGG-22", O.query("SELECT horizon, fold, count(*) AS n, round(avg(r), 6) AS ev_gross, round(avg(r) - 0.004, 6) AS ev_net, round(avg(CAST(r > 0 AS INTEGER)), 6) AS win_rate FROM (" + " UNION ALL ".join(f"SELECT {h} AS horizon, fold, score, lead(close, {h}) OVER w / close - 1 AS r FROM scored LEFT JOIN folds USING (date) WINDOW w AS (PARTITION BY ticker ORDER BY date)" for h in (10, 20)) + ") WHERE score >= 50 AND r IS NOT NULL AND fold IS NOT NULL GROUP BY 1, 2", O.BARS, O.INDICATORS, O.POINTS, O.FOLDS))
@@ -459,7 +471,7 @@ def ml12(spark, sf):
 
 #: Ids that another query covers whole.
 SAME = {
-    "SRC-16": "SRC-15", "SRC-12": "SRC-20", "SNK-05": "SNK-02", "SNK-06": "SNK-01", "PRJ-03": "PRJ-02", "PRJ-04": "PRJ-05", "IND-08": "IND-07", "IND-12": "IND-11", "RSK-02": "RSK-04", "JN-01": "SRC-03", "JN-02": "SRC-04", "JN-04": "SRC-04", "SJ-01": "WIN-02",
+    "SRC-16": "SRC-15", "SRC-12": "SRC-20", "SNK-06": "SNK-01", "PRJ-03": "PRJ-02", "PRJ-04": "PRJ-05", "IND-08": "IND-07", "IND-12": "IND-11", "RSK-02": "RSK-04", "JN-01": "SRC-03", "JN-02": "SRC-04", "JN-04": "SRC-04", "SJ-01": "WIN-02",
     "SRT-01": "SRC-11", "SET-01": "SRC-06", "ARR-01": "SET-05", "ARR-02": "BRD-03", "MTH-02": "MTH-01", "MTH-04": "SCO-04", "STR-11": "STR-06", "UDF-02": "IND-13", "UDF-03": "WIN-12", "SRT-04": "ML-09", "ML-05": "ML-10",
 }
 for _id, _as in SAME.items():
