@@ -6,7 +6,7 @@ any stretch of the mix is near the target shares. Slots are ranked per source, a
 words reach its target; the last block is cut there.
 
 Shuffling is by the MD5 of the id (then the id's order), so reruns agree. Texts without a word are never taken. Null
-sources form one source, last in order; null ids share one place in the shuffle, where equal rows are
+sources form one source, last in order (so a source's place, and with it its weight, never depends on row order); null ids share one place in the shuffle, where equal rows are
 interchangeable. Long texts are counted whole. An empty table gives an empty mix. There may be many sources: points meet them by a join.
 """
 

@@ -5,7 +5,8 @@ shapes (letter case, digits and punctuation, runs collapsed, with a mark where a
 it). A group of features weighs 1 in total, so length does not matter. Training takes one pass (or `passes`) over at most
 `sample_rows` labelled documents in the order of their hashed ids; classes weigh alike.
 
-Null and empty texts have no feature: their score is that of the bias. A table without labelled rows gives 0.5.
+Null and empty texts have no feature: their score is that of the bias. Long texts are read whole. Rows with null ids or labels teach nothing, and are scored like any other;
+repeated rows are each scored, and a text that repeats under one id teaches once. Texts are taken in the order of hashed ids, ids, hashed texts, so reruns agree. An empty table gives an empty result; a table without labelled rows gives 0.5.
 """
 
 from __future__ import annotations

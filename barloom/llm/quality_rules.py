@@ -5,7 +5,7 @@ lines decides whether the text is kept. The field is fitted here: every line of
 document's quality as its (noisy) label, and the gradient of the conditional likelihood is followed for a fixed
 number of steps on at most `sample_rows` documents.
 
-Null and empty texts have one empty line and no word: they fail the base rule. Rows with equal ids are judged
+Null and empty texts have one empty line and no word: they fail the base rule. Long texts are read whole; an empty table gives an empty result. Rows with equal ids are judged
 each for itself, and a null id is carried through. Labellings that score alike count as content, so that without labelled
 rows, where all weights are zero, the base rule alone decides.
 """

@@ -13,7 +13,7 @@ value that is at most one bit away from them. Two members there differ in at mos
 two bits do meet, and no value has more than 65 of them, so links through the least member lose nothing (for tau = 2;
 for another tau such buckets are paired).
 
-Null and empty texts have fingerprint 0 and link like any other. Null ids are carried; a group of null ids only has a
+Null and empty texts have fingerprint 0 and link like any other. Long texts are read whole; an empty table gives an empty result. Null ids are carried; a group of null ids only has a
 null component. Repeated rows are each returned.
 """
 
