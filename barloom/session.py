@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).parent
-    path = Path(tempfile.mkdtemp(prefix="barloom-src-")) / "barloom_src.zip"
+    folder = tempfile.mkdtemp(prefix="barloom-src-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / "barloom_src.zip"
     with zipfile.ZipFile(path, "w") as archive:
         for source in sorted(root.rglob("*.py")):
             archive.write(source, source.relative_to(root.parent))
