@@ -57,10 +57,10 @@ def src22(spark, sf):
     return rows.select(F.col("i.Id").alias("announcement_id"), F.col("i.Title").alias("title"), F.col("i.Tags").alias("tags"))
 
 
-@query("SRC-23", None)
+@query("SRC-23", "SELECT DATE '2024-02-05' AS date, CAST(doc_id AS VARCHAR) AS title, source AS summary FROM documents")
 def src23(spark, sf):
     docs = B.read(spark, sf, "documents").select(F.format_string("<rss><channel><item><title>%d</title><pubDate>Mon, 05 Feb 2024 09:00:00 GMT</pubDate><description>%s</description></item></channel></rss>", "doc_id", "source").alias("xml"))
-    return files.rss_items(docs)
+    return files.rss_items(docs).drop("announcement_id")  # a hash of the title
 
 
 @query("SNK-04", O.query("SELECT ticker, date, event_type, round(CASE WHEN year(date) >= 1997 THEN dividend_yield + 1 ELSE dividend_yield END, 6) AS dividend_yield FROM act", O.EVENTS))
@@ -80,9 +80,13 @@ def snk05(spark, sf):
     return store.insert_or_replace(index.filter("date < date'1997-01-01'"), batch, ["symbol", "date"], "at")
 
 
-@query("SNK-07", None)
+@query("SNK-07", O.query("SELECT date AS scan_date, ticker, CAST(len(unusual) AS INTEGER) AS unusual_count, array_to_string(unusual, ',') AS unusual_tags FROM scan", *SCAN))
 def snk07(spark, sf):
-    return scan.unusual(bars(spark, sf)).select(F.col("date").alias("scan_date"), "ticker", "unusual_count", F.to_json("unusual_tags").alias("unusual_tags"), F.to_json("all_tags").alias("all_tags"))
+    """Scan results with tags as JSON, as they are stored, and decoded again."""
+    out = scan.unusual(bars(spark, sf)).select(F.col("date").alias("scan_date"), "ticker", F.to_json("all_tags").alias("all_tags"))
+    tags_ = F.from_json("all_tags", "array<struct<tag_id: string, value: double, is_unusual: boolean>>")
+    named = F.transform(F.filter(tags_, lambda x: x["is_unusual"]), lambda x: x["tag_id"])
+    return out.select("scan_date", "ticker", F.size(named).alias("unusual_count"), F.array_join(named, ",").alias("unusual_tags"))
 
 
 @query("SNK-08", O.query("SELECT count(*) AS n FROM sig WHERE fold > 1", *RULES))
