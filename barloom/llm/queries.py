@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10: each applies its operator to its whole table, with production parameters."""
+"""The registered queries op1 to op13: each applies its operator to its whole table, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, language_model, line_dedup, mixing, pii, quality_classifier, quality_rules, simhash, url_filter
-from .base import fold, table
+from . import clustering, decontaminate, language_id, language_model, line_dedup, mixing, nearest, periodic_runs, pii, quality_classifier, quality_rules, simhash, url_filter
+from .base import as_text, fold, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,35 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = nearest.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("_id") % 50 == 0)
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in texts whose crc32(doc_id) ends in 0, words from some place on repeat with some period."""
+    h, words = F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")), F.regexp_extract_all(as_text(docs, "text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = docs.select("doc_id", as_text(docs, "text").alias("text"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    rows = rows.withColumn("a", F.when(F.size("w") > 0, F.col("g") % F.size("w")))
+    rows = rows.withColumn("p", 1 + F.floor((F.size("w") - F.col("a")) / (3 + F.col("g") % 8)))
+    word = F.transform("w", lambda x, i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(word, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.find(planted(table(spark, sf_dir, "documents")), ["doc_id"]).withColumn("best", periodic_runs.longest(F.col("runs")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    exponent = F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli")
+    digests = [F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")]
+    return out.select(F.col("_c0").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), *best, exponent, *digests)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = clustering.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join("centroid", ",").cast("binary"), 256).alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality_classifier": op2_quality_classifier,
@@ -80,13 +109,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
 _LINES = "string_split(coalesce(text, ''), chr(10))"
 
-#: op1 needs look-behind, op5 XXH64, and the others learn: tests hold these against plain versions and held-out rows.
+def _rounds(n: int) -> str:
+    """Rounds of clustering, one after another; x % c + c) % c rounds quotients down."""
+    near = "SELECT vec_id, v, unnest(arg_min({k: k, d: d}, (d, k))) FROM (SELECT vec_id, v, k, CAST(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM x, %s) GROUP BY vec_id, v"
+    out = ""
+    for i in range(n):
+        out += f""",
+a{i} AS MATERIALIZED ({near % f"c{i}"}),
+m{i} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM (SELECT k, j, CAST(sum(y) AS BIGINT) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS y, unnest(range(64)) AS j FROM a{i}) GROUP BY k, j) GROUP BY k),
+c{i + 1} AS MATERIALIZED (SELECT k, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} m USING (k))"""
+    return out + f",\nz AS ({near % f'c{n}'})"
+
+
+#: op1 needs look-behind, op5 XXH64, op12 a checksum that SQL lacks, and the others learn: tests hold these against plain versions and held-out rows.
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": r"""
 WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
@@ -121,4 +165,12 @@ k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) ||
 f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
 g AS (SELECT k.*, coalesce(doc_id <> first, false) AS gone FROM k LEFT JOIN f USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM g GROUP BY doc_id""",
+    "op11_nearest_neighbours": """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5""",
+    "op13_centroid_clustering": f"""
+WITH x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c FROM (SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM x ORDER BY h, v LIMIT 40)){_rounds(5)}
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM z JOIN c5 USING (k)""",
 }
