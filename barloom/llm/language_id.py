@@ -7,7 +7,7 @@ decides; score is its share of all counts, 0 if no language has a known n-gram.
 
 An n-gram belongs to a language if at least `least` of the learned texts hold it and its rate there is at least `near` of
 its highest rate in any language. Rates come from at most about `sample_rows` labelled texts of each language, those with the smallest
-hashed ids; rows with null ids share one hash. All n-grams of these texts count, and the filter's cells follow their number.
+hash of id and text, so that null and repeated ids are drawn by their texts. All n-grams of these texts count, and the filter's cells follow their number.
 
 Null texts and texts without a letter get `und` and score 0; ties go to the language first in order. Repeated rows are each judged, long texts read whole. If
 nothing can be learned, as from an empty table, every text gets `und`.
@@ -139,7 +139,7 @@ def fit(documents: DataFrame, keep: Column | None = None, p: Params = Params(),
     if not found:
         return Model([], [], np.zeros(0), p)
     languages = [r["_lang"] for r in found]
-    draw = F.pmod(F.xxhash64("_id", F.lit(10)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64("_id", "_text", F.lit(10)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.lit(1.0)
     number = F.lit(-1)
     for i, r in enumerate(found):

@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 
@@ -100,3 +101,14 @@ def test_grams_stay_inside_words_and_texts():
     read = [int(k).to_bytes(8, "little")[:5].decode() for k in keys]
     assert read == [" abc ", " def ", " abcd", "abcd ", " efgh", "efghi", "fghi "]
     assert off.tolist() == [0, 2, 2, 2, 2, 7]
+
+
+def test_null_and_repeated_ids_are_learned_from(spark):
+    rng = random.Random(11)
+    words = {"en": "the quick brown foxes jumped over lazy dogs while sleeping quietly near rivers".split(), "de": "der schnelle braune fuchs springt ueber faule hunde neben breiten fluessen".split()}
+    made = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(12))
+    rows = [(None, made("en"), "en") for _ in range(1500)] + [(i if i % 3 else 7, made("de"), "de") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs, None, L.Params(sample_rows=300))
+    out = L.predict(docs, model, ["lang"]).groupBy("lang", "lang_pred").count().collect()
+    assert {(r["lang"], r["lang_pred"]) for r in out} == {("en", "en"), ("de", "de")}

@@ -1,6 +1,7 @@
 import re
 
 import corpus_pipeline as P
+from pyspark.sql import functions as F
 from test_decontaminate import WORD
 from test_line_dedup import key
 from test_mixing import brute as mixed
@@ -83,3 +84,23 @@ def test_empty_tables_pass_all_stages(spark, empty, small):
     for _, stage in P.STAGES:
         docs = park(stage(spark, docs, small))
         assert docs.count() == 0
+
+
+def test_rare_languages_and_new_words_stay(spark, small):
+    rows = [(i, f"these are plain english words number {i % 7} of the corpus", "en") for i in range(400)]
+    rows += [(400, "dies ist ein deutscher satz", "de"), (401, "una frase corta en castellano", "es"), (402, "zzyzx qwrtp", None), (403, "12 34", "en"), (404, None, "en")]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in P.language(spark, docs, small).collect()) == list(range(403))
+
+
+def test_clashing_columns_are_carried(spark, odd_rows, small):
+    names = ["_key", "_lang", "_score", "_once", "_i", "_k", "_c0", "_text", "_id", "_bucket", "_KEY_"]
+    docs = spark.createDataFrame(odd_rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for i, c in enumerate(names):
+        docs = docs.withColumn(c, F.lit(f"own {i}"))
+    columns = docs.columns
+    for _, stage in P.STAGES[:-1]:
+        docs = park(stage(spark, docs, small))
+        assert docs.columns == columns and docs.count() > 0
+        assert docs.select(*names).distinct().collect() == [tuple(f"own {i}" for i in range(len(names)))]
+    assert P.STAGES[-1][1](spark, docs, small).count() > 0
