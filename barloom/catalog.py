@@ -475,10 +475,12 @@ def ml12(spark, sf):
 
 #: Ids that another query covers whole.
 SAME = {
-    "SRC-16": "SRC-15", "SRC-12": "SRC-20", "SNK-06": "SNK-01", "PRJ-03": "PRJ-02", "PRJ-04": "PRJ-05", "IND-08": "IND-07", "IND-12": "IND-11", "RSK-02": "RSK-04", "JN-01": "SRC-03", "JN-02": "SRC-04", "JN-04": "SRC-04", "SJ-01": "WIN-02",
+    "SRC-12": "SRC-20", "PRJ-03": "PRJ-02", "PRJ-04": "PRJ-05", "IND-08": "IND-07", "IND-12": "IND-11", "RSK-02": "RSK-04", "JN-01": "SRC-03", "JN-02": "SRC-04", "JN-04": "SRC-04", "SJ-01": "WIN-02",
     "SRT-01": "SRC-11", "SET-01": "SRC-06", "ARR-01": "SET-05", "ARR-02": "BRD-03", "MTH-02": "MTH-01", "MTH-04": "SCO-04", "STR-11": "STR-06", "UDF-02": "IND-13", "UDF-03": "WIN-12", "SRT-04": "ML-09", "ML-05": "ML-10",
 }
 for _id, _as in SAME.items():
     QUERIES[_id] = QUERIES[_as]
     if _as in ORACLE_SQL:
         ORACLE_SQL[_id] = ORACLE_SQL[_as]
+
+from . import queries_flows  # noqa: E402, F401  registers more queries

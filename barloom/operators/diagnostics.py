@@ -23,10 +23,13 @@ def rank_correlation(rows: DataFrame, a: str, b: str, keys: list[str], least: in
     return per.filter(F.col("n") >= least).withColumn("ic", F.when(~F.isnan("ic"), F.col("ic")))
 
 
-def ranks_by_counts(rows: DataFrame, column: str, keys: list[str], cells: float = 64.0) -> DataFrame:
-    """Adds rank_<column>: average ranks within few large groups, without a task for each. The rank of a value is the number of smaller ones, from counts of
-    values, summed within cells of the number line and over cells. Rows with a null there go."""
-    per = rows.groupBy(*keys, column).agg(F.count("*").alias("_n")).withColumn("_b", F.floor(F.col(column) * cells)).filter("_b is not null")
+def ranks_by_counts(rows: DataFrame, column: str, keys: list[str], cells: int = 64) -> DataFrame:
+    """Adds rank_<column>: average ranks within few large groups (at least one key), without a task for each. The rank of a value is the number of smaller ones, from
+    counts of values, summed within cells and over cells. A group's cells lie between quantiles of its own distinct values, so they are even wherever the values lie. Rows
+    with a null or NaN there go."""
+    per = rows.filter(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).groupBy(*keys, column).agg(F.count("*").alias("_n"))
+    edges = per.groupBy(*keys).agg(F.percentile_approx(column, [i / cells for i in range(1, cells)], 10 * cells).alias("_e"))
+    per = per.join(edges, keys).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col(column)))).drop("_e")
     before = Window.unboundedPreceding, -1
     totals = per.groupBy(*keys, "_b").agg(F.sum("_n").alias("_s"))
     totals = totals.withColumn("_base", F.coalesce(F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(*before)), F.lit(0))).drop("_s")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import indicators, tags
 from ..operators.validate import valid
 from ..params import TagParams
+from ..sources import files
 from ..sources.bars import OTHER_SECTOR
 
 
@@ -38,6 +41,13 @@ def unusual(bars: DataFrame, as_of: str | None = None, p: TagParams = TagParams(
     return last.select(*keep).orderBy(F.desc("unusual_count"), "ticker").limit(p.results)
 
 
+def with_fetches(tickers: DataFrame, have: DataFrame, fetch: Callable[[DataFrame], DataFrame], day: str, most_gap_days: int = 3, most: int = 25) -> DataFrame:
+    """The bars at hand and those that one distributed fetch adds for the most stale tickers, `most` a scan. fetch: from a table of tickers to their bars."""
+    wanted = files.stale(tickers, have, day, most_gap_days, most)
+    new = fetch(wanted).join(wanted, "ticker").filter(F.col("last").isNull() | (F.col("date") > F.col("last"))).filter(F.col("date") <= F.lit(day).cast("date"))
+    return have.unionByName(new.drop("last"))
+
+
 def report(bars: DataFrame, sectors: DataFrame, as_of: str | None = None, p: TagParams = TagParams()) -> DataFrame:
     """The scan with the rarity and streak of each result's first unusual tag, market breadth and sector context."""
     bars = bars if as_of is None else bars.filter(F.col("date") <= F.lit(as_of).cast("date"))

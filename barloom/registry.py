@@ -730,7 +730,7 @@ def dat02(spark, sf):
     return B.read(spark, sf, "orders").select("o_orderkey", F.date_add(d, 10).alias("later"), F.datediff(F.lit("1999-01-01").cast("date"), d).alias("days"), F.date_format(d, "yyyy-MM-dd").alias("iso"))
 
 
-# --- streaming -------------------------------------------------------------------------------------------------------
-@query("STM-01", """SELECT event_type AS ticker, date_trunc('hour', ts) AS date, arg_min(value, k) AS open, max(value) AS high, min(value) AS low, arg_max(value, k) AS close, count(*)::DOUBLE AS volume FROM (SELECT *, row(ts, event_id, value) AS k FROM events) GROUP BY 1, 2""")
-def stm01(spark, sf):
+# --- bars from events ------------------------------------------------------------------------------------------------
+@query("BARS-HOURLY", """SELECT event_type AS ticker, date_trunc('hour', ts) AS date, arg_min(value, k) AS open, max(value) AS high, min(value) AS low, arg_max(value, k) AS close, count(*)::DOUBLE AS volume FROM (SELECT *, row(ts, event_id, value) AS k FROM events) GROUP BY 1, 2""")
+def bars_hourly(spark, sf):
     return B.hourly(spark, sf)

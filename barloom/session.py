@@ -1,10 +1,12 @@
-"""Ships the package's source with a session, so that executors need not have it installed."""
+"""A session's surroundings: the package's source on executors that haven't installed it, and the folder that all machines share."""
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,3 +29,16 @@ def ship(spark: SparkSession) -> None:
             archive.write(source, source.relative_to(root.parent))
     sc.addPyFile(str(path))
     _shipped.add(sc.applicationId)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, for streams and tables that outlive a job; deleted when the session ends. Where that is unset, a
+    temporary folder serves a local master, and another master is refused."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="barloom-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()

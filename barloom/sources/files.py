@@ -10,15 +10,40 @@ CSV = "date date, open double, high double, low double, close double, volume dou
 RSS = "title string, pubDate string, description string"
 
 
+def landed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, ticker, bar, line of every line but headers of bar files. The ticker begins the file's name up to the first underscore, or is named by its folder
+    (ticker=...). A line that doesn't fit has no bar; one broken file or line ends nothing."""
+    path = F.col("_metadata.file_path")
+    name = F.element_at(F.split(path, "/"), -1)
+    folder = F.regexp_extract(path, "/ticker=([^/]*)/", 1)
+    ticker = F.when(folder != "", F.url_decode(F.url_decode(folder))).otherwise(F.url_decode(F.split(name, "_")[0]))  # folders' names are escaped, then paths
+    text = spark.read.option("recursiveFileLookup", True).text(paths)
+    parsed = F.from_csv("value", f"{CSV}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = text.select(path.alias("file"), ticker.alias("ticker"), F.col("value").alias("line"), parsed.alias("bar")).filter("lower(line) not like 'date,%' and trim(line) <> ''")
+    fits = F.col("bar._bad").isNull() & F.col("bar.date").isNotNull()
+    return rows.select("file", "ticker", F.when(fits, F.col("bar").dropFields("_bad")).alias("bar"), "line")
+
+
+def fetched(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Bars of a batch of files, and the lines that were rejected: file, ticker, line."""
+    lines = landed(spark, paths)
+    bars = lines.filter("bar is not null").select("ticker", "bar.*").dropna("all", subset=["open", "high", "low", "close"])
+    return bars, lines.filter("bar is null").select("file", "ticker", "line")
+
+
 def csv_bars(spark: SparkSession, path: str) -> DataFrame:
-    """One file for each ticker, which begins the file's name up to the first underscore."""
-    df = spark.read.schema(CSV).option("header", True).csv(path)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return df.select(F.url_decode(F.split(name, "_")[0]).alias("ticker"), "date", "open", "high", "low", "close", "volume").dropna("all", subset=["open", "high", "low", "close"])
+    """The good bars of a folder of files, one for each ticker."""
+    return fetched(spark, path)[0]
 
 
 def write_csv(bars: DataFrame, path: str) -> None:
-    bars.write.partitionBy("ticker").option("header", True).mode("overwrite").csv(path)
+    """A folder with one file for each ticker, written by one shuffle."""
+    bars.select("ticker", "date", "open", "high", "low", "close", "volume").repartition("ticker").sortWithinPartitions("ticker", "date").write.partitionBy("ticker").option("header", True).mode("overwrite").csv(path)
+
+
+def write_universe(tickers: DataFrame, path: str) -> None:
+    """A text file of sorted distinct tickers, thousands of lines at most."""
+    tickers.select("ticker").distinct().orderBy("ticker").coalesce(1).write.mode("overwrite").text(path)
 
 
 def universe(spark: SparkSession, path: str) -> DataFrame:
@@ -38,11 +63,17 @@ def companies(payload: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.filter(rows, lambda r: r["EfekEmiten_Saham"] & (F.length(r["KodeEmiten"]) == 4)), lambda r: r["KodeEmiten"])))
 
 
-def announcements(spark: SparkSession, path: str) -> DataFrame:
-    """Landed pages of the announcements interface, one row for each item; repeated ids come once."""
-    items = spark.read.schema("Items array<struct<Id:string, Title:string, PublishDate:string, Tags:string>>").option("multiLine", True).json(path)
-    rows = items.select(F.explode("Items").alias("i")).select(F.col("i.Id").alias("announcement_id"), F.to_date(F.substring("i.PublishDate", 1, 10)).alias("date"), F.col("i.Title").alias("title"), F.col("i.Tags").alias("tags"))
-    return rows.dropDuplicates(["announcement_id"])
+def announcements(spark: SparkSession, path: str, pages: int | None = None) -> DataFrame:
+    """Landed pages of the announcements interface (JSON with PageNumber and Items), one row for each item. Pages count up to the first empty one, and up to `pages`; an
+    id that comes again, as where items shift between pages, counts on its first page only."""
+    read = spark.read.schema("PageNumber int, Items array<struct<Id:string, Title:string, PublishDate:string, Tags:string>>").json(path)
+    read = read.withColumn("PageNumber", F.coalesce("PageNumber", F.lit(1)))
+    end = read.filter(F.coalesce(F.size("Items"), F.lit(0)) <= 0).agg(F.coalesce(F.min("PageNumber"), F.lit(2**31 - 1)).alias("end"))
+    read = read.filter(F.col("PageNumber") < end.scalar())
+    read = read if pages is None else read.filter(F.col("PageNumber") <= pages)
+    items = read.select("PageNumber", F.posexplode("Items").alias("at", "i"))
+    first = items.groupBy(F.col("i.Id").alias("announcement_id")).agg(F.min_by("i", F.struct("PageNumber", "at")).alias("i"))
+    return first.select("announcement_id", F.to_date(F.substring("i.PublishDate", 1, 10)).alias("date"), F.col("i.Title").alias("title"), F.col("i.Tags").alias("tags"))
 
 
 def rss_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
@@ -81,3 +112,10 @@ class ReplayProvider(Provider):
         df = df if start is None else df.filter(F.col("date") >= F.lit(start).cast("date"))
         df = df if end is None else df.filter(F.col("date") <= F.lit(end).cast("date"))
         return df.select("ticker", "date", "open", "high", "low", "close", "volume")
+
+
+def stale(tickers: DataFrame, have: DataFrame, day: str, most_gap_days: int, most: int) -> DataFrame:
+    """ticker, last: of the asked tickers those without bars or whose last bar is too old, at most `most` of them, the ones that wait longest first."""
+    last = have.groupBy("ticker").agg(F.max("date").alias("last"))
+    rows = tickers.select("ticker").distinct().join(last, "ticker", "left").filter(F.col("last").isNull() | (F.datediff(F.lit(day).cast("date"), "last") > most_gap_days))
+    return rows.orderBy(F.col("last").asc_nulls_first(), "ticker").limit(most)
