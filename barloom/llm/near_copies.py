@@ -169,12 +169,16 @@ def verified(pairs: DataFrame, texts: DataFrame, keys: DataFrame, p: Params) ->
             h, _, off = distinct_shingles(t, p)
             yield pa.RecordBatch.from_arrays([pa.array(nodes(h, off)), pa.array(np.diff(off)), lists(h, off)], names=["node", "n", "h"])
 
-    need = pairs.select(F.col("u").alias("_n")).union(pairs.select("v")).distinct()
-    need = park(keys.join(need, F.col("node") == F.col("_n"), "left_semi").select(F.col("_key").alias("_k")).distinct())
+    sides = pairs.select(F.explode(F.array(*[F.struct(F.col(x).alias("_n"), F.lit(x == "u").alias("_u")) for x in "uv"])).alias("s")).select("s.*")
+    sides = park(sides.groupBy("_n").agg(F.bool_or("_u").alias("as_u"), F.bool_or(~F.col("_u")).alias("as_v")))
+    need = park(keys.join(sides, F.col("node") == F.col("_n"), "left_semi").select(F.col("_key").alias("_k")).distinct())
     sets = map_arrow(texts.join(few(need), F.col("_key") == F.col("_k"), "left_semi").select("_text"), run, "node long, n long, h array<long>")
-    sets = park(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("h").alias("h")))
+    sets = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("h").alias("h"))
+    sets = park(sets.join(few(sides), F.col("node") == F.col("_n")).drop("_n"))
     unpark(need)
-    a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}")) for x in "uv")
+    unpark(sides)
+    # each set goes only to the sides on which pairs name it
+    a, b = (sets.filter(f"as_{x}").select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}")) for x in "uv")
     both = F.size(F.array_intersect("hu", "hv"))
     out = park(pairs.join(a, "u").join(b, "v").filter(enough(both, "nu", "nv", p)).select("u", "v"))
     unpark(sets)
