@@ -435,8 +435,8 @@ def map01(spark, sf):
 
 
 # --- learning ----------------------------------------------------------------------------------------------------------
-@query("ML-03", O.query("SELECT count(*) FILTER (WHERE date < cut) AS train, count(*) FILTER (WHERE date >= cut) AS test FROM panel, (SELECT date AS cut FROM fd WHERE pos = CAST(floor(nd * 0.8) AS INTEGER))", O.BARS, O.INDICATORS, PANEL, O.FOLDS))
-def ml03(spark, sf):
+@query("ML-03-DATES", O.query("SELECT count(*) FILTER (WHERE date < cut) AS train, count(*) FILTER (WHERE date >= cut) AS test FROM panel, (SELECT date AS cut FROM fd WHERE pos = CAST(floor(nd * 0.8) AS INTEGER))", O.BARS, O.INDICATORS, PANEL, O.FOLDS))
+def ml03_dates(spark, sf):
     d = folds.dates(bars(spark, sf)).filter(F.col("at") == F.floor(F.col("n") * 0.8)).select("date")
     rows = learn.panel(ind(spark, sf)).withColumn("_cut", d.scalar())
     return rows.agg(F.count_if(F.col("date") < F.col("_cut")).alias("train"), F.count_if(F.col("date") >= F.col("_cut")).alias("test"))
@@ -466,8 +466,8 @@ def ml13(spark, sf):
     return model.transform(scan.latest(rows)).select("ticker", "date", learn.probability().alias("p"))
 
 
-@query("ML-12", None)
-def ml12(spark, sf):
+@query("ML-12-BUCKETS", None)
+def ml12_buckets(spark, sf):
     model, rows = learn.trained(learn.panel(ind(spark, sf)))
     out = learn.scored(model, rows).filter("score >= 50").withColumn("fold", F.lit(1))
     return metrics.buckets(out, metrics.MODEL_BUCKETS)
@@ -483,4 +483,4 @@ for _id, _as in SAME.items():
     if _as in ORACLE_SQL:
         ORACLE_SQL[_id] = ORACLE_SQL[_as]
 
-from . import queries_flows  # noqa: E402, F401  registers more queries
+from . import queries_flows, queries_models  # noqa: E402, F401  registers more queries

@@ -116,3 +116,17 @@ def run_length(flag: Column) -> Column:
     """How many rows up to this one have the flag without a break."""
     n = row()
     return n - F.coalesce(F.max(F.when(~F.coalesce(flag, F.lit(False)), F.col("_n"))).over(so_far()), F.lit(0))
+
+
+def sums_below(per: DataFrame, keys: list[str], column: str, values: list[str], cells: int = 64) -> DataFrame:
+    """Adds below_<value>: the sum of a value over the rows of the same keys with a smaller `column`; without a task for each key. per: one row for each of keys (at least
+    one) and column, none null. Keys are cut into cells between quantiles of their rows, which are summed within and over cells."""
+    edges = per.groupBy(*keys).agg(F.percentile_approx(column, [i / cells for i in range(1, cells)], 10 * cells).alias("_e"))
+    per = per.join(edges, keys).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col(column)))).drop("_e")
+    before = Window.unboundedPreceding, -1
+    over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(*before)
+    totals = per.groupBy(*keys, "_b").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
+    totals = totals.select(*keys, "_b", *[F.coalesce(F.sum(f"_s_{v}").over(over), F.lit(0)).alias(f"_base_{v}") for v in values])
+    own = Window.partitionBy(*keys, "_b").orderBy(column).rowsBetween(*before)
+    per = per.withColumns({f"_in_{v}": F.coalesce(F.sum(v).over(own), F.lit(0)) for v in values}).join(totals, [*keys, "_b"])
+    return per.withColumns({f"below_{v}": F.col(f"_in_{v}") + F.col(f"_base_{v}") for v in values}).drop("_b", *[f"{x}_{v}" for x in ("_in", "_base") for v in values])

@@ -28,13 +28,7 @@ def ranks_by_counts(rows: DataFrame, column: str, keys: list[str], cells: int =
     counts of values, summed within cells and over cells. A group's cells lie between quantiles of its own distinct values, so they are even wherever the values lie. Rows
     with a null or NaN there go."""
     per = rows.filter(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).groupBy(*keys, column).agg(F.count("*").alias("_n"))
-    edges = per.groupBy(*keys).agg(F.percentile_approx(column, [i / cells for i in range(1, cells)], 10 * cells).alias("_e"))
-    per = per.join(edges, keys).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col(column)))).drop("_e")
-    before = Window.unboundedPreceding, -1
-    totals = per.groupBy(*keys, "_b").agg(F.sum("_n").alias("_s"))
-    totals = totals.withColumn("_base", F.coalesce(F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(*before)), F.lit(0))).drop("_s")
-    per = per.withColumn("_in", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy(column).rowsBetween(*before)), F.lit(0)))
-    per = per.join(totals, [*keys, "_b"]).select(*keys, column, (F.col("_in") + F.col("_base") + (F.col("_n") + 1) / 2).alias(f"rank_{column}"))
+    per = S.sums_below(per, keys, column, ["_n"], cells).select(*keys, column, (F.col("below__n") + (F.col("_n") + 1) / 2).alias(f"rank_{column}"))
     return rows.join(per, [*keys, column])
 
 

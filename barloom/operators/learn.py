@@ -55,6 +55,16 @@ def trained(rows: DataFrame, share: float = 0.8) -> tuple[PipelineModel, DataFra
     return classifier().fit(weighted(rows.filter(early))), rows.filter(~early)
 
 
+def split_rows(rows: DataFrame, share: tuple[int, int] = (4, 5)) -> DataFrame:
+    """Adds is_train: the first share of the rows in the order of date and ticker. Rows are counted by date, so that only one date's rows are ranked."""
+    per = rows.groupBy("date").agg(F.count("*").alias("_c"))
+    per = per.withColumns({"_end": F.sum("_c").over(Window.orderBy("date")), "_all": F.sum("_c").over(Window.partitionBy(F.lit(0)))})  # one row for each date
+    cut = F.floor(F.col("_all") * share[0] / share[1])
+    left = per.select("date", (cut - (F.col("_end") - F.col("_c"))).alias("_left"))
+    rank = F.row_number().over(Window.partitionBy("date").orderBy("ticker"))
+    return rows.join(F.broadcast(left), "date").withColumn("is_train", rank <= F.col("_left")).drop("_left")
+
+
 def probability() -> Column:
     return vector_to_array("probability")[1]
 

@@ -602,8 +602,6 @@ def agg28(spark, sf):
     return metrics.objective(metrics.per_fold(rows, p, keys=("threshold", "fold")), p, ["threshold"], p.folds)
 
 
-QUERIES["ML-14"], ORACLE_SQL["ML-14"] = QUERIES["AGG-28"], ORACLE_SQL["AGG-28"]
-
 # --- learning --------------------------------------------------------------------------------------------------------
 PANEL = """
 ml0 AS (SELECT *, lead(close, 3) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS return_n3, CASE WHEN bb_upper - bb_lower = 0 THEN 0 ELSE (close - bb_lower) / (bb_upper - bb_lower) END AS bb_pct_b FROM ind),
@@ -625,9 +623,9 @@ def ml06(spark, sf):
     return learn.panel(ind(spark, sf)).agg((F.count_if(F.col("target") == 0) / F.count_if(F.col("target") == 1)).alias("scale"))
 
 
-@query("ML-07", O.query("""SELECT fold, round(sum(p * (less + (c - p) / 2.0::DOUBLE)) / nullif(sum(p) * sum(c - p), 0), 6) AS auc FROM (SELECT fold, p, c, coalesce(sum(c - p) OVER (PARTITION BY fold ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS less FROM
+@query("AUC-RSI", O.query("""SELECT fold, round(sum(p * (less + (c - p) / 2.0::DOUBLE)) / nullif(sum(p) * sum(c - p), 0), 6) AS auc FROM (SELECT fold, p, c, coalesce(sum(c - p) OVER (PARTITION BY fold ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS less FROM
   (SELECT fold, round(rsi_14, 4) AS s, sum(target) AS p, count(*) AS c FROM panel JOIN folds USING (date) GROUP BY 1, 2)) GROUP BY 1""", O.BARS, O.INDICATORS, PANEL, O.FOLDS))
-def ml07(spark, sf):
+def auc_rsi(spark, sf):
     b = bars(spark, sf)
     rows = learn.panel(ind(spark, sf)).join(F.broadcast(folds.walk_forward(b, 5)), "date").withColumn("s", F.round("rsi_14", 4))
     return metrics.auc(rows, "target", "s", ["fold"])
