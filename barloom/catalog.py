@@ -49,8 +49,8 @@ def src20(spark, sf):
     return long.union(short)
 
 
-@query("SRC-22", "SELECT CAST(doc_id AS VARCHAR) AS announcement_id, text AS title, source AS tags FROM documents")
-def src22(spark, sf):
+@query("SRC-22-ITEMS", "SELECT CAST(doc_id AS VARCHAR) AS announcement_id, text AS title, source AS tags FROM documents")
+def src22_items(spark, sf):
     """Announcements as JSON items, exploded again."""
     items = B.read(spark, sf, "documents").select(F.to_json(F.struct(F.array(F.struct(F.col("doc_id").cast("string").alias("Id"), F.col("text").alias("Title"), F.col("source").alias("Tags"))).alias("Items"))).alias("page"))
     rows = items.select(F.explode(F.from_json("page", "Items array<struct<Id:string, Title:string, Tags:string>>")["Items"]).alias("i"))
@@ -442,8 +442,8 @@ def ml03_dates(spark, sf):
     return rows.agg(F.count_if(F.col("date") < F.col("_cut")).alias("train"), F.count_if(F.col("date") >= F.col("_cut")).alias("test"))
 
 
-@query("ML-04", O.query("SELECT target, count(*) AS n, round(any_value(t / (2 * c)), 6) AS weight FROM (SELECT target, count(*) OVER () AS t, count(*) OVER (PARTITION BY target) AS c FROM panel) GROUP BY 1", O.BARS, O.INDICATORS, PANEL))
-def ml04(spark, sf):
+@query("ML-04-WEIGHTS", O.query("SELECT target, count(*) AS n, round(any_value(t / (2 * c)), 6) AS weight FROM (SELECT target, count(*) OVER () AS t, count(*) OVER (PARTITION BY target) AS c FROM panel) GROUP BY 1", O.BARS, O.INDICATORS, PANEL))
+def ml04_weights(spark, sf):
     return learn.weighted(learn.panel(ind(spark, sf))).groupBy("target").agg(F.count("*").alias("n"), F.max("weight").alias("weight"))
 
 
@@ -475,7 +475,7 @@ def ml12_buckets(spark, sf):
 
 #: Ids that another query covers whole.
 SAME = {
-    "SRC-12": "SRC-20", "PRJ-03": "PRJ-02", "PRJ-04": "PRJ-05", "IND-08": "IND-07", "IND-12": "IND-11", "RSK-02": "RSK-04", "JN-01": "SRC-03", "JN-02": "SRC-04", "JN-04": "SRC-04", "SJ-01": "WIN-02",
+    "PRJ-03": "PRJ-02", "PRJ-04": "PRJ-05", "IND-08": "IND-07", "IND-12": "IND-11", "RSK-02": "RSK-04", "JN-01": "SRC-03", "JN-02": "SRC-04", "JN-04": "SRC-04", "SJ-01": "WIN-02",
     "SRT-01": "SRC-11", "SET-01": "SRC-06", "ARR-01": "SET-05", "ARR-02": "BRD-03", "MTH-02": "MTH-01", "MTH-04": "SCO-04", "STR-11": "STR-06", "UDF-02": "IND-13", "UDF-03": "WIN-12", "SRT-04": "ML-09", "ML-05": "ML-10",
 }
 for _id, _as in SAME.items():
@@ -483,4 +483,4 @@ for _id, _as in SAME.items():
     if _as in ORACLE_SQL:
         ORACLE_SQL[_id] = ORACLE_SQL[_as]
 
-from . import queries_flows, queries_models  # noqa: E402, F401  registers more queries
+from . import queries_files, queries_flows, queries_models  # noqa: E402, F401  registers more queries

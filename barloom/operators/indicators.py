@@ -19,10 +19,11 @@ def averages(df: DataFrame, spans: tuple[int, ...], value: str = "close", prefix
     return S.exponential(df, {f"{prefix}{s}": (F.col(value), 2 / (s + 1), n == 1, n >= s) for s in spans})
 
 
-def compute(bars: DataFrame, least: int = 50) -> DataFrame:
+def compute(bars: DataFrame, least: int = 50, placed: bool = False) -> DataFrame:
     """rsi_14, ema_9/21/50, macd with signal and difference, Bollinger bands and width, atr_14 and volume_ratio_20d for
-    every bar of tickers with at least `least` bars. Bars are valid ones (`validate.valid`), one for each ticker and date."""
-    df = long_enough(S.by_series(bars), least).withColumn("_n", S.row())
+    every bar of tickers with at least `least` bars. Bars are valid ones (`validate.valid`), one for each ticker and date. placed: they are
+    partitioned by ticker already, as a bucketed table is."""
+    df = long_enough(bars if placed else S.by_series(bars), least).withColumn("_n", S.row())
     n, c = F.col("_n"), F.col("close")
     move = F.coalesce(c - S.lag("close"), F.lit(0.0))
     df = df.withColumn("_up", F.greatest(move, F.lit(0.0))).withColumn("_down", F.greatest(-move, F.lit(0.0))).withColumn("_tr", true_range())

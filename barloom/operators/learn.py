@@ -17,6 +17,15 @@ RANKED = ["rsi_14", "macd_diff", "volume_ratio_20d", "bb_pct_b", "bb_width"]
 FEATURES = ["rsi_14", "macd_diff", "macd", "macd_signal", "volume_ratio_20d", "ema_9_dist", "ema_21_dist", "ema_50_dist", "bb_pct_b", "bb_width", *[f"{f}_cs_rank" for f in RANKED]]
 
 
+#: Columns of the first generation's dataset that no model sees.
+NOT_FEATURES = ("ticker", "date", "open", "high", "low", "close", "volume", "target_momentum", "true_range")
+
+
+def feature_columns(rows: DataFrame) -> list[str]:
+    """All columns but keys, prices, the label and the raw range, in order of name."""
+    return sorted(c for c in rows.columns if c not in NOT_FEATURES)
+
+
 def distances(rows: DataFrame) -> DataFrame:
     span = F.col("bb_upper") - F.col("bb_lower")
     out = {f"ema_{s}_dist": F.col("close") / F.col(f"ema_{s}") - 1 for s in (9, 21, 50)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,6 +88,25 @@ def points(indicators: DataFrame, p: ScoreParams = ScoreParams()) -> DataFrame:
     return df.withColumn("signal", F.when(F.col("score") >= p.bullish, "BULLISH").when(F.col("score") <= p.bearish, "BEARISH").otherwise("NEUTRAL")).drop("_n")
 
 
+@dataclass(frozen=True)
+class Plugin:
+    """A scorer of a user's own: its name, its weight among the others, and the share of its points (0 to 1) that a row gets, as a column."""
+
+    name: str
+    weight: float
+    share: Callable[[ScoreParams], Column]
+
+
+def plugged(indicators: DataFrame, plugins: list[Plugin], p: ScoreParams = ScoreParams()) -> DataFrame:
+    """As `points`, from plugins alone: their weights are scaled to 100; shares beyond 0 to 1 are cut, null ones give nothing. Windows over a ticker's rows may use _n, the row's number."""
+    weights = normalised({x.name: x.weight for x in plugins}, plugins[0].name)
+    df = indicators.withColumn("_n", S.row())
+    share = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(x.share(p), F.lit(0.0))))
+    df = df.withColumns({f"score_{x.name}": F.floor(F.lit(weights[x.name]) * share(x) + 1e-9).cast("int") for x in plugins})
+    df = df.withColumn("score", sum((F.col(f"score_{x.name}") for x in plugins), F.lit(0)))
+    return df.withColumn("signal", F.when(F.col("score") >= p.bullish, "BULLISH").when(F.col("score") <= p.bearish, "BEARISH").otherwise("NEUTRAL")).drop("_n")
+
+
 def normalised(weights: dict[str, float], rest: str = "ema") -> dict[str, int]:
     """Weights scaled to a total of 100 and cut to integers; what is left goes to one of them."""
     total = sum(weights.values())

@@ -7,6 +7,8 @@ import html
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import escaped
+
 
 def page(title: str, tables: dict[str, DataFrame], most: int = 500) -> str:
     """An HTML page with one table for each named result; results are small, `most` bounds what the driver takes."""
@@ -25,6 +27,23 @@ def signal_lines(signals: DataFrame) -> DataFrame:
     return signals.filter("signal = 'BULLISH'").select("fold", "ticker", "date", "score", *[F.when(F.col(c).isNotNull(), x).alias(c) for c, x in zip([c for c in signals.columns if c.startswith("return_")], percent)])
 
 
+def write_signals(signals: DataFrame, path: str) -> None:
+    """Bullish signals as CSV files that spreadsheets take for UTF-8: the heading of each begins with a byte-order mark."""
+    lines = signal_lines(signals)
+    first, *others = lines.columns
+    lines.select(F.col(first).alias("\ufeff" + first), *others).write.mode("overwrite").option("header", True).csv(path)
+
+
+def opinion_lines() -> dict[str, Column]:
+    """A result's opinion for a chat (marks escaped, bold headline) and for a terminal: headline with its level, then a line for each unusual tag."""
+    head = F.concat_ws(" ", F.concat("ticker", F.lit(":")), "headline")
+    bullets = lambda b, marks: F.array_join(F.transform("unusual_tags", lambda t: F.concat(F.lit(b), escaped(t) if marks else t)), "")
+    return {
+        "chat": F.concat(F.lit("*"), escaped(head), F.lit("* "), F.concat(F.lit("("), "level", F.lit(")")), bullets("\n- ", True)),
+        "terminal": F.concat(F.lit("  "), head, F.lit(" ["), "level", F.lit("]"), bullets("\n     - ", False)),
+    }
+
+
 def scan_line() -> Column:
     """A line for each scan result: ticker, level, tags."""
     return F.concat_ws(" | ", "ticker", F.format_string("close %.0f", "close"), "level", F.array_join("unusual_tags", ", "), "liquidity_note")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as O
-from .operators import evaluate, learn, metrics, tuning
+from .operators import evaluate, learn, metrics, oversample, tuning
 from .operators.models import Models
 from .operators.tuning import Integer, Study
 from .params import BacktestParams
@@ -118,3 +118,10 @@ def snk15(spark, sf):
     there = held.transform(rows).select("ticker", "date", learn.probability().alias("q"))
     both = here.join(there, ["ticker", "date"])
     return both.agg(F.count("*").alias("n"), F.count_if(F.col("p") == F.col("q")).alias("same")).withColumns({"features": F.lit(len(held.features)), "version": F.lit(held.version)})
+
+
+@query("ML-04", O.query("SELECT target, max(c) OVER () AS n, max(c) OVER () - c AS made FROM (SELECT target, count(*) AS c FROM panel GROUP BY 1)", *LEARNED))
+def ml04(spark, sf):
+    """The panel with as many rows of either class: new ones lie between neighbours of the smaller class."""
+    rows = oversample.oversampled(learn.panel(ind(spark, sf)), learn.FEATURES, ["ticker", "date"])
+    return rows.groupBy("target").agg(F.count("*").alias("n"), F.count_if("synthetic").alias("made"))

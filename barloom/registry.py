@@ -122,8 +122,8 @@ def src09(spark, sf):
     return counts[0].union(counts[1]).union(counts[2])
 
 
-@query("SRC-18", r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<a ')) AS BIGINT) AS links FROM pages")
-def src18(spark, sf):
+@query("PAGE-TITLES", r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<a ')) AS BIGINT) AS links FROM pages")
+def page_titles(spark, sf):
     html = F.col("html")
     return B.read(spark, sf, "pages").select("page_id", F.regexp_extract(html, "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all(html, F.lit("<a "), F.lit(0))).cast("long").alias("links"))
 

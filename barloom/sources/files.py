@@ -48,7 +48,7 @@ def write_universe(tickers: DataFrame, path: str) -> None:
 
 def universe(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a text file, trimmed, blank ones left out."""
-    return spark.read.text(path).select(F.trim("value").alias("ticker")).filter("ticker <> ''")
+    return spark.read.text(path).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("ticker")).filter("ticker <> ''")
 
 
 def with_fallback(found: DataFrame, fixed: DataFrame, least: int) -> DataFrame:
@@ -76,12 +76,17 @@ def announcements(spark: SparkSession, path: str, pages: int | None = None) -> D
     return first.select("announcement_id", F.to_date(F.substring("i.PublishDate", 1, 10)).alias("date"), F.col("i.Title").alias("title"), F.col("i.Tags").alias("tags"))
 
 
+def hash_id(title: Column) -> Column:
+    """A stable id from a title, the same on every machine and day."""
+    return F.xxhash64(title).cast("string")
+
+
 def rss_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     """announcement_id, date, title, summary of every item of feed documents. The id is a stable hash of the title."""
     path = lambda tag: F.xpath(F.col(xml), F.lit(f"rss/channel/item/{tag}/text()"))
     rows = feeds.select(F.explode(F.arrays_zip(path("title").alias("t"), path("pubDate").alias("d"), path("description").alias("s"))).alias("x"))
     day = F.to_date(F.regexp_extract("x.d", r"(\d{1,2} \w{3} \d{4})", 1), "d MMM yyyy")
-    return rows.select(F.xxhash64("x.t").cast("string").alias("announcement_id"), day.alias("date"), F.col("x.t").alias("title"), F.col("x.s").alias("summary"))
+    return rows.select(hash_id(F.col("x.t")).alias("announcement_id"), day.alias("date"), F.col("x.t").alias("title"), F.col("x.s").alias("summary"))
 
 
 class Provider(ABC):
