@@ -17,7 +17,7 @@ def first_table(html: Column) -> Column:
 
 def plain(cell: Column) -> Column:
     """A cell's text: without tags, entities of the common signs resolved, blanks run together."""
-    text = F.regexp_replace(cell, r"(?s)<[^>]*>", " ")
+    text = F.regexp_replace(cell, r"(?s)</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", " ")
     for entity, sign in (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(sign))
     return F.trim(F.regexp_replace(text, r"\s+", " "))
