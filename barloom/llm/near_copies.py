@@ -169,16 +169,12 @@ def verified(pairs: DataFrame, texts: DataFrame, keys: DataFrame, p: Params) ->
             h, _, off = distinct_shingles(t, p)
             yield pa.RecordBatch.from_arrays([pa.array(nodes(h, off)), pa.array(np.diff(off)), lists(h, off)], names=["node", "n", "h"])
 
-    sides = pairs.select(F.explode(F.array(*[F.struct(F.col(x).alias("_n"), F.lit(x == "u").alias("_u")) for x in "uv"])).alias("s")).select("s.*")
-    sides = park(sides.groupBy("_n").agg(F.bool_or("_u").alias("as_u"), F.bool_or(~F.col("_u")).alias("as_v")))
-    need = park(keys.join(sides, F.col("node") == F.col("_n"), "left_semi").select(F.col("_key").alias("_k")).distinct())
+    need = pairs.select(F.col("u").alias("_n")).union(pairs.select("v")).distinct()
+    need = park(keys.join(need, F.col("node") == F.col("_n"), "left_semi").select(F.col("_key").alias("_k")).distinct())
     sets = map_arrow(texts.join(few(need), F.col("_key") == F.col("_k"), "left_semi").select("_text"), run, "node long, n long, h array<long>")
-    sets = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("h").alias("h"))
-    sets = park(sets.join(few(sides), F.col("node") == F.col("_n")).drop("_n"))
+    sets = park(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("h").alias("h")))
     unpark(need)
-    unpark(sides)
-    # each set goes only to the sides on which pairs name it
-    a, b = (sets.filter(f"as_{x}").select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}")) for x in "uv")
+    a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}")) for x in "uv")
     both = F.size(F.array_intersect("hu", "hv"))
     out = park(pairs.join(a, "u").join(b, "v").filter(enough(both, "nu", "nv", p)).select("u", "v"))
     unpark(sets)
@@ -247,16 +243,21 @@ def groups(documents: DataFrame, p: Params = Params(), id_col: str = "doc_id", t
     texts = documents.select(documents[id_col].alias("_id"), text_key(documents[text_col]).alias("_key"), as_text(documents, text_col).alias("_text"))
     rows = park(sketches(texts, frequent(texts, documents.count(), p), p))
     one = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key"))
-    distinct = park(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("last").alias("last"), F.first("pre").alias("pre"), one.alias("one")))
-    rows_of = rows.select("_id", "_key", "node")
+    wide = park(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("last").alias("last"), F.first("pre").alias("pre"), one.alias("one")))
+    rows_of = park(rows.select("_id", "_key", "node"))
+    unpark(rows)  # prefixes take most of the disk, and are read no more once it is known which shingles are shared
+    some = shared(wide.filter("n > 0"), p)
+    distinct = park(wide.select("node", "fp", "one"))
+    unpark(wide)
     keys = distinct.select("node", F.col("one._key").alias("_key"))
-    some = shared(distinct.filter("n > 0"), p)
     pairs = fingerprint_links(distinct, p).union(first_meetings(some, p))
     pairs = park(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     near = verified(pairs, texts, keys, p)
     more = park(meetings(some, connected(near), p).join(pairs, ["u", "v"], "left_anti"))
     unpark(some)
+    unpark(pairs)
     roots = connected(near.union(verified(more, texts, keys, p)))
+    unpark(more)
     named = distinct.select("node", "one").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "one", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("one").alias("least"))
     named = named.join(least, "root").select(F.col("node").alias("_n"), "least")
