@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +48,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def park(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it again."""
+def park(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Cut the lineage: write df as Parquet into the shared folder, in folders by the values of `by`, and read it again."""
+    return park_all([df], by)
+
+
+def park_all(parts: Iterable[DataFrame], by: list[str] | None = None) -> DataFrame:
+    """park for the union of at least one table of equal columns, written one after the other."""
+    path = None
+    for df in parts:
+        path = path or f"{shared_dir(df.sparkSession)}/parked-{uuid.uuid4().hex}"
+        df.write.mode("append").parquet(path, partitionBy=by)
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/parked-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)
@@ -70,7 +77,7 @@ def few(df: DataFrame, most: int = FEW) -> DataFrame:
 def unpark(df: DataFrame) -> None:
     """Delete the files of a parked table that nothing reads any more."""
     spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles() if "/parked-" in f}:
+    for path in {found[0] for f in df.inputFiles() if (found := re.match(r".*/parked-[0-9a-f]+", f))}:
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 

@@ -39,7 +39,7 @@ def test_cascade_is_exact_over_the_universe(spark):
         got = c.member(universe.union(universe.limit(10)), "key", "hit")
         assert got.filter(F.col("hit") != (F.substring("key", -1, 1) == "7")).count() == 0
         assert got.count() == 20_010
-        assert (c.shards > 1) == (p.shard_bits == 1024) and (len(c.levels[0][0]) > 1) == (p.pass_bits == 4096)
+        assert (c.shards > 1) == (p.shard_bits == 1024) and (c.passes > 1) == (p.pass_bits == 4096)
 
 
 def test_many_listed_keys_in_several_shards_without_a_join(spark):
@@ -57,3 +57,26 @@ def test_plan_has_no_python_and_no_join(spark, small):
 
 def test_empty(spark):
     assert U.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_generated_code_is_short_enough_to_be_compiled(spark):
+    universe = spark.range(20_000).select(F.col("id").cast("string").alias("key"))
+    c = U.Cascade.build(universe, universe.filter("key % 2 = 0"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = c.member(universe, "key", "hit")
+        plan = got._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    stats = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenStringSeq(plan)
+    sizes = [stats.apply(i)._3().maxMethodCodeSize() for i in range(stats.length())]
+    assert sizes and max(sizes) < 8000
+
+
+def test_columns_of_any_name_stay_and_null_ids_and_repeated_rows_are_judged(spark):
+    rows = [(i, f"key {i}", "a", "b") for i in range(300)] * 2 + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, key string, _h1 string, _h2 string")
+    c = U.Cascade.build(df.select("key"), df.select("key").filter("key like '%7'"), U.Params(shard_bits=128, pass_bits=256))
+    got = c.member(df, "key", "hit")
+    assert c.passes > 1 and got.columns == [*df.columns, "hit"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(((*r, r[1] is not None and r[1].endswith("7")) for r in rows), key=str)
