@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import as_text, chunks, few, map_arrow, mix, park
+from .base import FEW, as_text, chunks, few, map_arrow, mix, park
 
 KEY = np.dtype([("k1", "<i8"), ("k2", "<i8")])
 
@@ -34,13 +34,15 @@ KEY = np.dtype([("k1", "<i8"), ("k2", "<i8")])
 @dataclass(frozen=True)
 class Params:
     """min_chars: code points of a key that takes part. shard_keys: references of a shard, about.
-    probe_rows: lines that one probing task takes, about. load: filled share of a cuckoo filter. most_parts: deltas kept apart."""
+    probe_rows: lines that one probing task takes, about. load: filled share of a cuckoo filter. most_parts: deltas kept apart.
+    few: repeated lines that are broadcast at once; of more, those of very many documents are."""
 
     min_chars: int = 10
     shard_keys: int = 1 << 18
     probe_rows: int = 1 << 18
     load: float = 0.7
     most_parts: int = 8
+    few: int = FEW
 
 
 def keys_of(text: bytes, min_chars: int) -> list[bytes | None]:
@@ -201,9 +203,24 @@ class LineIndex:
 
         kind = refs.schema["doc"].dataType.simpleString()
         hits = dealt.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt")).applyInArrow(probe, f"k1 long, k2 long, doc {kind}")
-        exact = few(park(repeated(refs).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "first")))
-        hits = hits.join(exact, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
-        return hits.filter(~F.col("doc").eqNullSafe(F.col("first"))).select("doc", "k1", "k2")
+        return self.firsts(hits).filter(~F.col("doc").eqNullSafe(F.col("first"))).select("doc", "k1", "k2")
+
+    def firsts(self, hits: DataFrame) -> DataFrame:
+        """Adds `first`, a repeated key's least document; rows whose key isn't repeated go.
+
+        More than p.few repeated keys are shuffled, but for those that more than a p.few-th of all references have, fewer than p.few: these are
+        broadcast, and their rows go to tasks by their documents, so that a line of every document meets in no single task.
+        """
+        exact = park(repeated(self.references()).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "first", "holders"))
+        on = (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
+        if exact.count() <= self.p.few:
+            return hits.join(F.broadcast(exact), on).drop("_k1", "_k2", "holders")
+        frequent = F.col("holders") > max(self.total // self.p.few, min(self.p.probe_rows, self.total // 64))
+        hits = hits.join(F.broadcast(exact.filter(frequent).select("_k1", "_k2", F.col("first").alias("_hot"))), on, "left").drop("_k1", "_k2")
+        hits = hits.withColumn("_at", F.when(F.col("_hot").isNull(), F.col("k1")).otherwise(F.xxhash64("doc", "k2")))
+        rest = exact.filter(~frequent).select("_k1", "_k2", F.col("first").alias("_cold")).hint("shuffle_hash")
+        hits = hits.join(rest, F.col("_hot").isNull() & (F.col("_at") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left")
+        return hits.withColumn("first", F.coalesce("_hot", "_cold")).filter("first is not null").drop("_hot", "_cold", "_at", "_k1", "_k2")
 
 
 def shard_of(shards: int) -> Column:
@@ -234,9 +251,9 @@ def references(documents: DataFrame, p: Params, id_col: str, text_col: str) -> D
 
 
 def repeated(refs: DataFrame) -> DataFrame:
-    """shard, k1, k2, first: keys of at least two documents, and the least of these."""
-    per = refs.groupBy(*ON).agg(F.min("doc").alias("first"), F.max("doc").alias("_last"), F.count("doc").alias("_some"), F.count("*").alias("_all"))
-    return per.filter((F.col("first") != F.col("_last")) | (F.col("_some") > 0) & (F.col("_some") < F.col("_all"))).drop("_last", "_some", "_all")
+    """shard, k1, k2, first, holders: keys of at least two documents, the least of these and the references."""
+    per = refs.groupBy(*ON).agg(F.min("doc").alias("first"), F.max("doc").alias("_last"), F.count("doc").alias("_some"), F.count("*").alias("holders"))
+    return per.filter((F.col("first") != F.col("_last")) | (F.col("_some") > 0) & (F.col("_some") < F.col("holders"))).drop("_last", "_some")
 
 
 def updated(filters: DataFrame, changes: DataFrame, p: Params) -> DataFrame:

@@ -2,6 +2,8 @@ import hashlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from barloom.llm import line_dedup as L
 
 LAST = 1 << 63
@@ -83,6 +85,22 @@ def test_a_line_of_every_document_is_probed_in_many_groups(spark):
     assert most > 4000 and got(df, index) == brute(rows)
 
 
+def test_a_frequent_line_beyond_the_broadcast_bound_meets_in_no_single_task(spark):
+    rows = [(i, ("this line stands in nearly every document\n" if i % 10 else "") + f"a line of two documents, {i // 2}\nown line of document {i}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = L.LineIndex.build(df, L.Params(few=64, probe_rows=500))
+    assert got(df, index) == brute(rows)
+    found = index.firsts(index.references().select("k1", "k2", "doc"))
+    top = found.groupBy("k1", "k2").count().orderBy(F.desc("count")).first()
+    assert top["count"] == 5400
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = [r["count"] for r in found.filter((F.col("k1") == top["k1"]) & (F.col("k2") == top["k2"])).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(tasks) == 5400 and max(tasks) < 5400 / 2
+
+
 def test_repeated_ids_deltas_and_string_ids(spark):
     rows = [(f"d{i // 2}", f"a line that two rows of document {i // 2} hold\nline of every document\nline number {i % 7} of seven") for i in range(40)]
     schema = "doc_id string, text string"
