@@ -5,9 +5,9 @@ any stretch of the mix is near the target shares. Slots are ranked per source, a
 `block_words` words of the source's shuffled texts, starting anew after the last block. A source's ranks end where its
 words reach its target; the last block is cut there.
 
-Shuffling is by the MD5 of the id (then the id's order), so reruns agree. Texts without a word are never taken. Null
-sources form one source, last in order (so a source's place, and with it its weight, never depends on row order); null ids share one place in the shuffle, where equal rows are
-interchangeable. Long texts are counted whole. An empty table gives an empty mix. There may be many sources: points meet them by a join.
+Shuffling is by the MD5 of the id and of the text (then the id's order), so reruns agree and rows without ids, or of one id, are spread like others. Texts without
+a word are never taken. Null sources form one source, last in order (so a source's place, and with it its weight, never depends on row order); rows equal in id and text share one place in
+the shuffle, where they are interchangeable. Long texts are counted whole. An empty table gives an empty mix. There may be many sources: points meet them by a join.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import as_text, chunks, few, map_arrow, park
@@ -73,13 +73,15 @@ def targets(sizes: DataFrame, p: Params = Params()) -> DataFrame:
     return per.withColumn("_stop", stop).select("source", "source_size", F.when(F.col("_stop").isNull() | (F.col("_ratio") <= F.col("_stop")), F.col("_cap")).otherwise(F.col("_w") * F.col("_stop")).alias("target"))
 
 
+def digest(id_: Column, text: Column) -> Column:
+    return F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit(" "), F.md5(text.cast("binary"))).cast("binary"))
+
+
 def shuffled(sizes: DataFrame, p: Params = Params(), id_col: str = "doc_id") -> DataFrame:
-    """Adds `start`: the words of the same source that come before the row in the shuffle."""
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = sizes.withColumn("_digest", digest)
+    """Adds `start`: the words of the same source that come before the row in the shuffle. sizes: with the _digest of each row, which goes."""
     buckets = min(1 << 28, max(256, sizes.count() // p.rows_per_bucket))
     bucket = (F.conv(F.substring("_digest", 1, 7), 16, 10).cast("long") * buckets / (1 << 28)).cast("int")
-    return running_total(rows, ["source"], bucket, ["_digest", id_col, "size"], "size", "start").drop("_digest")
+    return running_total(sizes, ["source"], bucket, ["_digest", id_col, "size"], "size", "start").drop("_digest")
 
 
 def schedule(spark, per_source: DataFrame, p: Params = Params()) -> DataFrame:
@@ -120,7 +122,8 @@ def mix(documents: DataFrame, p: Params = Params(), id_col: str = "doc_id", text
     """id, size, source_size, target, taken for each row: the words of it that the schedule's blocks take."""
     spark = documents.sparkSession
     src = documents.select(documents[id_col].alias("_id"), documents[source_col].cast("string").alias("source"), as_text(documents, text_col).alias("_text"))
-    sizes = park(word_counts(src, ["_id", "source"], "_text"))
+    src = src.withColumn("_digest", digest(F.col("_id"), F.col("_text")))
+    sizes = park(word_counts(src, ["_id", "source", "_digest"], "_text"))
     per = park(targets(sizes, p))
     rows = shuffled(sizes, p, "_id")
     slots = schedule(spark, per, p)

@@ -15,8 +15,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = {k.name: F.col(f"pii.{k.name}") for k in pii.BASE + pii.FURTHER}
     base = [spans[k.name] for k in pii.BASE]
-    counts = [F.size(spans[k]).cast("long").alias(f"n_{k}") for k in spans]
-    return out.select("doc_id", *counts, F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed(list(spans.values())).alias("spans"))
+    counts = lambda kinds: [F.size(spans[k.name]).cast("long").alias(f"n_{k.name}") for k in kinds]
+    return out.select("doc_id", *counts(pii.BASE), F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed(list(spans.values())).alias("spans"), *counts(pii.FURTHER))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,13 +133,13 @@ c{i + 1} AS MATERIALIZED (SELECT k, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOI
 #: op1 needs look-behind, op5 XXH64, op12 a checksum that SQL lacks, and the others learn: tests hold these against plain versions and held-out rows.
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": r"""
-WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || md5(coalesce(text, ''))) AS digest FROM documents),
 p AS (SELECT source, sum(size) AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM s GROUP BY source),
 q AS (SELECT *, 3.0::DOUBLE * source_size / w AS ratio FROM p),
 v AS (SELECT a.ratio, ((SELECT sum(source_size) FROM q) - coalesce(sum(CASE WHEN b.ratio < a.ratio THEN 3.0::DOUBLE * b.source_size END), 0)) / sum(CASE WHEN b.ratio >= a.ratio THEN b.w END) AS level FROM q a, q b GROUP BY a.source, a.ratio),
 z AS (SELECT min(level) FILTER (WHERE ratio = (SELECT min(ratio) FROM v WHERE ratio > level)) AS stop FROM v),
 t AS (SELECT source, source_size, CASE WHEN stop IS NULL OR ratio <= stop THEN 3.0::DOUBLE * source_size ELSE w * stop END AS target FROM q, z),
-o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s)
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s)
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
   CAST(CASE WHEN source_size = 0 THEN 0 ELSE CAST(round(target) AS BIGINT) // source_size * size + greatest(0, least(size, CAST(round(target) AS BIGINT) % source_size - start)) END AS BIGINT) AS taken
 FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source""",

@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 from barloom.llm import mixing as M
 
 
+def digest(i, text):
+    return hashlib.md5(f"{'' if i is None else i} {hashlib.md5(text.encode()).hexdigest()}".encode()).hexdigest()
+
+
 def brute(rows, weights=(5.0, 2.0, 1.0), cap=3):
-    """rows: id, source, size. Targets by sharing out again and again, words by walking through the shuffle."""
+    """rows: id, source, size, text. Targets by sharing out again and again, words by walking through the shuffle."""
     sources = sorted({r[1] for r in rows}, key=lambda s: (s is None, (s or "").encode()))
     size = {s: sum(r[2] for r in rows if r[1] == s) for s in sources}
     w = {s: weights[i % len(weights)] for i, s in enumerate(sources)}
@@ -21,9 +25,9 @@ def brute(rows, weights=(5.0, 2.0, 1.0), cap=3):
         full |= over
     out = []
     for s in sources:
-        own = sorted((r for r in rows if r[1] == s), key=lambda r: (hashlib.md5(("" if r[0] is None else str(r[0])).encode()).hexdigest(), r[0] is not None, r[0], r[2]))
+        own = sorted((r for r in rows if r[1] == s), key=lambda r: (digest(r[0], r[3]), r[0] is not None, r[0], r[2]))
         at, want = 0, round(target[s])
-        for i, _, n in own:
+        for i, _, n, _ in own:
             t = want // size[s] * n + min(max(want % size[s] - at, 0), n) if size[s] else 0
             out.append((i, n, size[s], target[s], t))
             at += n
@@ -35,7 +39,7 @@ def norm(rows):
 
 
 def sizes(df):
-    return [(r["doc_id"], r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in df.select("doc_id", "source", "text").collect()]
+    return [(r["doc_id"], r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")), r["text"] or "") for r in df.select("doc_id", "source", "text").collect()]
 
 
 def got(df, p):
@@ -67,3 +71,12 @@ def test_schedule_is_spread(spark, small):
     assert not slots.duplicated(["source", "rank"]).any() and not slots.duplicated("slot").any()
     half = slots.head(len(slots) // 2).groupby("source").words.sum()
     assert (half / half.sum() - target / target.sum()).abs().max() < 0.02
+
+
+def test_rows_without_ids_are_spread_over_buckets(spark):
+    rows = [(None if i % 10 else i, f"text number {i} has words", "a") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    p = M.Params(block_words=16, rows_per_bucket=8)
+    assert norm(got(df, p)) == norm(brute(sizes(df)))
+    digests = df.select(M.digest(F.col("doc_id"), F.col("text")).alias("d"))
+    assert digests.groupBy(F.substring("d", 1, 2)).count().agg(F.max("count")).first()[0] < 3000 / 64
