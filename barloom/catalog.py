@@ -158,9 +158,18 @@ def sco10(spark, sf):
     return scan.latest(scorers.points(indicators.compute(bars(spark, sf).filter("date >= date'1997-01-06'")))).filter("score > 0").select("ticker", "date", "score")
 
 
-@query("SCO-15", "SELECT * FROM (VALUES ('ema', 44), ('rsi', 42), ('macd', 14)) t(name, weight)")
+_FIRES = {"ema": "close > ema_21", "rsi": "rsi_14 < 40", "macd": "macd > macd_signal"}
+
+
+@query("SCO-15", O.query(
+    "SELECT ticker, name, CAST(cut + CASE WHEN name = 'ema' THEN 100 - sum(cut) OVER (PARTITION BY ticker) ELSE 0 END AS INTEGER) AS weight FROM ("
+    "SELECT *, CAST(floor(CAST(w AS DOUBLE) / CAST(sum(w) OVER (PARTITION BY ticker) AS DOUBLE) * 100) AS INTEGER) AS cut FROM ("
+    + " UNION ALL ".join(f"SELECT ticker, '{n}' AS name, count(*) FILTER (WHERE {c}) AS w FROM ind GROUP BY ticker" for n, c in _FIRES.items())
+    + ") QUALIFY sum(w) OVER (PARTITION BY ticker) > 0)", O.BARS, O.INDICATORS))
 def sco15(spark, sf):
-    return spark.createDataFrame(list(scorers.normalised({"ema": 3, "rsi": 3, "macd": 1}).items()), "name string, weight int")
+    """Weights of indicators by how often each fires for a ticker, scaled to 100."""
+    fires = ind(spark, sf).groupBy("ticker").agg(*[F.count(F.when(F.expr(c), 1)).alias(n) for n, c in _FIRES.items()])
+    return scorers.normalised_weights(fires.unpivot("ticker", list(_FIRES), "name", "weight"), ["ticker"])
 
 
 @query("RSK-01", O.query("SELECT ticker, date, round_even(close - atr_14 * 2, 2) AS stop_loss, round_even(atr_14, 2) AS atr FROM ind WHERE atr_14 > 0", O.BARS, O.INDICATORS))

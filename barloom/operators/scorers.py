@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import series as S
@@ -114,6 +114,15 @@ def normalised(weights: dict[str, float], rest: str = "ema") -> dict[str, int]:
     return out | {rest: out[rest] + 100 - sum(out.values())}
 
 
+def normalised_weights(weights: DataFrame, group: list[str], name: str = "name", weight: str = "weight", rest: str = "ema") -> DataFrame:
+    """Weights scaled to a total of 100 in each group and cut to integers; what is left goes to one of them. Groups of no weight go; null weights count as none."""
+    own = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    every = Window.partitionBy(*group)
+    out = weights.withColumn("_w", own).withColumn("_total", F.sum("_w").over(every)).filter("_total > 0").withColumn("_cut", F.floor(F.col("_w") / F.col("_total") * 100).cast("int"))
+    left = F.when(F.col(name) == rest, 100 - F.sum("_cut").over(every)).otherwise(0)
+    return out.select(*group, name, (F.col("_cut") + left).cast("int").alias("weight"))
+
+
 def contextual(context: DataFrame, rank: str, most: float, least_turnover: float) -> DataFrame:
     """Low rank among liquid rows is bullish, other ranks bearish, rows without rank or turnover neutral."""
     good = F.coalesce(F.col("turnover_5d") >= least_turnover, F.lit(False)) & F.col(rank).isNotNull()

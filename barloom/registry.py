@@ -704,7 +704,16 @@ def str06(spark, sf):
     return B.read(spark, sf, "documents").select("doc_id", F.md5(T.escaped(t).cast("binary")).alias("escaped"), T.cut(t, 60).alias("short"))
 
 
-@query("STR-07", None)
+_LAST = "CASE WHEN contains(head, {0}) THEN length(head) - strpos(reverse(head), {0}) ELSE 0 END"
+
+
+@query("STR-07", f"""WITH RECURSIVE p AS (
+  SELECT doc_id, 0 AS piece_no, coalesce(text, '') AS rest FROM documents UNION ALL
+  SELECT doc_id, piece_no + 1, ltrim(substr(rest, cut + 1), chr(10) || ' ') FROM (SELECT *, CASE WHEN nl > 0 THEN nl WHEN sp > 0 THEN sp ELSE 4000 END AS cut FROM (
+    SELECT *, {_LAST.format('chr(10)')} AS nl, {_LAST.format("' '")} AS sp FROM (SELECT *, substr(rest, 1, 4001) AS head FROM p WHERE length(rest) > 4000)))),
+c AS (SELECT *, CASE WHEN length(rest) <= 4000 THEN length(rest) WHEN nl > 0 THEN nl WHEN sp > 0 THEN sp ELSE 4000 END AS n FROM (
+    SELECT *, {_LAST.format('chr(10)')} AS nl, {_LAST.format("' '")} AS sp FROM (SELECT *, substr(rest, 1, 4001) AS head FROM p)))
+SELECT doc_id, CAST(piece_no AS INTEGER) AS piece_no, CAST(n AS INTEGER) AS n FROM c""")
 def str07(spark, sf):
     from .functions.chunks import split
 

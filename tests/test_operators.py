@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import numpy as np
 import pandas as pd
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import series as S
-from barloom.functions.chunks import pieces
+from barloom.functions.chunks import split
 from barloom.operators import diagnostics, folds, indicators, joins, metrics, scorers, store, tags, validate
 from barloom.params import BacktestParams
 
@@ -166,9 +167,25 @@ def test_long_run_variance(spark):
     assert abs(diagnostics.newey_west(df).first()["t"] - x.mean() / (np.sqrt(total) / n)) < 1e-9
 
 
-def test_pieces():
-    assert list(pieces("a" * 4000, 4000)) == ["a" * 4000]
-    assert [len(p) for p in pieces("a" * 4001, 4000)] == [4000, 1]
-    assert list(pieces("x" * 10 + "\n" + "y" * 10, 15)) == ["x" * 10, "y" * 10]
-    assert list(pieces("one two three", 8)) == ["one two", "three"]
-    assert list(pieces(None, 5)) == [""]
+def brute_pieces(text, most):
+    left = text or ""
+    while len(left) > most:
+        at = max(left.rfind("\n", 0, most + 1), 0) or max(left.rfind(" ", 0, most + 1), 0) or most
+        yield left[:at]
+        left = left[at:].lstrip("\n ")
+    yield left
+
+
+def test_pieces(spark):
+    rng = random.Random(1)
+    texts = [None, "", "     ", "aaaa    ", "a" * 9, "one two three"] + ["".join(rng.choice("ab \n\U0001F600") for _ in range(rng.randrange(40))) for _ in range(500)]
+    got = {}
+    for r in split(spark.createDataFrame(list(enumerate(texts)), "i long, t string"), "t", 4).orderBy("i", "piece_no").collect():
+        got.setdefault(r["i"], []).append(r["piece"])
+    assert got == {i: list(brute_pieces(t, 4)) for i, t in enumerate(texts)}
+
+
+def test_weights_of_each_group_add_up_to_100(spark):
+    rows = [("a", "ema", 3.0), ("a", "rsi", 3.0), ("a", "macd", 1.0), ("b", "ema", 0.0), ("b", "rsi", None), ("c", "ema", None), ("c", "rsi", 2.0)]
+    got = scorers.normalised_weights(spark.createDataFrame(rows, "ticker string, name string, weight double"), ["ticker"])
+    assert {(r["ticker"], r["name"]): r["weight"] for r in got.collect()} == {("a", "ema"): 44, ("a", "rsi"): 42, ("a", "macd"): 14, ("c", "ema"): 0, ("c", "rsi"): 100}
