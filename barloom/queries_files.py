@@ -59,15 +59,15 @@ def snk16(spark, sf):
 
 @query("SRC-18", """SELECT n_name, code FROM nation JOIN (SELECT DISTINCT c_nationkey, translate(c_mktsegment[1:3] || chr(CAST(65 + c_custkey % 26 AS INTEGER)), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || '.JK' AS code FROM customer WHERE c_custkey % 7 <> 0) ON n_nationkey = c_nationkey""")
 def src18(spark, sf):
-    """Codes scraped from the first table of pages, one page a nation, with nested tags, attributes, a prefix and rows that hold no code."""
+    """Codes scraped from the first table of pages, one page for each nation and thousand customers' keys, with nested tags, attributes, a prefix and rows that hold no code."""
     code = F.concat(F.upper(F.substring("c_mktsegment", 1, 3)), F.chr((F.lit(65) + F.col("c_custkey") % 26).cast("int")))
     row = F.concat(F.lit("<TR class='a>b'><td>"), F.col("c_name"), F.lit("</td><td align=\"left\"><a href='/x?a=1'>"), F.when(F.col("c_custkey") % 3 == 0, "BEI: ").otherwise(""), F.when(F.col("c_custkey") % 7 == 0, F.concat(code, F.lit("1"))).otherwise(F.concat(F.lit("<b>"), code, F.lit("</b>"))), F.lit("</a><!-- <td> --></td></tr>\n"))
     c = B.read(spark, sf, "customer")
-    body = c.groupBy("c_nationkey").agg(F.array_join(F.array_distinct(F.collect_list(row)), "").alias("rows"))
+    body = c.groupBy("c_nationkey", F.floor(F.col("c_custkey") / 1000)).agg(F.array_join(F.array_distinct(F.collect_list(row)), "").alias("rows"))
     page = F.concat(F.lit("<html><body><p>Daftar</p><table class='x'><tr><th>Nama</th><th>Kode&nbsp;saham</th></tr>"), "rows", F.lit("</table><table><tr><th>Kode</th></tr><tr><td>ZZZZ</td></tr></table></body></html>"))
     pages = body.select("c_nationkey", html.codes(page).alias("codes"))
     n = B.read(spark, sf, "nation")
-    return pages.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", F.explode("codes").alias("code"))
+    return pages.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", F.explode("codes").alias("code")).distinct()
 
 
 _CODE = "chr(CAST(65 + s_suppkey % 26 AS INTEGER)) || chr(CAST(65 + s_suppkey // 26 % 26 AS INTEGER)) || 'A' || CASE WHEN s_suppkey % 5 = 0 THEN 'BC' ELSE 'B' END"

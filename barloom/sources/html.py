@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,17 +25,30 @@ def plain(cell: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def _rest(items: Column) -> Column:
+    """All but the first, however many."""
+    return F.filter(items, lambda x, i: i > 0)
+
+
+def _held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once for each row, not once for each element that looks at it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def cells(table: Column) -> Column:
     """An array of rows, each an array of texts. Rows without a cell are left out; end tags of rows and cells may be missing."""
-    rows = F.slice(F.split(table, _TAG.format("tr")), 2, 1 << 20)
-    return F.filter(F.transform(rows, lambda r: F.transform(F.slice(F.split(r, _TAG.format("t[hd]")), 2, 1 << 20), plain)), lambda r: F.size(r) > 0)
+    return F.filter(F.transform(_rest(F.split(table, _TAG.format("tr"))), lambda r: F.transform(_rest(F.split(r, _TAG.format("t[hd]"))), plain)), lambda r: F.size(r) > 0)
 
 
 def codes(html: Column) -> Column:
     """Listed codes of a page's first table: the column whose heading has `kode` or `simbol` in it, else the first; a leading `BEI:` goes; four letters, as tickers of the
     exchange. Distinct, in order of appearance; null without a table."""
-    grid = cells(first_table(html))
-    heading = F.transform(F.get(grid, F.lit(0)), lambda h: F.lower(h).rlike("kode|simbol"))
-    at = F.greatest(F.array_position(heading, True) - 1, F.lit(0)).cast("int")
-    values = F.transform(F.slice(grid, 2, 1 << 20), lambda r: F.trim(F.regexp_replace(F.coalesce(F.get(r, at), F.lit("")), "(?i)^BEI:", "")))
-    return F.array_distinct(F.transform(F.filter(values, lambda v: v.rlike(r"^\p{L}{4}$")), lambda v: F.concat(v, F.lit(".JK"))))
+    def below(grid: Column) -> Column:
+        heading = F.transform(F.get(grid, F.lit(0)), lambda h: F.lower(h).rlike("kode|simbol"))
+        return _held(F.greatest(F.array_position(heading, True) - 1, F.lit(0)).cast("int"), lambda at: found(_rest(grid), at))
+
+    def found(rows: Column, at: Column) -> Column:
+        values = F.transform(rows, lambda r: F.trim(F.regexp_replace(F.coalesce(F.get(r, at), F.lit("")), "(?i)^BEI:", "")))
+        return F.array_distinct(F.transform(F.filter(values, lambda v: v.rlike(r"^\p{L}{4}$")), lambda v: F.concat(v, F.lit(".JK"))))
+
+    return _held(cells(first_table(html)), below)

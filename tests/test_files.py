@@ -1,6 +1,7 @@
 """Landed files with broken lines, pages, tables in HTML, stored datasets, exports, plug-ins."""
 
 import datetime as dt
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -90,6 +91,19 @@ def test_tables_in_pages_against_a_parser(spark):
     assert [got[i][1] for i in range(6)] == [None, None, None, ["BBCA.JK", "ASII.JK"], ["TLKM.JK"], ["GOTO.JK"]]
 
 
+def test_codes_of_a_long_page_take_time_by_its_rows(spark):
+    rows = F.array_join(F.transform(F.sequence(F.lit(1), F.col("id")), lambda i: F.concat(F.lit("<tr><td>x</td><td>AB"), F.chr((i % 26 + 65).cast("int")), F.chr((F.floor(i / 26) % 26 + 65).cast("int")), F.lit("</td></tr>"))), "")
+    page = F.concat(F.lit("<table><tr><th>Nama</th><th>Kode</th></tr>"), rows, F.lit("</table>"))
+
+    def took(n: int) -> float:
+        start = time.monotonic()
+        assert spark.range(n, n + 1).select(F.size(html.codes(page)).alias("n")).first()["n"] == min(n, 676)
+        return time.monotonic() - start
+
+    took(10)
+    assert took(8_000) < 16 * took(1_000)  # in proportion or less; with the heading read again for each row some 64
+
+
 def test_master_dataset_needs_no_exchange(spark):
     b, at = B.weekly(spark, SF), shared_folder(spark, "master")
     master.write(b, f"{at}/bars", "bars_of_test", buckets=4)
