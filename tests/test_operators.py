@@ -189,3 +189,11 @@ def test_weights_of_each_group_add_up_to_100(spark):
     rows = [("a", "ema", 3.0), ("a", "rsi", 3.0), ("a", "macd", 1.0), ("b", "ema", 0.0), ("b", "rsi", None), ("c", "ema", None), ("c", "rsi", 2.0)]
     got = scorers.normalised_weights(spark.createDataFrame(rows, "ticker string, name string, weight double"), ["ticker"])
     assert {(r["ticker"], r["name"]): r["weight"] for r in got.collect()} == {("a", "ema"): 44, ("a", "rsi"): 42, ("a", "macd"): 14, ("c", "ema"): 0, ("c", "rsi"): 100}
+
+
+def test_overall_without_signals_knows_no_folds(spark):
+    of = lambda rows: metrics.overall(spark.createDataFrame(rows, "fold int, return_n3 double")).first()
+    none, few, some = of([]), of([(1, 0.5)]), of([(f, 0.1) for f in (1, 2, 3, 4) for _ in range(10)])
+    assert (none["n"], none["folds_with_data"], none["positive_folds"], none["ok_folds"]) == (0, 0, None, None)
+    assert (few["n"], few["folds_with_data"], few["positive_folds"], few["ok_folds"]) == (1, 0, 0, False)
+    assert (some["n"], some["folds_with_data"], some["positive_folds"], some["ok_folds"]) == (40, 4, 4, True)
