@@ -3,11 +3,11 @@ r"""Language model by logistic context mixing over bits, trained on Spark.
 Texts are coded as bits: a word among the `head` most frequent ones by its Huffman path, any other word by an escape
 path and then its bytes and a blank, bit by bit; an end follows the last word. Every bit is predicted in several hashed
 contexts (Huffman node alone, after the last two of the most frequent words, after the last word, after the last two; bit of a byte after one byte of the word and a frequent word, after two and three bytes and after all of them). A node alone knows the words below it by their counts; in the other contexts a cell counts zeros and ones over all training texts. The predictions' logits are combined by weights that
-a gate chooses, from how often two of the contexts were seen; weights follow the online gradient on a bounded
-sample, whose own counts are left out of its predictions. An adaptive probability map over the mixed logit refines it.
+a gate chooses, from how often the contexts were seen; weights follow the online gradient over all training texts, a bit's own
+count left out of its predictions: each task follows its texts, and the tasks' weights are averaged by the bits that each gate met. An adaptive probability map over the mixed logit, from all those bits, refines it.
 Of the words that training texts hold once, two thirds stand, there, for the words it doesn't know: they are coded by the escape, so that spelling is learned and its share is right.
 
-While a text is scored, its own words so far are a last predictor, mixed in by a share that depends on their number (learned on the sample, too). Nothing else moves, so a score depends on the
+While a text is scored, its own words so far are a last predictor, mixed in by a share that depends on their number (learned on all training texts, too). Nothing else moves, so a score depends on the
 text and the model alone, not on the rows around it. The sum over tokens is the text's probability, and bits per byte follow.
 
 Counting is spread over all training texts: each of a few tasks for each core sends its cells, packed, in blocks, and tasks that get a block
@@ -41,7 +41,7 @@ LN10 = float(np.log(10))
 @dataclass(frozen=True)
 class Params:
     """head: words with a code of their own. anchors: the most frequent of them; the last ones seen tell of language and topic. bits: log2 of the cells of a
-    context of words at 2^24 training tokens, half a bit more for each doubling; small_bits, byte_bits: of the contexts of bytes. sample_rows: training texts that weights are fitted on, a bound.
+    context of words at 2^24 training tokens, half a bit more for each doubling; small_bits, byte_bits: of the contexts of bytes. sample_rows: accepted, but without effect, as weights are fitted on all training texts.
     rate, batch: online steps. delta: added to counts. flush: distinct words after which a task sends its word counts. chunk: bytes of text that a
     task turns into bits at once. tables: counting tasks for each core."""
 
@@ -214,8 +214,8 @@ def earlier(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return out
 
 
-def events(t: Texts, code: Code, lay: Layout, training: bool = False) -> Events:
-    """training: of words that occur once two thirds are escaped, and a few more are spelled besides."""
+def events(t: Texts, code: Code, lay: Layout, training: bool = False, spell: bool = True) -> Events:
+    """training: of words that occur once two thirds are escaped, and, with spell, a few more are spelled besides."""
     low, starts, ends, off, h = word_hashes(t)
     words, docs = len(h), t.n
     token_off = off + np.arange(docs + 1)
@@ -255,7 +255,7 @@ def events(t: Texts, code: Code, lay: Layout, training: bool = False) -> Events:
         n = np.concatenate([code.counts, [0, 0]])[symbol]
         some = np.concatenate([code.hashes % np.uint64(3) > 0, [False, False]])[symbol]
         symbol[(n == 1) & some] = code.escape
-        out = outside | ((n >= 1) & (n <= SPELLED))[at]
+        out = outside | ((n >= 1) & (n <= SPELLED) if spell else symbol == code.escape)[at]
     # paths
     n = code.lengths[symbol]
     bit_off = np.concatenate([[0], np.cumsum(n)])
@@ -332,6 +332,13 @@ def confidence(n: np.ndarray) -> np.ndarray:
     return (n > 0).astype(np.uint8) + (n > 3) + (n > 60)
 
 
+def packed(counts: np.ndarray, delta: float) -> np.ndarray:
+    """Logit and confidence of each cell in one 16-bit number: 512ths above the lowest two bits."""
+    c = counts.astype(np.float32)
+    logit = np.clip(np.log((c[:, 1] + delta) / (c[:, 0] + delta)), -15.9, 15.9)
+    return (np.rint(logit * 512).astype(np.int16) << 2) | confidence(c.sum(1)).astype(np.int16)
+
+
 def gate_of(c: list[np.ndarray]) -> np.ndarray:
     return (c[0] * 4 + c[1]) * 4 + c[2]
 
@@ -370,41 +377,84 @@ class Mixer:
         at = (np.clip(2 * x, -16, 16) + np.float32(16.5)).astype(np.int32) + kind * np.int32(33)
         return np.float32(0.5) * (x + self.map.ravel()[at])
 
-    def learn(self, group: int, e: Events, code: Code, counts: np.ndarray, p: Params, seen: np.ndarray, grown: np.ndarray) -> np.ndarray:
-        """Online steps over the bits in order; a bit's own count is taken out of its cells first. The log of what each bit was predicted with."""
-        bits, cells, kind = e.bits[group].astype(np.float32), e.cells[group], e.kind[group]
-        held = np.repeat(np.concatenate([np.where(code.counts > 1, 3, 0), [3, 2]])[e.symbols], np.diff(e.off[0])) if not group else None
+    def settle(self, seen: np.ndarray, gained: np.ndarray) -> None:
+        """The map from the logits and bits seen, the shares from what each would have gained."""
+        prior = 1 / (1 + np.exp(-np.arange(-16, 17) / 2))
+        self.map = np.log((seen[..., 1] + 8 * prior) / (seen[..., 0] + 8 * (1 - prior))).astype(np.float32)
+        self.share = SHARES[gained.argmax(1)]
+        self.trained = True
+
+
+class Learner:
+    """A mixer that follows the texts of a task, and what it has seen: bits by gate, bits by the map's cells, gains of the shares by the number of words."""
+
+    def __init__(self):
+        self.mixer = Mixer()
+        self.grown = np.full(self.mixer.w.shape, 1e-2)
+        self.met, self.seen, self.gained = np.zeros((2, GATES)), np.zeros((32, 33, 2)), np.zeros((16, len(SHARES)))
+
+    def bits(self, group: int, e: Events, code: Code, less: np.ndarray, p: Params) -> np.ndarray:
+        """Online steps over the bits in order; the log of what each bit was predicted with. less: `Model.less`."""
+        bits, cells, kind = e.bits[group], e.cells[group], e.kind[group]
         if group:
             own = np.flatnonzero(np.repeat(e.symbols[e.escaped] == code.escape, np.diff(e.off[1])))
             bits, cells, kind = bits[own], [c[own] for c in cells], kind[own]
-        out = np.zeros(len(bits))
+        held = np.concatenate([np.where(code.counts > 1, 3, 0), [3, 2]]).astype(np.float32)  # of a token's own three thirds
+        logits, sure = [], []
+        for k, c in enumerate(cells):
+            if group or k:
+                found = less[(c.astype(np.int64) << 1) + bits]
+                logits.append((found >> 2).astype(np.float32) * np.float32(1 / 512))
+                sure.append(found & 3)
+                continue
+            own = np.repeat(held[e.symbols], np.diff(e.off[0]))
+            zero, one = (np.maximum(side[c] - own * (bits == bit), 0) + np.float32(p.delta) for bit, side in enumerate(code.below.T.astype(np.float32)))
+            logits.append(np.log(one / zero))
+        gate = gate_of(sure[-3:]).astype(np.intp)
+        x, w, grown = np.zeros(len(bits), np.float32), self.mixer.w[group], self.grown[group]
         for a in range(0, len(bits), p.batch):
-            y, logits, n = bits[a : a + p.batch], [], []
-            for k, c in enumerate(cells):
-                own = counts[c[a : a + p.batch]].astype(np.float32)
-                own[np.arange(len(y)), y.astype(int)] -= held[a : a + p.batch] if group == 0 and k == 0 else 1
-                np.maximum(own, 0, out=own)
-                logits.append(np.log((own[:, 1] + p.delta) / (own[:, 0] + p.delta)))
-                n.append(own.sum(1))
-            gate = gate_of([confidence(x) for x in n[1:]])
-            x = self.mixed(group, logits, gate)
-            out[a : a + p.batch] = -np.log1p(np.exp(np.where(y == 1, -x, x)))
-            error = y - 1 / (1 + np.exp(-x))
+            at, some = gate[a : a + p.batch], [v[a : a + p.batch] for v in logits]
+            x[a : a + p.batch] = now = self.mixer.mixed(group, some, at)
+            error = bits[a : a + p.batch] - 1 / (1 + np.exp(-now))
+            met = np.bincount(at, minlength=GATES)
+            self.met[group] += met
             for k in range(CONTEXTS + 1):
-                g = np.bincount(gate, error * (logits[k] if k < CONTEXTS else 1), minlength=GATES) / np.maximum(np.bincount(gate, minlength=GATES), 1)
+                g = np.bincount(at, error * some[k] if k < CONTEXTS else error, minlength=GATES) / np.maximum(met, 1)
                 grown[:, k] += g * g
-                self.w[group][:, k] += (p.rate * g / np.sqrt(grown[:, k])).astype(np.float32)
-            at = (np.clip(2 * x, -16, 16) + np.float32(16.5)).astype(np.int64)
-            np.add.at(seen, (kind[a : a + p.batch], at, y.astype(int)), 1)
+                w[:, k] += (p.rate * g / np.sqrt(grown[:, k])).astype(np.float32)
+        at = (np.clip(2 * x, -16, 16) + np.float32(16.5)).astype(np.int64)
+        self.seen += np.bincount((kind * np.int64(33) + at) * 2 + bits, minlength=self.seen.size).reshape(self.seen.shape)
+        return -np.log1p(np.exp(np.where(bits == 1, -x, x)))
+
+    def take(self, e: Events, code: Code, less: np.ndarray, p: Params) -> None:
+        paths, spelled = (self.bits(g, e, code, less, p) for g in (0, 1))
+        own = e.symbols[e.escaped] == code.escape
+        logs = sums(paths, e.off[0])
+        logs[e.escaped[own]] += sums(spelled, np.concatenate([[0], np.cumsum(np.diff(e.off[1])[own])]))
+        level = np.minimum(15, np.ceil(np.log2(e.place + 1)).astype(np.int64))
+        hit = e.seen > 0
+        n, lost = np.bincount(level, minlength=16), np.bincount(level, np.where(hit, 0, logs), minlength=16)
+        missed = n - np.bincount(level[hit], minlength=16)
+        log, ratio, of = logs[hit], e.seen[hit] / e.place[hit], level[hit]
+        for k, share in enumerate(SHARES):  # as `shared` does
+            won = np.logaddexp(log + np.log1p(-share), np.log(share * ratio)) if share else log
+            self.gained[:, k] += lost + missed * np.log1p(-share) + np.bincount(of, won, minlength=16)
+
+    def packed(self) -> np.ndarray:
+        """Numbers that add up over tasks."""
+        return np.concatenate([(self.mixer.w * self.met[..., None]).ravel(), self.met.ravel(), self.seen.ravel(), self.gained.ravel()])
+
+    @staticmethod
+    def settled(packed: np.ndarray) -> Mixer:
+        """The mixer of all tasks' numbers."""
+        out = Mixer()
+        sizes = np.cumsum([out.w.size, 2 * GATES, 32 * 33 * 2])
+        w, met, seen, gained = np.split(packed, sizes)
+        met = met.reshape(2, GATES, 1)
+        out.w = np.where(met > 0, w.reshape(out.w.shape) / np.maximum(met, 1), out.w).astype(np.float32)
+        out.settle(seen.reshape(32, 33, 2), gained.reshape(16, len(SHARES)))
         return out
 
-    def settle(self, seen: np.ndarray, gained: np.ndarray) -> None:
-        """The map from the logits and bits seen, the shares from what each would have gained."""
-        prior = 1 / (1 + np.exp(-np.arange(-16, 17) / 2))
-        self.map = np.log((seen[..., 1] + 8 * prior) / (seen[..., 0] + 8 * (1 - prior))).astype(np.float32)
-        self.share = SHARES[gained.argmax(1)]
-        self.trained = True
-
 
 @dataclass
 class Model:
@@ -418,13 +468,20 @@ class Model:
     packed: np.ndarray | None = None
 
     def table(self) -> np.ndarray:
-        """Logit and confidence of each cell in one 16-bit number: 512ths above the lowest two bits."""
         if self.packed is None:
-            c = self.counts.astype(np.float32)
-            logit = np.clip(np.log((c[:, 1] + self.p.delta) / (c[:, 0] + self.p.delta)), -15.9, 15.9)
-            self.packed = (np.rint(logit * 512).astype(np.int16) << 2) | confidence(c.sum(1)).astype(np.int16)
+            self.packed = packed(self.counts, self.p.delta)
         return self.packed
 
+    def less(self) -> np.ndarray:
+        """`packed` of each cell without one zero, then without one: what a training bit is predicted with, its own count left out."""
+        out = np.empty((len(self.counts), 2), np.int16)
+        for bit in (0, 1):
+            for a in range(0, len(out), 1 << 20):  # in pieces, as the driver holds the whole table
+                c = self.counts[a : a + (1 << 20)].copy()
+                c[:, bit] -= c[:, bit] > 0
+                out[a : a + (1 << 20), bit] = packed(c, self.p.delta)
+        return out.ravel()
+
     def logs(self, e: Events) -> list[np.ndarray]:
         """Of each token's path and of each escaped word's bytes."""
         table = self.table()
@@ -461,35 +518,22 @@ def fit(documents: DataFrame, keep: Column | None = None, p: Params = Params(),
     counts = count_bits(texts.select("_text"), held, lay, p)
     counts[: code.n_nodes] = code.below if n else 0
     model = Model(code, lay, counts, Mixer(), p, int(n), int(v))
-    held.destroy()
-    sent = sc.broadcast(model)  # eight bytes a cell
+    less = sc.broadcast(model.less())  # four bytes a cell
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, mixer = sent.value, Mixer()
-        seen, gained, grown = np.zeros((32, 33, 2)), np.zeros((16, len(SHARES))), np.full((2, *mixer.w[0].shape), 1e-2)
+        learner, some = Learner(), False
         for _, t in chunks(batches, "_text", p.chunk):
-            e = events(t, m.code, m.lay, True)
-            paths, spelled = (mixer.learn(g, e, m.code, m.counts, p, seen, grown[g]) for g in (0, 1))
-            own = e.symbols[e.escaped] == m.code.escape
-            logs = sums(paths, e.off[0])
-            logs[e.escaped[own]] += sums(spelled, np.concatenate([[0], np.cumsum(np.diff(e.off[1])[own])]))
-            level = np.minimum(15, np.ceil(np.log2(e.place + 1)).astype(np.int64))
-            for k, share in enumerate(SHARES):
-                gained[:, k] += np.bincount(level, shared(logs, e, np.full(16, share)), minlength=16)
-        mixer.settle(seen, gained)
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (mixer.w, mixer.map, mixer.share)], names=["w", "m", "s"])
-
-    # the smallest hashes of ids; a bound on them, four times too wide, keeps all others from being sorted
-    draw = F.xxhash64("_id", F.lit(7))
-    wide = -(1 << 63) + min((1 << 64) - 1, ((1 << 66) * p.sample_rows + 1) // max(1, int(ends)))
-    sample = texts.filter(draw <= wide).orderBy(draw, "_id").limit(p.sample_rows).select("_text")
-    got = map_arrow(sample.coalesce(1), train, "w binary, m binary, s binary").collect()
-    if got and n:
-        model.mixer.w = np.frombuffer(bytes(got[0]["w"]), np.float32).reshape(2, GATES, CONTEXTS + 1).copy()
-        model.mixer.map = np.frombuffer(bytes(got[0]["m"]), np.float32).reshape(32, 33).copy()
-        model.mixer.share = np.frombuffer(bytes(got[0]["s"])).copy()
-        model.mixer.trained = True
-    sent.destroy()
+            learner.take(events(t, held.value, lay, True, False), held.value, less.value, p)
+            some = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([learner.packed().tobytes()], pa.binary())], names=["learned"])
+
+    # a row of some 24 kB for each of a few tasks a core
+    learned = map_arrow(texts.select("_text").coalesce(p.tables * sc.defaultParallelism), train, "learned binary").collect()
+    if learned and n:
+        model.mixer = Learner.settled(sum(np.frombuffer(x) for x in sorted(bytes(r["learned"]) for r in learned)))  # in a fixed order, as sums of floats depend on it
+    held.destroy()
+    less.destroy()
     return model, words
 
 

@@ -1,6 +1,7 @@
 import math
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -59,6 +60,30 @@ def test_odd_tables(spark, odd, empty, odd_rows):
     assert all(math.isfinite(r["score"]) for r in out)
 
 
+def test_weights_are_learned_from_all_training_texts(spark, small):
+    df = spark.read.parquet(f"{small}/documents.parquet")
+    models = [M.fit(df, None, replace(SMALL, sample_rows=n))[0] for n in (1, 50)]
+    assert all(np.array_equal(getattr(models[0].mixer, k), getattr(models[1].mixer, k)) for k in ("w", "map", "share"))
+    m = models[0]
+    learner, n = M.Learner(), 0
+    for r in df.collect():
+        e = M.events(Texts.of([r["text"] or ""]), m.code, m.lay, True, False)
+        learner.take(e, m.code, m.less(), SMALL)
+        n += sum(map(len, e.bits))
+    assert learner.met.sum() == learner.seen.sum() == n
+
+
+def test_a_training_bit_is_predicted_without_its_own_count():
+    m = toy()
+    less = m.less().reshape(-1, 2)
+    for bit in (0, 1):
+        c = m.counts.astype(int)
+        c[:, bit] = np.maximum(c[:, bit] - 1, 0)
+        logit = np.log((c[:, 1] + m.p.delta) / (c[:, 0] + m.p.delta))
+        assert np.abs((less[:, bit] >> 2) / 512 - logit).max() <= 1 / 1024 + 1e-6
+        assert (less[:, bit] & 3).tolist() == M.confidence(c.sum(1)).tolist()
+
+
 def toy():
     hashes = np.sort(M.word_hashes(Texts.of(["a bb ccc dddd the"]))[4])
     code = M.Code(hashes, np.array([50, 20, 10, 5, 3]), 30, 9)
