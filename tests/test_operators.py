@@ -10,6 +10,7 @@ from barloom.functions import series as S
 from barloom.functions.chunks import split
 from barloom.operators import diagnostics, folds, indicators, joins, metrics, scorers, store, tags, validate
 from barloom.params import BacktestParams
+from barloom.sources import bars as B
 
 DAY = dt.date(2020, 1, 1)
 
@@ -197,3 +198,16 @@ def test_overall_without_signals_knows_no_folds(spark):
     assert (none["n"], none["folds_with_data"], none["positive_folds"], none["ok_folds"]) == (0, 0, None, None)
     assert (few["n"], few["folds_with_data"], few["positive_folds"], few["ok_folds"]) == (1, 0, 0, False)
     assert (some["n"], some["folds_with_data"], some["positive_folds"], some["ok_folds"]) == (40, 4, 4, True)
+
+
+def test_supplier_bars_are_placed_once_in_partitions_of_bounded_rows(spark, monkeypatch):
+    sf, old = "/root/testdata/sf0.001", B.by_supplier(spark, "/root/testdata/sf0.001")
+    key = lambda df: sorted(map(str, df.collect()))
+    want = key(tags.rarity(indicators.compute(old, placed=True), placed=True))
+    monkeypatch.setattr(B, "ROWS", 100)
+    b = B.by_supplier(spark, sf)
+    parts = -(-B.read(spark, sf, "lineitem").count() // 100)
+    assert b.rdd.getNumPartitions() == parts > 50
+    out = tags.rarity(indicators.compute(b, placed=True), placed=True)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert key(out) == want == key(tags.rarity(indicators.compute(b)))
