@@ -17,7 +17,8 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 def split(panel: DataFrame, p: LearnParams = LearnParams()) -> DataFrame:
     """The panel's rows with fold and part (train or test); a row trains for every later fold. The last dates before a test block are left out, as their
-    returns reach into it."""
+    returns reach into it. The panel is kept, as its dates are read before its rows."""
+    panel = panel.persist()
     parts = folds.time_splits(panel, p.splits, p.purge).withColumnRenamed("split", "fold")
     return panel.join(F.broadcast(parts), "date")  # a row for each date and fold
 

@@ -58,7 +58,8 @@ def classifier(seed: int = 42, trees: int = 10, depth: int = 3) -> Pipeline:
 
 
 def trained(rows: DataFrame, share: float = 0.8) -> tuple[PipelineModel, DataFrame]:
-    """A model of the first dates, and the rows of the others."""
+    """A model of the first dates, and the rows of the others. Rows are kept, as the cut, the weights, each pass of the fit and the scores read them."""
+    rows = rows.persist()
     cut = rows.select("date").distinct().agg(F.percentile(F.unix_date("date"), share)).scalar()
     early = F.unix_date("date") < cut
     return classifier().fit(weighted(rows.filter(early))), rows.filter(~early)
@@ -114,4 +115,5 @@ def sequence_classifier(rows: DataFrame, steps: int = 20, hidden: int = 16, seed
     """A small network over flattened sequences (`sequences`), and its rows with features. label: a positive forward return."""
     data = sequences(rows, steps).withColumn("r", S.forward_return("close", 3)).filter("r is not null")
     data = data.select("ticker", "date", array_to_vector(F.flatten("steps")).alias("features"), (F.col("r") > 0).cast("int").alias("label"))
+    data = data.persist()  # read by each pass of the fit and by the scores
     return MultilayerPerceptronClassifier(layers=[5 * steps, hidden, 2], maxIter=30, seed=seed).fit(data), data

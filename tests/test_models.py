@@ -153,3 +153,10 @@ def test_average_precision_with_ties(spark):
     got = {r["fold"]: r["ap"] for r in evaluate.average_precision(df, "y", "p", ["fold"]).collect()}
     assert got == {1: pytest.approx(0.5 * 0.5 + 0.5 * 2 / 3), 2: None}
     assert LearnParams().threshold == 0.7
+
+
+def test_panels_are_kept_for_what_reads_them_again(spark, panel):
+    fresh = panel.sparkSession.createDataFrame(panel.collect(), panel.schema).withColumn("return_n3", F.col("return_n3") * 1)
+    kept = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("InMemoryRelation")
+    assert kept(evaluate.split(fresh)) >= 2  # rows and dates
+    assert kept(learn.trained(fresh.withColumn("return_n3", F.col("return_n3") * 2))[1]) >= 1
