@@ -115,6 +115,23 @@ def test_signals_come_once_and_are_forgotten(spark):
     assert left < 5  # keys of windows that have ended are gone
 
 
+def test_keys_of_one_bucket_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(once, "BUCKETS", 1)
+    at, schema = shared_folder(spark, "test"), "k string, n int, as_of timestamp, opens timestamp, closes timestamp"
+    t = lambda d: dt.datetime(2020, 1, 1) + dt.timedelta(days=d)
+    drops = [[("a", i % 7, t(2 + i / 10), t(1), t(5)) for i in range(14)] + [(None, None, t(2), t(1), t(5))], [("a", i, t(4), t(1), t(5)) for i in range(9)] + [(None, None, t(3), t(1), t(5))], [("z", 0, t(60), t(59), t(61))]]
+    before = once.with_store(spark)
+    try:
+        for i, rows in enumerate(drops):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{at}/in/{i}")
+            q = once.once(spark.readStream.schema(schema).parquet(f"{at}/in/*"), ["k", "n"], "2 days").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/c").trigger(availableNow=True).start()
+            q.awaitTermination()
+    finally:
+        once.restore_store(spark, before)
+    got = {(r["k"], r["n"]): r["as_of"] for r in spark.read.parquet(f"{at}/out").collect()}
+    assert got == {**{("a", i): t(2 + i / 10) for i in range(7)}, ("a", 7): t(4), ("a", 8): t(4), (None, None): t(2), ("z", 0): t(60)}
+
+
 def test_batches_with_repeats_and_nulls(spark):
     table = spark.createDataFrame([(1, "x"), (2, "x")], "k int, v string")
     batch = spark.createDataFrame([(2, "y", None), (3, "a", 1), (3, "b", None), (3, "c", 2), (4, None, None)], "k int, v string, at int")
