@@ -1,8 +1,8 @@
 r"""Language model by logistic context mixing over bits, trained on Spark.
 
 Texts are coded as bits: a word among the `head` most frequent ones by its Huffman path, any other word by an escape
-path and then its bytes and a blank, bit by bit; an end follows the last word. Every bit is predicted in several hashed
-contexts (Huffman node alone, after the last two of the most frequent words, after the last word, after the last two; bit of a byte after one byte of the word and a frequent word, after two and three bytes and after all of them). A node alone knows the words below it by their counts; in the other contexts a cell counts zeros and ones over all training texts. The predictions' logits are combined by weights that
+path and then its bytes and a blank, each by the Huffman path of its value; paths are nibbles of four bits, so that a nibble's cells stand together; an end follows the last word. Every bit is predicted in several hashed
+contexts (node of a path alone, after the last two of the most frequent words, after the last word, after the last two; bit of a byte after one byte of the word and a frequent word, after two and three bytes and after all of them). A node alone knows the words below it by their counts; in the other contexts a cell counts zeros and ones over all training texts. The predictions' logits are combined by weights that
 a gate chooses, from how often the contexts were seen; weights follow the online gradient over all training texts, a bit's own
 count left out of its predictions: each task follows its texts, and the tasks' weights are averaged by the bits that each gate met. An adaptive probability map over the mixed logit, from all those bits, refines it.
 Of the words that training texts hold once, two thirds stand, there, for the words it doesn't know: they are coded by the escape, so that spelling is learned and its share is right.
@@ -24,13 +24,14 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import as_text, chunks, map_arrow, mix, park, sums, Texts
+from .base import as_text, chunks, map_arrow, mix, park, SPACE, sums, Texts
 
 END_HASH = np.uint64(0x7FFFFFFFFFFFFFFF)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -63,6 +64,8 @@ class Params:
 CONTEXTS, GATES = 4, 64
 #: Words that occur so often in training texts, at most, teach how unknown words are spelled.
 SPELLED = 16
+#: Nibbles that a block has, about.
+STRETCH = 1 << 13
 #: Shares of a text's own words that are tried.
 SHARES = np.array([0.0, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4])
 
@@ -76,19 +79,24 @@ def word_hashes(t: Texts) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarray, np
 
 
 def count_words(texts: DataFrame, p: Params) -> DataFrame:
-    """h, n: occurrences of each token (by hash) in the column _text, ends included."""
+    """h, n, byte: occurrences of each token (by hash, byte false) in the column _text, ends included, and of each value of a word's bytes, 32 for its end (byte true)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size, docs = 0, 0
+        size, docs, values = 0, 0, np.zeros(256, np.int64)
+
+        def rows(keys: np.ndarray, n: np.ndarray, byte: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(np.full(len(n), byte))], names=["h", "n", "byte"])
 
         def merged() -> pa.RecordBatch:
             keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            n = np.bincount(back, np.concatenate([c for _, c in held])).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["h", "n"])
+            return rows(keys, np.bincount(back, np.concatenate([c for _, c in held])).astype(np.int64), False)
 
         for _, t in chunks(batches, "_text", p.chunk):
-            held.append(np.unique(word_hashes(t)[4], return_counts=True))
+            low, starts, _, _, h = word_hashes(t)
+            values += np.where(SPACE, 0, np.bincount(low.data, minlength=256))
+            values[32] += len(starts)
+            held.append(np.unique(h, return_counts=True))
             docs += t.n
             size += len(held[-1][0])
             if size >= p.flush:
@@ -97,14 +105,65 @@ def count_words(texts: DataFrame, p: Params) -> DataFrame:
         if docs:
             held.append((np.array([END_HASH]), np.array([docs])))
             yield merged()
+            yield rows(np.arange(256), values, True)
+
+    return map_arrow(texts, run, "h long, n long, byte boolean").groupBy("byte", "h").agg(F.sum("n").alias("n"))
 
-    return map_arrow(texts, run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
+#: Bits of a nibble, and the places among a node's 15 binary nodes, 1 to 15, at which they are decided.
+NIBBLES = (np.arange(16) >> np.arange(3, -1, -1)[:, None] & 1).astype(np.uint8)
+INSIDE = (16 + np.arange(16)) >> np.arange(4, 0, -1)[:, None]
+KINDS = 33 * np.arange(4)[:, None]
 
-class Code:
-    """Huffman paths. Symbols: the head words in the order of their hashes, then the end, then the escape, which has two thirds of each word that occurs once."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, ends: int, others: int, anchors: int = 16):
+class Tree:
+    """Huffman paths of symbols by their weights, in nibbles of four bits; the lightest node may have fewer than 16 symbols, and fewer bits. lengths: bits of each path.
+    groups: the paths' nibbles one after the other, with the node, the depth (3 nibbles at most) and the number of bits of each. below: the weights on each side of a binary node, 16 a node."""
+
+    def __init__(self, weight: list[int]):
+        n = len(weight)
+        nodes = -(-(n - 1) // 15)
+        heap = [(w, i) for i, w in enumerate(weight)]
+        heapq.heapify(heap)
+        parent, nibble, bits = np.zeros(n + nodes, np.int64), np.zeros(n + nodes, np.uint32), np.full(n + nodes, 4, np.uint32)
+        leaves = np.zeros((nodes, 16), np.int64)
+        for new in range(nodes):
+            some = [heapq.heappop(heap) for _ in range(16 if new else 2 + (n - 2) % 15)]
+            at = [i for _, i in some]
+            depth = (len(some) - 1).bit_length()
+            short = (1 << depth) - len(some)  # the heaviest have a bit less
+            depths = np.array([depth] * (len(some) - short) + [depth - 1] * short)
+            place = (np.cumsum(16 >> depths) - (16 >> depths)).astype(np.int64)
+            parent[at], nibble[at], bits[at] = n + new, place, depths
+            leaves[new, place] = [w for w, _ in some]
+            heapq.heappush(heap, (sum(w for w, _ in some), n + new))
+        root, at, steps = n + nodes - 1, np.arange(n), []
+        while (at != root).any():
+            on = at != root
+            steps.append((on, parent[at] - n, nibble[at], bits[at]))
+            at = np.where(on, parent[at], root)
+        self.group_lengths = sum(on.astype(np.int64) for on, *_ in steps)
+        self.group_offsets = np.concatenate([[0], np.cumsum(self.group_lengths)])
+        self.lengths = sum(np.where(on, size, 0).astype(np.int64) for on, _, _, size in steps)
+        self.n_nodes = 16 * nodes
+        if nodes >> 23:  # a group has 32 bits
+            raise OverflowError(f"{nodes} nodes of a tree; lower Params.head")
+        self.groups = np.zeros(self.group_offsets[-1], np.uint32)
+        for k, (on, up, value, size) in enumerate(steps):
+            depth = np.minimum(self.group_lengths[on] - 1 - k, 3)
+            self.groups[(self.group_offsets[1:] - 1 - k)[on]] = (up[on] << 9 | depth << 7 | size[on] << 4 | value[on]).astype(np.uint32)
+        below = np.zeros((nodes, 16, 2), np.int64)
+        for first in (8, 4, 2, 1):
+            below[:, first : 2 * first] = leaves.reshape(nodes, first, 2, -1).sum(-1)
+        self.below = np.minimum(below, 0xFFFFFFFF).astype(np.uint32).reshape(-1, 2)
+        self.whole = bool((self.groups >> np.uint32(4) & np.uint32(7) == 4).all())
+
+
+class Code(Tree):
+    """Huffman paths. Symbols: the head words in the order of their hashes, then the end, then the escape, which has two thirds of each word that occurs once.
+    values: how often each value of a byte occurs, for the paths of bytes."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, ends: int, others: int, anchors: int = 16, values: np.ndarray | None = None):
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         self.end, self.escape = len(hashes), len(hashes) + 1
@@ -112,37 +171,37 @@ class Code:
         top = np.lexsort((self.hashes, -self.counts))[:anchors]
         self.anchor[top] = np.arange(1, len(top) + 1, dtype=np.uint64)
         once = self.counts == 1
-        weight = [*np.where(once, 1, 3 * self.counts).tolist(), max(1, 3 * ends), max(1, 3 * others + 2 * int(once.sum()))]
-        n = len(weight)
-        heap = [(w, i) for i, w in enumerate(weight)]
-        heapq.heapify(heap)
-        parent, side = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.uint8)
-        below = np.zeros((n - 1, 2), np.int64)
-        for new in range(n, 2 * n - 1):
-            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[i] = parent[j] = new
-            side[j] = 1
-            below[new - n] = a, b
-            heapq.heappush(heap, (a + b, new))
-        root, at, steps = 2 * n - 2, np.arange(n), []
-        while (at != root).any():
-            on = at != root
-            steps.append((on, np.where(on, parent[at], root), side[at]))
-            at = steps[-1][1]
-        self.lengths = sum(on.astype(np.int64) for on, _, _ in steps)
-        self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
-        nodes, sides = np.zeros(self.offsets[-1], np.uint32), np.zeros(self.offsets[-1], np.uint32)
-        for k, (on, up, bit) in enumerate(steps):
-            place = (self.offsets[1:] - 1 - k)[on]
-            nodes[place], sides[place] = up[on] - n, bit[on]
-        self.n_nodes = n - 1
-        #: Three times the tokens on each side of a node, words that occur once by a third.
-        self.below = np.minimum(below, 0xFFFFFFFF).astype(np.uint32)
-        depths = np.minimum(np.arange(self.offsets[-1]) - np.repeat(self.offsets[:-1], self.lengths), 15)
-        # one number for each step of a path: node, side and depth
-        self.steps = (nodes << np.uint32(5)) | (sides << np.uint32(4)) | depths.astype(np.uint32)
+        # three times the tokens, words that occur once by a third
+        super().__init__([*np.where(once, 1, 3 * self.counts).tolist(), max(1, 3 * ends), max(1, 3 * others + 2 * int(once.sum()))])
+        self.bytes = Tree([int(n) + 1 for n in (np.zeros(256, np.int64) if values is None else values)])
         self.first = np.searchsorted(self.hashes >> np.uint64(46), np.arange((1 << 18) + 1, dtype=np.uint64)).astype(np.int32)
 
+    @cached_property
+    def taught(self) -> np.ndarray:
+        """The symbol of each symbol in training texts: the escape for two thirds of the words that occur once."""
+        out = np.arange(self.escape + 1)
+        out[:-2][(self.counts == 1) & (self.hashes % np.uint64(3) > 0)] = self.escape
+        return out
+
+    @cached_property
+    def spelled(self) -> np.ndarray:
+        """Symbols that are spelled besides in training texts."""
+        return np.concatenate([(self.counts >= 1) & (self.counts <= SPELLED), [False, False]])
+
+    @cached_property
+    def held(self) -> np.ndarray:
+        """How many of its own three thirds each symbol's nodes hold: none for 0, two for 1, all for 2."""
+        return np.concatenate([np.where(self.counts > 1, 2, 0), [2, 1]])
+
+    def less(self, delta: float) -> np.ndarray:
+        """Logits of a node without a token's own thirds, at 2 * (n_nodes * held + node) + bit."""
+        out = np.empty((3, self.n_nodes, 2), np.float32)
+        for k, own in enumerate((0, 2, 3)):
+            for bit in (0, 1):
+                zero, one = (np.maximum(self.below[:, side].astype(np.float32) - np.float32(own * (bit == side)), 0) + np.float32(delta) for side in (0, 1))
+                out[k, :, bit] = np.log(one / zero)
+        return out.ravel()
+
     def symbols(self, h: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
             return np.full(len(h), self.escape)
@@ -160,18 +219,84 @@ class Code:
         return out
 
 
+@dataclass
+class Block:
+    """Bits of some units, in four rows, the bits of each nibble below each other; the rows one after the other. cells: in each hashed context.
+    groups: nibbles before each unit. nibbles: as in `Tree.groups`; inside: `INSIDE` of each. absent: places without a bit, as a nibble's last ones may be."""
+
+    units: slice
+    groups: np.ndarray
+    bits: np.ndarray
+    nibbles: np.ndarray
+    inside: np.ndarray
+    cells: list[np.ndarray]
+    absent: np.ndarray | None
+    group: int
+
+    def kind(self) -> np.ndarray:
+        """33 times the refining context: the depth, and the group."""
+        out = ((self.nibbles >> np.uint32(7)) & np.uint32(3)).astype(np.int64)
+        out *= 4 * 33
+        return (out + (KINDS + 33 * 16 * self.group)).ravel()
+
+    def nodes(self) -> np.ndarray:
+        return (self.inside + ((self.nibbles >> np.uint32(9)).astype(np.int64) << 4)).ravel()
+
+    def per_unit(self, x: np.ndarray) -> np.ndarray:
+        """Log probability of each unit from its bits' logits."""
+        z = self.bits.astype(np.float32)
+        z *= np.float32(-2)
+        z += np.float32(1)
+        z *= x
+        np.exp(z, out=z)
+        z += np.float32(1)
+        np.log(z, out=z)
+        if self.absent is not None:
+            z[self.absent] = 0
+        return -np.add.reduceat(z.reshape(4, -1).sum(0), self.groups)
+
+
+class Bits:
+    """Bits of a chunk's units: paths of tokens, or of the bytes of escaped words. They are made in blocks that stay in a core's cache, as a chunk's bits in all contexts would not.
+    contexts: of each unit, hashed."""
+
+    def __init__(self, tree: Tree, symbols: np.ndarray, contexts: list[np.ndarray], lay: Layout, group: int):
+        self.tree, self.contexts, self.lay, self.group = tree, contexts, lay, group
+        self.symbols, self.n = symbols, tree.group_lengths[symbols]
+
+    def __len__(self) -> int:
+        return int(self.tree.lengths[self.symbols].sum())
+
+    def blocks(self) -> Iterator[Block]:
+        tree, off = self.tree, np.concatenate([[0], np.cumsum(self.n)])
+        cuts = np.append(np.searchsorted(off, np.arange(0, off[-1], STRETCH)), len(self.n))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if a == b:
+                continue
+            n = self.n[a:b]
+            end = np.cumsum(n)
+            at = np.repeat(tree.group_offsets[self.symbols[a:b]] - (end - n), n)
+            at += np.arange(len(at))
+            groups = tree.groups.take(at)
+            value = (groups & np.uint32(15)).astype(np.intp)
+            inside = INSIDE.take(value, axis=1)
+            key = (groups >> np.uint32(9)) * np.uint32(0x85EBCA6B) + np.uint32((1, 7)[self.group])
+            # the cells of a nibble stand in one line of memory
+            cells = [(inside ^ self.lay.place(k, np.repeat(c[a:b], n), key).astype(np.int64)).ravel() for k, c in enumerate(self.contexts, (1, 4)[self.group])]
+            absent = None if tree.whole else np.flatnonzero((((groups >> np.uint32(4)) & np.uint32(7)).astype(np.int64) <= np.arange(4)[:, None]).ravel())
+            yield Block(slice(a, b), end - n, NIBBLES.take(value, axis=1).ravel(), groups, inside, cells, absent if absent is not None and len(absent) else None, self.group)
+
+
 @dataclass
 class Events:
-    """Bits of a chunk in two groups (paths of tokens, bytes of escaped words): for each, the bits, their cells in the contexts, a refining
-    context, and the number of bits before each token or escaped word. seen: earlier occurrences of each token in its text."""
+    """Bits of a chunk in two groups (paths of tokens, bytes of escaped words), the places of escaped words among the tokens, and the number of bytes before each.
+    seen: earlier occurrences of each token in its text."""
 
-    bits: list[np.ndarray]
-    cells: list[list[np.ndarray]]
-    kind: list[np.ndarray]
-    off: list[np.ndarray]
+    bits: list[Bits]
     symbols: np.ndarray
     token_off: np.ndarray
     escaped: np.ndarray
+    byte_off: np.ndarray
     seen: np.ndarray
     place: np.ndarray
     rare: np.ndarray
@@ -186,7 +311,7 @@ class Layout:
         if bits > 30:  # places have 32 bits
             raise OverflowError(f"{tokens} training tokens ask for {bits} bits a context; lower Params.bits")
         down = [0, 32 - bits, 32 - bits, 32 - bits, 32 - p.small_bits, 32 - p.small_bits, 32 - p.byte_bits, 32 - p.byte_bits]
-        sizes = [code.n_nodes, 1 << bits, 1 << bits, 1 << bits, 1 << p.small_bits, 1 << p.small_bits, 1 << p.byte_bits, 1 << p.byte_bits]
+        sizes = [-(-code.n_nodes // 16) * 16, 1 << bits, 1 << bits, 1 << bits, 1 << p.small_bits, 1 << p.small_bits, 1 << p.byte_bits, 1 << p.byte_bits]
         self.begin = np.concatenate([[0], np.cumsum(sizes)]).tolist()
         self.cells = self.begin[-1]
         self.blocks = -(-2 * self.cells // BLOCK)
@@ -194,7 +319,8 @@ class Layout:
 
     def place(self, k: int, context: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Cells of 32-bit contexts and keys within them."""
-        h = (context ^ key) * np.uint32(0x9E3779B1)
+        h = context ^ key
+        h *= np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0xC2B2AE35)
         h >>= np.uint32(self.down[k])
@@ -204,10 +330,21 @@ class Layout:
 
 def earlier(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """How often each value stands before its place among those of the same owner."""
-    order = np.lexsort((h, owner))
-    a, o = h[order], owner[order]
-    fresh = np.ones(len(a), bool)
-    fresh[1:] = (a[1:] != a[:-1]) | (o[1:] != o[:-1])
+    # sorted by a hash of both that ends in the place; where such hashes are equal and the values aren't, by the values
+    low = np.uint64(max(1, len(h).bit_length()))
+    key = mix(h ^ mix(owner.astype(np.uint64) + GOLD)) >> low
+    line = key << low
+    line |= np.arange(len(h), dtype=np.uint64)
+    line.sort()
+    order = (line & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    line >>= low
+    for _ in range(2):
+        a, o = h[order], owner[order]
+        fresh = np.ones(len(a), bool)
+        fresh[1:] = (a[1:] != a[:-1]) | (o[1:] != o[:-1])
+        if not (fresh[1:] & (line[1:] == line[:-1])).any():
+            break
+        order = np.lexsort((h, owner))
     first = np.flatnonzero(fresh)
     out = np.empty(len(h), np.int64)
     out[order] = np.arange(len(h)) - np.repeat(first, np.diff(np.concatenate([first, [len(h)]])))
@@ -252,19 +389,10 @@ def events(t: Texts, code: Code, lay: Layout, training: bool = False, spell: boo
     two = mix((one ^ past.astype(np.uint64)) * GOLD + np.uint64(2))
     out = outside
     if training:
-        n = np.concatenate([code.counts, [0, 0]])[symbol]
-        some = np.concatenate([code.hashes % np.uint64(3) > 0, [False, False]])[symbol]
-        symbol[(n == 1) & some] = code.escape
-        out = outside | ((n >= 1) & (n <= SPELLED) if spell else symbol == code.escape)[at]
-    # paths
-    n = code.lengths[symbol]
-    bit_off = np.concatenate([[0], np.cumsum(n)])
-    flat = np.repeat((code.offsets[symbol] - bit_off[:-1]).astype(np.int32), n)
-    flat += np.arange(bit_off[-1], dtype=np.int32)
-    steps = code.steps[flat]
-    node = steps >> np.uint32(5)
-    key = node * np.uint32(0x85EBCA6B) + np.uint32(1)
-    cells = [node.view(np.int32), *(lay.place(j, np.repeat(short(c), n), key) for j, c in ((1, near), (2, one), (3, two)))]
+        more = code.spelled[symbol]
+        symbol = code.taught[symbol]
+        out = outside | (more if spell else symbol == code.escape)[at]
+    paths = Bits(code, symbol, [short(near), short(one), short(two)], lay, 0)
     # bytes
     first, size = starts[out].astype(np.int32), (ends[out] - starts[out]).astype(np.int32)
     m = size + 1
@@ -274,22 +402,16 @@ def events(t: Texts, code: Code, lay: Layout, training: bool = False, spell: boo
     text = np.concatenate([low.data, np.zeros(1, np.uint8)]).astype(np.uint32)
     value = np.where(step < np.repeat(size, m), text[src], np.uint32(32))
     past = [np.where(step >= back, text[np.maximum(src - back, 0)], np.uint32(0)) for back in (1, 2, 3)]
-    k = np.arange(8, dtype=np.uint32)
-    tree = (np.uint32(1) << k) | (value[:, None] >> (np.uint32(8) - k))
-    byte_bits = ((value[:, None] >> (np.uint32(7) - k)) & np.uint32(1)).astype(np.uint8)
     a = past[0] | past[1] << np.uint32(8)
     pair = short(mix(a.astype(np.uint64) * GOLD + np.uint64(3)))
     triple = short(mix((a | past[2] << np.uint32(16)).astype(np.uint64) * GOLD + np.uint64(4)))
-    whole = short(mix(low.hashes(np.repeat(starts[out], m), np.repeat(starts[out], m) + step) + np.uint64(6)))
-    key = tree * np.uint32(0x85EBCA6B) + np.uint32(7)
+    begin = np.repeat(starts[out], m)
+    whole = short(mix(low.hashes(begin, begin + step) + np.uint64(6)))
     single = short(mix((past[0].astype(np.uint64) | np.repeat(found[0][at[out]], m) << np.uint64(8)) * GOLD + np.uint64(7)))
-    byte_cells = [lay.place(j, c[:, None], key).ravel() for j, c in ((4, single), (5, pair), (6, triple), (7, whole))]
     tokens = np.full(words + docs, END_HASH, np.uint64)
     tokens[at] = h
-    return Events(
-        [((steps >> np.uint32(4)) & np.uint32(1)).astype(np.uint8), byte_bits.ravel()], [cells, byte_cells], [(steps & np.uint32(15)).astype(np.uint8), np.tile((k + 16).astype(np.uint8), len(value))],
-        [bit_off, 8 * byte_off], symbol, token_off, at[out], earlier(tokens, np.repeat(np.arange(docs), np.diff(token_off))), place, h[outside], np.searchsorted(np.flatnonzero(outside), off),
-    )
+    seen = np.zeros(0, np.int64) if training and spell else earlier(tokens, np.repeat(np.arange(docs), np.diff(token_off)))  # counting has no use for them
+    return Events([paths, Bits(code.bytes, value, [single, pair, triple, whole], lay, 1)], symbol, token_off, at[out], byte_off, seen, place, h[outside], np.searchsorted(np.flatnonzero(outside), off))
 
 
 def count_bits(texts: DataFrame, code, lay: Layout, p: Params) -> np.ndarray:
@@ -301,9 +423,12 @@ def count_bits(texts: DataFrame, code, lay: Layout, p: Params) -> np.ndarray:
             if total is None:
                 total = np.zeros(lay.blocks * BLOCK, np.uint32)
             e = events(t, code.value, lay, True)
-            for bits, cells in zip(e.bits, (e.cells[0][1:], e.cells[1])):
-                for c in cells:
-                    np.add.at(total, (c.astype(np.int64) << 1) + bits, np.uint32(1))
+            for group in e.bits:
+                for b in group.blocks():
+                    for c in b.cells:
+                        c <<= 1
+                        c += b.bits
+                        np.add.at(total, c if b.absent is None else np.delete(c, b.absent), np.uint32(1))
         if total is not None:
             blocks = total.reshape(-1, BLOCK)
             some = np.flatnonzero(blocks.any(1))
@@ -339,6 +464,22 @@ def packed(counts: np.ndarray, delta: float) -> np.ndarray:
     return (np.rint(logit * 512).astype(np.int16) << 2) | confidence(c.sum(1)).astype(np.int16)
 
 
+def on_map(x: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """The map's cell of each logit. kind: 33 times the refining context."""
+    at = np.clip(x, -8, 8)
+    at += at
+    at += np.float32(16.5)
+    at = at.astype(np.int64)
+    at += kind
+    return at
+
+
+def logits_of(found: np.ndarray) -> np.ndarray:
+    out = (found >> 2).astype(np.float32)
+    out *= np.float32(1 / 512)
+    return out
+
+
 def gate_of(c: list[np.ndarray]) -> np.ndarray:
     return (c[0] * 4 + c[1]) * 4 + c[2]
 
@@ -366,16 +507,20 @@ class Mixer:
 
     def mixed(self, group: int, logits: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         w = np.ascontiguousarray(self.w[group].T)
-        x = w[CONTEXTS][gate]
+        x = w[CONTEXTS].take(gate)
         for k, logit in enumerate(logits):
-            x += w[k][gate] * logit
+            part = w[k].take(gate)
+            part *= logit
+            x += part
         return np.clip(x, -12, 12, out=x)
 
     def refined(self, x: np.ndarray, kind: np.ndarray) -> np.ndarray:
         if not self.trained:
             return x
-        at = (np.clip(2 * x, -16, 16) + np.float32(16.5)).astype(np.int32) + kind * np.int32(33)
-        return np.float32(0.5) * (x + self.map.ravel()[at])
+        out = self.map.ravel().take(on_map(x, kind))
+        out += x
+        out *= np.float32(0.5)
+        return out
 
     def settle(self, seen: np.ndarray, gained: np.ndarray) -> None:
         """The map from the logits and bits seen, the shares from what each would have gained."""
@@ -391,53 +536,74 @@ class Learner:
     def __init__(self):
         self.mixer = Mixer()
         self.grown = np.full(self.mixer.w.shape, 1e-2)
+        self.nodes: np.ndarray | None = None
         self.met, self.seen, self.gained = np.zeros((2, GATES)), np.zeros((32, 33, 2)), np.zeros((16, len(SHARES)))
 
     def bits(self, group: int, e: Events, code: Code, less: np.ndarray, p: Params) -> np.ndarray:
-        """Online steps over the bits in order; the log of what each bit was predicted with. less: `Model.less`."""
-        bits, cells, kind = e.bits[group], e.cells[group], e.kind[group]
-        if group:
-            own = np.flatnonzero(np.repeat(e.symbols[e.escaped] == code.escape, np.diff(e.off[1])))
-            bits, cells, kind = bits[own], [c[own] for c in cells], kind[own]
-        held = np.concatenate([np.where(code.counts > 1, 3, 0), [3, 2]]).astype(np.float32)  # of a token's own three thirds
-        logits, sure = [], []
-        for k, c in enumerate(cells):
-            if group or k:
-                found = less[(c.astype(np.int64) << 1) + bits]
-                logits.append((found >> 2).astype(np.float32) * np.float32(1 / 512))
-                sure.append(found & 3)
-                continue
-            own = np.repeat(held[e.symbols], np.diff(e.off[0]))
-            zero, one = (np.maximum(side[c] - own * (bits == bit), 0) + np.float32(p.delta) for bit, side in enumerate(code.below.T.astype(np.float32)))
-            logits.append(np.log(one / zero))
-        gate = gate_of(sure[-3:]).astype(np.intp)
-        x, w, grown = np.zeros(len(bits), np.float32), self.mixer.w[group], self.grown[group]
-        for a in range(0, len(bits), p.batch):
-            at, some = gate[a : a + p.batch], [v[a : a + p.batch] for v in logits]
-            x[a : a + p.batch] = now = self.mixer.mixed(group, some, at)
-            error = bits[a : a + p.batch] - 1 / (1 + np.exp(-now))
-            met = np.bincount(at, minlength=GATES)
-            self.met[group] += met
-            for k in range(CONTEXTS + 1):
-                g = np.bincount(at, error * some[k] if k < CONTEXTS else error, minlength=GATES) / np.maximum(met, 1)
-                grown[:, k] += g * g
-                w[:, k] += (p.rate * g / np.sqrt(grown[:, k])).astype(np.float32)
-        at = (np.clip(2 * x, -16, 16) + np.float32(16.5)).astype(np.int64)
-        self.seen += np.bincount((kind * np.int64(33) + at) * 2 + bits, minlength=self.seen.size).reshape(self.seen.shape)
-        return -np.log1p(np.exp(np.where(bits == 1, -x, x)))
+        """Online steps over the bits in order; for each unit the log of what it was predicted with. less: `Model.less`."""
+        w, grown = self.mixer.w[group], self.grown[group]
+        out = np.zeros(len(e.bits[group].n))
+        for b in e.bits[group].blocks():
+            for c in b.cells:  # now places in less
+                c <<= 1
+                c += b.bits
+            found = [less.take(c) for c in b.cells]
+            logits = [logits_of(v) for v in found]
+            if not group:
+                if self.nodes is None:
+                    self.nodes = code.less(p.delta)
+                own = np.repeat(code.held[e.symbols[b.units]] * (2 * code.n_nodes), e.bits[0].n[b.units])
+                logits.insert(0, self.nodes.take((((b.nodes() << 1) + b.bits).reshape(4, -1) + own).ravel()))
+            # in the order of the steps and, in each, of the gates, each of which then adds up one stretch
+            wide, steps = max(1, p.batch // 4), -(-len(b.nibbles) // max(1, p.batch // 4))
+            gate = gate_of([v & 3 for v in found[-3:]]).astype(np.uint16 if steps * (GATES + 1) < 1 << 16 else np.int64)
+            if b.absent is not None:
+                gate[b.absent] = GATES  # none
+            gate = gate.reshape(4, -1)
+            gate += (np.arange(gate.shape[1]) // wide * (GATES + 1)).astype(gate.dtype)
+            gate = gate.ravel()
+            order = np.argsort(gate, kind="stable")
+            sizes = np.bincount(gate, minlength=steps * (GATES + 1)).reshape(-1, GATES + 1)
+            some = np.ones((CONTEXTS + 1, len(order)), np.float32)
+            for k, v in enumerate(logits):
+                v.take(order, out=some[k], mode="clip")
+            ones, mixed, at = b.bits.take(order).astype(np.float32), np.zeros(len(order), np.float32), 0
+            for row in sizes:
+                on = np.flatnonzero(row[:GATES])
+                size = row[on]
+                step = slice(at, at + int(size.sum()))
+                at += int(row.sum())
+                if not len(on):
+                    continue
+                now = np.einsum("ij,ij->j", np.repeat(w[on].T, size, axis=1), some[:, step])
+                np.clip(now, -12, 12, out=mixed[step])
+                np.exp(-mixed[step], out=now)
+                now += np.float32(1)
+                g = np.add.reduceat(some[:, step] * (ones[step] - np.float32(1) / now), np.cumsum(size) - size, axis=1).T / size[:, None]
+                grown[on] += g * g
+                w[on] += (p.rate * g / np.sqrt(grown[on])).astype(np.float32)
+            self.met[group] += sizes[:, :GATES].sum(0)
+            x = np.empty(len(order), np.float32)
+            x[order] = mixed
+            at = on_map(x, b.kind())
+            at += at
+            at += b.bits
+            self.seen += np.bincount(at if b.absent is None else np.delete(at, b.absent), minlength=self.seen.size).reshape(self.seen.shape)
+            out[b.units] = b.per_unit(x)
+        return out
 
     def take(self, e: Events, code: Code, less: np.ndarray, p: Params) -> None:
-        paths, spelled = (self.bits(g, e, code, less, p) for g in (0, 1))
-        own = e.symbols[e.escaped] == code.escape
-        logs = sums(paths, e.off[0])
-        logs[e.escaped[own]] += sums(spelled, np.concatenate([[0], np.cumsum(np.diff(e.off[1])[own])]))
+        """e: of training texts, without words that are spelled besides."""
+        logs, spelled = (self.bits(g, e, code, less, p) for g in (0, 1))
+        logs[e.escaped] += sums(spelled, e.byte_off)
         level = np.minimum(15, np.ceil(np.log2(e.place + 1)).astype(np.int64))
         hit = e.seen > 0
         n, lost = np.bincount(level, minlength=16), np.bincount(level, np.where(hit, 0, logs), minlength=16)
         missed = n - np.bincount(level[hit], minlength=16)
         log, ratio, of = logs[hit], e.seen[hit] / e.place[hit], level[hit]
+        plain = np.exp(log)
         for k, share in enumerate(SHARES):  # as `shared` does
-            won = np.logaddexp(log + np.log1p(-share), np.log(share * ratio)) if share else log
+            won = np.log((1 - share) * plain + share * ratio) if share else log
             self.gained[:, k] += lost + missed * np.log1p(-share) + np.bincount(of, won, minlength=16)
 
     def packed(self) -> np.ndarray:
@@ -487,12 +653,13 @@ class Model:
         table = self.table()
         parts = []
         for group in (0, 1):
-            found = [table[c] for c in e.cells[group]]
-            gate = gate_of([v & 3 for v in found[1:]])
-            x = self.mixer.mixed(group, [(v >> 2).astype(np.float32) * np.float32(1 / 512) for v in found], gate)
-            x = self.mixer.refined(x, e.kind[group])
-            z = np.where(e.bits[group] == 1, -x, x)
-            parts.append(sums(-np.log(np.float32(1) + np.exp(z)), e.off[group]))
+            out = np.zeros(len(e.bits[group].n))
+            for b in e.bits[group].blocks():
+                found = [table.take(c) for c in ([] if group else [b.nodes()]) + b.cells]
+                gate = gate_of([v & 3 for v in found[1:]]).astype(np.intp)
+                x = self.mixer.mixed(group, [logits_of(v) for v in found], gate)
+                out[b.units] = b.per_unit(self.mixer.refined(x, b.kind()))
+            parts.append(sums(out, e.byte_off) if group else out)
         return parts
 
     def log10(self, e: Events) -> np.ndarray:
@@ -506,13 +673,17 @@ def fit(documents: DataFrame, keep: Column | None = None, p: Params = Params(),
     sc = documents.sparkSession.sparkContext
     texts = documents.select(documents[id_col].alias("_id"), as_text(documents, text_col).alias("_text"))
     texts = texts if keep is None else texts.filter(keep)
-    words = park(count_words(texts.select("_text"), p))
+    counted = park(count_words(texts.select("_text"), p))
+    words = counted.filter(~F.col("byte")).select("h", "n")
+    values = np.zeros(256, np.int64)
+    for r in counted.filter("byte").collect():
+        values[r["h"]] = r["n"]
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end = np.int64(END_HASH)
     ends = words.filter(F.col("h") == int(end)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     head = words.filter(F.col("h") != int(end)).orderBy(F.desc("n"), "h").limit(p.head).toArrow()
     counts = head.column("n").to_numpy()
-    code = Code(head.column("h").to_numpy().view(np.uint64), counts, int(ends), int(n - ends - counts.sum()), p.anchors)
+    code = Code(head.column("h").to_numpy().view(np.uint64), counts, int(ends), int(n - ends - counts.sum()), p.anchors, values)
     lay = Layout(code, p, int(n))
     held = sc.broadcast(code)  # bounded by head
     counts = count_bits(texts.select("_text"), held, lay, p)

@@ -154,3 +154,81 @@ def test_places_of_large_tables_dont_wrap():
         assert lay.begin[k] <= at.min() and at.max() < lay.begin[k + 1]
         assert (at.astype(np.int64) << 1).min() >= 0
     assert lay.begin[-1] > 1 << 31
+
+
+def test_bytes_take_as_few_bits_as_they_are_frequent(spark):
+    """Unknown words cost CPU by the bit: with 8 bits for each byte, most of op7's bits were those of a few words."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, _ = M.fit(df, fold("_id", 10) != 0)
+    e = M.events(Texts.of([r["text"] or "" for r in df.limit(200).collect()]), model.code, model.lay)
+    assert len(e.bits[1].symbols) > 1000
+    assert len(e.bits[1]) < 6 * len(e.bits[1].symbols)
+    rare = M.events(Texts.of([chr(k) * 3 for k in range(0x3B1, 0x3C0)]), model.code, model.lay)
+    assert np.isfinite(model.log10(rare)).all()
+
+
+@pytest.mark.parametrize("n", [2, 3, 7, 16, 17, 31, 32, 100, 257])
+def test_paths_are_complete_and_below_counts_what_they_hold(n):
+    weight = np.random.default_rng(n).integers(1, 1000, n).tolist()
+    tree = M.Tree(weight)
+    assert abs(sum(2.0 ** -int(x) for x in tree.lengths) - 1) < 1e-12
+    below, paths = np.zeros((tree.n_nodes, 2), np.int64), set()
+    for i, w in enumerate(weight):
+        path = ""
+        for g in tree.groups[tree.group_offsets[i] : tree.group_offsets[i + 1]].tolist():
+            at = 1
+            for k in range((g >> 4) & 7):
+                bit = (g >> (3 - k)) & 1
+                below[(g >> 9) * 16 + at, bit] += w
+                at, path = 2 * at + bit, path + str(bit)
+        assert len(path) == tree.lengths[i]
+        paths.add(path)
+    assert len(paths) == n and not any(a != b and b.startswith(a) for a in paths for b in paths)
+    used = below.sum(1) > 0
+    assert (tree.below[used] == below[used]).all()
+
+
+def one_by_one(m, e, group):
+    """For each unit, its bits' log probabilities, one bit after the other."""
+    b, out = e.bits[group], []
+    tree = b.tree
+    for i, symbol in enumerate(b.symbols):
+        total = 0.0
+        for depth, g in enumerate(tree.groups[tree.group_offsets[symbol] : tree.group_offsets[symbol + 1]].tolist()):
+            node, at = g >> 9, 1
+            key = np.array([node], np.uint32) * np.uint32(0x85EBCA6B) + np.uint32((1, 7)[group])
+            for k in range((g >> 4) & 7):
+                bit = (g >> (3 - k)) & 1
+                cells = [] if group else [node * 16 + at]
+                cells += [int(m.lay.place(j, c[i : i + 1], key)[0]) ^ at for j, c in enumerate(b.contexts, (1, 4)[group])]
+                found = [int(v) for v in m.table()[cells]]
+                gate = M.gate_of([v & 3 for v in found[1:]])
+                w = m.mixer.w[group][gate]
+                x = float(np.clip(sum(w[j] * (v >> 2) / 512 for j, v in enumerate(found)) + w[4], -12, 12))
+                if m.mixer.trained:
+                    x = (x + float(m.mixer.map[min(4 * min(depth, 3) + k, 15) + 16 * group, int(np.clip(2 * x, -16, 16) + 16.5)])) / 2
+                total -= math.log1p(math.exp(-x if bit else x))
+                at = 2 * at + bit
+        out.append(total)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("stretch", [1, 5, 1 << 13])
+def test_blocks_equal_bits_one_by_one(monkeypatch, stretch):
+    monkeypatch.setattr(M, "STRETCH", stretch)
+    m = toy()
+    e = M.events(Texts.of(["a bb ccc zzz dddd the", "", "the unknown w\u00f6rd a a", "q"]), m.code, m.lay)
+    token, spelled = m.logs(e)
+    assert np.allclose(token, one_by_one(m, e, 0), atol=1e-4)
+    want = one_by_one(m, e, 1)
+    assert np.allclose(spelled, [want[a:b].sum() for a, b in zip(e.byte_off[:-1], e.byte_off[1:])], atol=1e-4)
+
+
+def test_earlier_occurrences_equal_brute_force():
+    rng = np.random.default_rng(3)
+    h, owner = rng.integers(0, 40, 5000).astype(np.uint64), np.sort(rng.integers(0, 9, 5000))
+    seen, want = Counter(), []
+    for pair in zip(h.tolist(), owner.tolist()):
+        want.append(seen[pair])
+        seen[pair] += 1
+    assert M.earlier(h, owner).tolist() == want
