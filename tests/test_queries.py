@@ -53,3 +53,18 @@ def test_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_others_run(spark, name):
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
+
+
+@pytest.mark.parametrize("name", ["AGG-09", "AGG-10"])
+@pytest.mark.parametrize("counts", [[], [4, 9], [9, 12], [0, 10]])
+def test_measures_of_few_signals_equal_sql(spark, monkeypatch, name, counts):
+    """Folds of too few signals have no value: with none, with some and with no other fold beside them."""
+    sig = [(f + 1, (i % 5 - 1) / 50) for f, n in enumerate(counts) for i in range(n)]
+    frame = spark.createDataFrame(sig, "fold int, return_n3 double")
+    monkeypatch.setattr("barloom.registry.signals", lambda spark, sf: frame)
+    con = duckdb.connect()
+    con.sql("CREATE TABLE sig (fold INTEGER, return_n3 DOUBLE)")
+    if sig:
+        con.executemany("INSERT INTO sig VALUES (?, ?)", sig)
+    sql = registry.ORACLE_SQL[name]
+    assert rows(registry.QUERIES[name](spark, SF).toPandas()) == rows(con.sql("WITH " + sql[sql.index("perfold AS (") :]).df())
