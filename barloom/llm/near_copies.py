@@ -9,6 +9,8 @@ The similarity of two texts is that of their sets of five-word shingles (Jaccard
    here puts shingles last that a bounded sample finds frequent. The texts that share such a shingle first meet the least of them.
 3. The pairs so far are verified by counting common shingles, and connected. Texts of different components that share a first shingle are
    paired, each pair once and only if its prefixes leave enough room, and verified.
+4. Before a pair's shingles are counted, bitmaps of both texts are compared, in which each shingle turns one bit: two sets differ in no fewer shingles than their bitmaps in bits.
+   A bitmap takes a thirtieth to a sixtieth of the set, and few pairs that aren't similar get past it, so the sets that go to disk follow the links, not the pairs, which grow faster than the texts.
 
 So groups whose members are similar to their bucket's least are never paired; what is paired is what may be similar and isn't connected, as
 single linkage asks. Only the hashes of shingles (52 bits in prefixes, 64 in counts) are a matter of probability.
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .base import as_text, chunks, few, map_arrow, mix, park, Texts, unpark
+from .base import as_text, chunks, few, map_arrow, mix, park, Texts, tidy, unpark
 from .components import connected
 
 _STEP = [np.uint64(pow(0x9E3779B97F4A7C15, 2 * j + 1, 1 << 64)) for j in range(64)]
@@ -107,6 +109,26 @@ def majority(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def bitmaps(h: np.ndarray, owner: np.ndarray, off: np.ndarray) -> pa.Array:
+    """For each text as many bits as the next power of two holds its shingles, 64 at least: the parity of the shingles that fall on each."""
+    size = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(1, np.diff(off)))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(size)])
+    at = base[owner] + (h & (size[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(at, minlength=base[-1]).astype(np.uint8) & 1
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((base // 8).astype(np.int32)), pa.py_buffer(np.packbits(odd, bitorder="little"))])
+
+
+def differing(a: Texts, b: Texts) -> np.ndarray:
+    """Bits in which the bitmaps of each pair differ, the longer one folded to the shorter one's length: no more than the sets' differing shingles."""
+    la, lb = np.diff(a.off), np.diff(b.off)
+    out = np.zeros(a.n, np.int64)
+    for x, y in set(zip(la.tolist(), lb.tolist())):
+        rows, least = np.flatnonzero((la == x) & (lb == y)), min(x, y)
+        folded = [np.bitwise_xor.reduce(t.data[t.off[rows][:, None] + np.arange(z)].reshape(len(rows), z // least, least), axis=1) for t, z in ((a, x), (b, y))]
+        out[rows] = np.bitwise_count(folded[0] ^ folded[1]).sum(1, dtype=np.int64)
+    return out
+
+
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     for batch in batches:
         for a in range(0, batch.num_rows, TEXTS):
@@ -134,7 +156,7 @@ def frequent(rows: DataFrame, total: int, p: Params) -> tuple[np.ndarray, np.nda
 
 
 def sketches(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], p: Params) -> DataFrame:
-    """_id, _key, node, n, fp, and pre (the first shingles, 52 bits each) with last (the class of the last of these) for each row."""
+    """_id, _key, node, n, fp, bits, and pre (the first shingles, 52 bits each) with last (the class of the last of these) for each row."""
     held = rows.sparkSession.sparkContext.broadcast(common)  # bounded by `common`
     kind = rows.schema["_id"].dataType.simpleString()
 
@@ -154,11 +176,25 @@ def sketches(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], p: Params)
             last = np.zeros(t.n, np.int64)
             last[most > 0] = rank[take[pre_off[1:][most > 0] - 1]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("_key"), pa.array(nodes(h, off)), pa.array(n), pa.array(majority(h, off)), lists(short[take], pre_off), pa.array(last.astype(np.int32))],
-                names=["_id", "_key", "node", "n", "fp", "pre", "last"],
+                [batch.column("_id"), batch.column("_key"), pa.array(nodes(h, off)), pa.array(n), pa.array(majority(h, off)), bitmaps(h, owner, off), lists(short[take], pre_off), pa.array(last.astype(np.int32))],
+                names=["_id", "_key", "node", "n", "fp", "bits", "pre", "last"],
             )
 
-    return map_arrow(rows, run, f"_id {kind}, _key long, node long, n long, fp long, pre array<long>, last int")
+    return map_arrow(rows, run, f"_id {kind}, _key long, node long, n long, fp long, bits binary, pre array<long>, last int")
+
+
+def possible(pairs: DataFrame, distinct: DataFrame, p: Params) -> DataFrame:
+    """Those of the pairs (u, v) that may be similar by their sizes and bitmaps, every similar one among them."""
+    a, b = (distinct.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}")) for x in "uv")
+    both = pairs.join(a, "u").join(b, "v").filter(enough(F.least("nu", "nv"), "nu", "nv", p))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, t in chunks(batches, "bu"):
+            bits = differing(t, Texts.from_arrow(batch.column("bv")))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("u", "v", "nu", "nv")), pa.array(bits)], names=["u", "v", "nu", "nv", "bits"])
+
+    out = map_arrow(both, run, "u long, v long, nu long, nv long, bits long")
+    return park(out.filter(enough((F.col("nu") + F.col("nv") - F.col("bits")) / 2, "nu", "nv", p)).select("u", "v"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, keys: DataFrame, p: Params) -> DataFrame:
@@ -170,6 +206,7 @@ def verified(pairs: DataFrame, texts: DataFrame, keys: DataFrame, p: Params) ->
             yield pa.RecordBatch.from_arrays([pa.array(nodes(h, off)), pa.array(np.diff(off)), lists(h, off)], names=["node", "n", "h"])
 
     need = pairs.select(F.col("u").alias("_n")).union(pairs.select("v")).distinct()
+    tidy(pairs.sparkSession)
     need = park(keys.join(need, F.col("node") == F.col("_n"), "left_semi").select(F.col("_key").alias("_k")).distinct())
     sets = map_arrow(texts.join(few(need), F.col("_key") == F.col("_k"), "left_semi").select("_text"), run, "node long, n long, h array<long>")
     sets = park(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("h").alias("h")))
@@ -190,6 +227,7 @@ def shared(distinct: DataFrame, p: Params) -> DataFrame:
     """h, node, n, at (place in the prefix): first shingles that several sets have. One row for each."""
     rows = distinct.select("node", "n", "last", F.size("pre").alias("k"), F.posexplode("pre").alias("at", "h"))
     several = park(rows.groupBy("h").count().filter("count > 1").select(F.col("h").alias("_h")))
+    tidy(rows.sparkSession)
     out = park(rows.join(few(several), F.col("h") == F.col("_h"), "left_semi"))
     unpark(several)
     return out
@@ -211,9 +249,10 @@ def first_meetings(rows: DataFrame, p: Params) -> DataFrame:
 def meetings(rows: DataFrame, roots: DataFrame, p: Params) -> DataFrame:
     """u, v: pairs of different components (node, root) that share a first shingle and can be similar."""
     rows = rows.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node")).drop("_n")
-    rows = park(rows)
-    several = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select(F.col("h").alias("_h"))
-    rows = park(rows.join(several, F.col("h") == F.col("_h"), "left_semi"))
+    every = park(rows)
+    several = every.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select(F.col("h").alias("_h"))
+    rows = park(every.join(several, F.col("h") == F.col("_h"), "left_semi"))
+    unpark(every)
     # a text's shared shingles by place: the first few, and how many there are
     per = rows.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "h"))).alias("s"))  # no more than a text's prefix
     per = per.select(F.col("node").alias("_n"), F.transform(F.slice("s", 1, p.shown), lambda x: x["h"]).alias("pre"), F.slice(F.transform("s", lambda x: x["at"]), 1, p.shown).alias("ats"), F.size("s").alias("held"))
@@ -243,21 +282,25 @@ def groups(documents: DataFrame, p: Params = Params(), id_col: str = "doc_id", t
     texts = documents.select(documents[id_col].alias("_id"), text_key(documents[text_col]).alias("_key"), as_text(documents, text_col).alias("_text"))
     rows = park(sketches(texts, frequent(texts, documents.count(), p), p))
     one = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key"))
-    wide = park(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("last").alias("last"), F.first("pre").alias("pre"), one.alias("one")))
+    wide = park(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("last").alias("last"), F.first("bits").alias("bits"), F.first("pre").alias("pre"), one.alias("one")))
     rows_of = park(rows.select("_id", "_key", "node"))
     unpark(rows)  # prefixes take most of the disk, and are read no more once it is known which shingles are shared
     some = shared(wide.filter("n > 0"), p)
-    distinct = park(wide.select("node", "fp", "one"))
+    distinct = park(wide.select("node", "n", "fp", "bits", "one"))
     unpark(wide)
     keys = distinct.select("node", F.col("one._key").alias("_key"))
     pairs = fingerprint_links(distinct, p).union(first_meetings(some, p))
     pairs = park(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    near = verified(pairs, texts, keys, p)
+    maybe = possible(pairs, distinct, p)
+    near = verified(maybe, texts, keys, p)
+    unpark(maybe)
     more = park(meetings(some, connected(near), p).join(pairs, ["u", "v"], "left_anti"))
     unpark(some)
     unpark(pairs)
-    roots = connected(near.union(verified(more, texts, keys, p)))
+    maybe = possible(more, distinct, p)
     unpark(more)
+    roots = connected(near.union(verified(maybe, texts, keys, p)))
+    unpark(maybe)
     named = distinct.select("node", "one").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "one", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("one").alias("least"))
     named = named.join(least, "root").select(F.col("node").alias("_n"), "least")

@@ -97,5 +97,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = park(stage(spark, docs, sf_dir))
+        before, docs = docs, park(stage(spark, docs, sf_dir))
+        unpark(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,6 +1,9 @@
 import random
 
+import pyarrow as pa
+
 from barloom.llm import near_copies as W
+from barloom.llm.base import Texts
 
 
 def shingles(text):
@@ -87,3 +90,35 @@ def test_equals_brute_force(spark):
     for r in W.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
         got[r["doc_id"]] = r["component_id"]
     assert got == want
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    rows = []
+    for n in (0, 1, 3, 5, 40, 68, 70, 300, 1500):
+        text = [word() for _ in range(n)]
+        rows += [" ".join(text), " ".join(text + [word() for _ in range(rng.randrange(30))]), " ".join(text[n // 2 :]), " ".join(word() for _ in range(n))]
+    sets = [shingles(t) for t in rows]
+    h, owner, off = W.distinct_shingles(Texts.of(rows), W.Params())
+    bits = W.bitmaps(h, owner, off)
+    pairs = [(i, j) for i in range(len(rows)) for j in range(len(rows))]
+    got = W.differing(*(Texts.from_arrow(bits.take(pa.array([x[k] for x in pairs]))) for k in (0, 1)))
+    assert all(d <= len(sets[i] ^ sets[j]) and (d - len(sets[i] ^ sets[j])) % 2 == 0 for (i, j), d in zip(pairs, got.tolist()))
+    # sets of like size that have nothing in common differ in far more bits than 0.8 allows
+    assert all(d > (len(sets[i]) + len(sets[j])) / 9 for (i, j), d in zip(pairs, got.tolist()) if not sets[i] & sets[j] and 30 < 0.8 * len(sets[j]) <= len(sets[i]) <= len(sets[j]) / 0.8)
+
+
+def test_only_pairs_that_may_be_similar_are_counted(spark, monkeypatch):
+    """Long texts share a passage of which more of the first shingles are shared than a text's rows carry, so that prefixes don't tell them apart: their sets aren't shuffled for each pair."""
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage = [word() for _ in range(300)]
+    texts = [passage + [word() for _ in range(300)] for _ in range(60)]
+    texts += [t[:-10] + [word() for _ in range(10)] for t in texts[:5]]
+    rows, counted = [(i, " ".join(t)) for i, t in enumerate(texts)], []
+    verified = W.verified
+    monkeypatch.setattr(W, "verified", lambda pairs, *rest: counted.append(pairs.count()) or verified(pairs, *rest))
+    got = {r["doc_id"]: r["component_id"] for r in W.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == truth(rows, 0.8) and sum(got[i] != i for i in got) == 5
+    assert sum(counted) <= 10

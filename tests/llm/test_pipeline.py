@@ -1,4 +1,5 @@
 import re
+from pathlib import Path
 
 import corpus_pipeline as P
 from pyspark.sql import functions as F
@@ -104,3 +105,16 @@ def test_clashing_columns_are_carried(spark, odd_rows, small):
         assert docs.columns == columns and docs.count() > 0
         assert docs.select(*names).distinct().collect() == [tuple(f"own {i}" for i in range(len(names)))]
     assert P.STAGES[-1][1](spark, docs, small).count() > 0
+
+
+def test_tables_between_stages_go_once_read(spark, small, monkeypatch):
+    """When a stage begins, only its own input of the tables between stages is left."""
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append([Path(x.split(":", 1)[1]) for x in docs.inputFiles()])
+        assert all(x.exists() for x in seen[-1]) and not any(x.exists() for files in seen[1:-1] for x in files)
+        return docs.filter("doc_id % 7 > 0")
+
+    monkeypatch.setattr(P, "STAGES", [(str(i), stage) for i in range(4)])
+    assert P.run(spark, small).count() > 0 and len(seen) == 4
