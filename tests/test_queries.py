@@ -68,3 +68,12 @@ def test_measures_of_few_signals_equal_sql(spark, monkeypatch, name, counts):
         con.executemany("INSERT INTO sig VALUES (?, ?)", sig)
     sql = registry.ORACLE_SQL[name]
     assert rows(registry.QUERIES[name](spark, SF).toPandas()) == rows(con.sql("WITH " + sql[sql.index("perfold AS (") :]).df())
+
+
+def test_overall_lists_its_folds(spark, monkeypatch):
+    frame = spark.createDataFrame([(f, 0.01 * f) for f, n in ((1, 12), (3, 7), (5, 2)) for _ in range(n)], "fold int, return_n3 double")
+    monkeypatch.setattr("barloom.registry.signals", lambda spark, sf: frame)
+    got = registry.QUERIES["AGG-09"](spark, SF).first().asDict()
+    assert [got[f"ev_fold_{i}"] for i in range(1, 6)] == [0.006, None, None, None, None]
+    assert [got[f"win_rate_fold_{i}"] for i in range(1, 6)] == [0.0, None, 1.0, None, None]
+    assert not any("_fold_" in c for c in registry.QUERIES["AGG-10"](spark, SF).columns)
